@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, piece_codec, token_count
+from . import packing, piece_codec, simhash, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_piece_codec": op5_piece_codec,
     "op7_packing": op7_packing,
+    "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
