@@ -11,6 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE_ROOT = Path(__file__).resolve().parents[2]
 
@@ -91,3 +92,11 @@ def by_batch(fn: Callable[[pa.RecordBatch], dict[str, list]], schema: pa.Schema)
 def whole_texts(batch: pa.RecordBatch, at: int = 1) -> list[str]:
     """The texts of a batch; null becomes the empty text."""
     return [t or "" for t in batch.column(at).to_pylist()]
+
+
+def bounded_rows(df: DataFrame, key: str, bound: int) -> DataFrame:
+    """About ``bound`` rows at most, chosen by a hash of ``key``; all of them if there are fewer."""
+    n = df.count()
+    if n <= bound:
+        return df
+    return df.filter(F.shiftrightunsigned(F.xxhash64(F.lit(17), F.col(key)), 1) < int((1 << 63) * bound / n))
