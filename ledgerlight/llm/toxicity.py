@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_rows, by_batch, ship, whole_texts
+from .common import Memo, bounded_rows, ship, whole_texts, written
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
@@ -108,7 +108,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_f
     ship(docs.sparkSession)
     own = labels.groupBy(F.col(id_col).alias("id_")).agg(F.max(label_col).cast("int").alias("y")).filter("y is not null and id_ is not null")
     chosen = bounded_rows(own, "id_", bound)
-    sample = docs.join(chosen, docs[id_col] == chosen.id_).select("y", text_col)
+    sample = written(docs.join(F.broadcast(chosen), docs[id_col] == chosen.id_).select("y", text_col), "toxicity-sample")  # ids: as many as the bound
 
     def counted(batches):
         for b in batches:
