@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-0")
     before = _signature(now)
     if not before[0]:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        return _named(now)
     for step in range(1, most_rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -28,14 +28,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         # Edges now point from a larger node to a smaller one; small-star joins the smaller neighbours.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        now = written(small, f"cc-{step}")
+        old, now = now, written(small, f"cc-{step}")
+        discard(old)
         after = _signature(now)
         if after == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            return _named(now)
         before = after
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def _named(edges: DataFrame) -> DataFrame:
+    labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    labels.written_to = edges.written_to
+    return labels
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 7))")).first()
     return tuple(row)
