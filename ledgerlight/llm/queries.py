@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, neighbours, packing, piece_codec, quality, simhash, substring, token_count, toxicity
+from . import lines, neighbours, packing, piece_codec, pii, quality, simhash, substring, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,15 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_pii(docs, pii.fit_skip_chain(docs))
+    base = F.filter("spans", lambda x: x["base"])
+    of_kind = lambda k: F.size(F.filter(base, lambda x: x["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.spelled(base).cast("binary"), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
@@ -61,6 +70,7 @@ QUERIES = {
     "op3_neighbours": op3_neighbours,
     "op4_token_counts": op4_token_counts,
     "op5_piece_codec": op5_piece_codec,
+    "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,

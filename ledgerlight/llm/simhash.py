@@ -108,3 +108,10 @@ def near_duplicate_classes(docs: DataFrame, size: int = 3, seed: int = 42, id_co
     roots = owner.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = owner.select("fp", "root").join(roots, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_class(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its near-duplicate class, one row for each such id."""
+    classes = near_duplicate_classes(docs, size, seed, id_col, text_col)
+    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_")).distinct()
+    return docs.join(stay, docs[id_col].eqNullSafe(F.col("stay_")), "left_semi").dropDuplicates([id_col])
