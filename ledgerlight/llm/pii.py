@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, whole_texts
+from .common import bounded_rows, ship, whole_texts
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["other", *KINDS]
@@ -167,8 +167,7 @@ def fit_skip_chain(docs: DataFrame, bound: int = 5_000, id_col: str = "doc_id",
     reach the driver. The prior of the skip table says that alike tokens have one label.
     """
     ship(docs.sparkSession)
-    share = min(1.0, bound / max(1, docs.count()))
-    sample = docs.filter(F.shiftrightunsigned(F.xxhash64(F.lit(23), F.col(text_col)), 1) <= int(((1 << 63) - 1) * share)).select(id_col, text_col)
+    sample = bounded_rows(docs.select(id_col, text_col), text_col, bound)
 
     def counted(batches):
         for b in batches:
