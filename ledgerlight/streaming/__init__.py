@@ -1,0 +1 @@
+"""No streaming operator: the data model is batch tables with a date column."""
