@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import anomalies as a
+from ..operators import checks as v
+from ..operators import facts as fa
+from ..operators import rules as r
 from ..operators import kpis as k
 from ..operators import scopes as q
 from ..operators.measures import by, measure, top
 from ..sources import sales as src
 from ..sources import tables as t
+from . import oracle_facts
 from .oracle import ORACLE
 
 YEARS = list(range(1995, 2002))  # the years of the test data, as a pivot needs them
@@ -86,4 +90,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a3_main_anomaly": on_sales(a.main_anomaly),
     "q21_level_counts": on_sales(lambda s: a.level_counts(a.consecutive_anomalies(s, ["region"]), ["region"])),
 }
-ORACLE_SQL = dict(ORACLE)
+
+
+def _structure(s: DataFrame) -> DataFrame:
+    x = F.col("structure")
+    return r.structured(fa.facts(s)).select("scope", x["main_trend"].alias("main_trend"), x["best_period"]["label"].alias("best_quarter"), x["worst_period"]["label"].alias("worst_quarter"), F.array_join(x["top_products"], ",").alias("top_products"), x["key_segment"].alias("key_segment"))
+
+
+def _merged(s: DataFrame) -> DataFrame:
+    facts = fa.facts(s)
+    external = r.default_recommendations(facts).select("scope", F.concat(F.lit("D"), F.col("ord").cast("string")).alias("rule"), F.lit("medium").alias("priority"), "action")
+    return r.merged(r.recommendations(facts), external, 4)
+
+
+def _toned(s: DataFrame) -> DataFrame:
+    return r.performance_score(fa.facts(s)).select("scope", "score", r.visual_tone(F.col("score"), F.col("volatility_short")).alias("tone"))
+
+
+def _checks(s: DataFrame) -> DataFrame:
+    return v.all_checks(s, k.annual(s), k.region_quarter(s))
+
+
+SCORES = ["scope", "growth_points", "regularity_points", "quarter_points", "diversity_points", "score", "mention"]
+QUERIES |= {
+    "f1_facts": on_sales(lambda s: fa.facts(s).select(*oracle_facts.SCALARS)),
+    "r1_scores": on_sales(lambda s: r.performance_score(fa.facts(s)).select(*SCORES)),
+    "r2_recommendations": on_sales(lambda s: r.recommendations(fa.facts(s))),
+    "r3_merged": on_sales(_merged),
+    "r4_traces": on_sales(lambda s: r.traces(fa.facts(s))),
+    "r5_default_recommendations": on_sales(lambda s: r.default_recommendations(fa.facts(s))),
+    "r6_risks": on_sales(lambda s: r.risks_and_opportunities(fa.facts(s))),
+    "r8_structure": on_sales(_structure),
+    "r11_bullets": on_sales(lambda s: r.bullets(fa.facts(s))),
+    "r13_narrative": on_sales(lambda s: r.narrative(fa.facts(s))),
+    "r17_visual_tone": on_sales(_toned),
+    "r18_answer": on_sales(lambda s: r.answer(fa.facts(s))),
+    "v_checks": on_sales(_checks),
+    "v8_roll_up": on_sales(lambda s: v.rolled_up(_checks(s))),
+}
+ORACLE_SQL = ORACLE | oracle_facts.ORACLE
