@@ -41,7 +41,8 @@ def _exploded(facts: DataFrame, records: list[Column]) -> DataFrame:
 
 
 def number(c: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f", c.cast("double"))
+    """The number as text; null stays null."""
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c.cast("double")))
 
 
 def recommendations(facts: DataFrame) -> DataFrame:

@@ -7,16 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import grounding as g
+from ..functions import lexicons as lx
+from ..functions import routing as u
+from ..functions import text as tx
 from ..operators import anomalies as a
 from ..operators import checks as v
 from ..operators import facts as fa
+from ..operators import retrieval as x
 from ..operators import rules as r
 from ..operators import kpis as k
 from ..operators import scopes as q
 from ..operators.measures import by, measure, top
 from ..sources import sales as src
 from ..sources import tables as t
-from . import oracle_facts
+from . import oracle_facts, oracle_text
 from .oracle import ORACLE
 
 YEARS = list(range(1995, 2002))  # the years of the test data, as a pivot needs them
@@ -128,4 +133,58 @@ QUERIES |= {
     "v_checks": on_sales(_checks),
     "v8_roll_up": on_sales(lambda s: v.rolled_up(_checks(s))),
 }
-ORACLE_SQL = ORACLE | oracle_facts.ORACLE
+
+
+def on_docs(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: fn(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+def _polarity(docs: DataFrame) -> DataFrame:
+    lexicon = docs.sparkSession.createDataFrame(list(lx.POLARITY.items()), "term string, weight double")
+    return tx.polarity(docs, F.broadcast(lexicon), "doc_id")
+
+
+def _ungrounded(s: DataFrame) -> DataFrame:
+    """Numbers of each scope's report, and of the whole's report read as every other scope's, that no fact backs."""
+    facts = fa.facts(s)
+    reports = r.narrative(facts)
+    other = F.broadcast(reports.filter("scope = 'all'").select(F.col("report").alias("text")))  # one row
+    texts = reports.select("scope", F.col("report").alias("text")).unionByName(reports.select("scope").crossJoin(other))
+    return g.unsupported(g.numbers(texts, "scope"), g.allowed_values(facts)).groupBy("scope", "kind", "raw").agg(F.count("*").alias("n"))
+
+
+def _accepted(s: DataFrame) -> DataFrame:
+    facts = fa.facts(s)
+    reports = r.narrative(facts)
+    bad = g.unsupported(g.numbers(reports.withColumnRenamed("report", "text"), "scope"), g.allowed_values(facts))
+    return g.accepted(reports, bad, r.answer(facts).withColumnRenamed("answer", "report"))
+
+
+def _cosine(spark: SparkSession, d: str) -> DataFrame:
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("passage_id"), "embedding")
+    return x.cosine_top(v.filter("passage_id % 20 = 0").withColumnRenamed("passage_id", "query_id"), v)
+
+
+QUERIES |= {
+    "t1_statistics": on_docs(lambda d: tx.statistics(d, "doc_id")),
+    "t5_keywords": on_docs(lambda d: tx.keywords(d, "doc_id")),
+    "t6_entities": on_docs(lambda d: tx.entities(d, "doc_id")),
+    "t7_intents": on_docs(lambda d: tx.intents(d, "doc_id")),
+    "t8_coverage": on_docs(lambda d: tx.coverage(tx.intents(d, "doc_id"), "doc_id")),
+    "t9_themes": on_docs(lambda d: tx.dominant_themes(tx.theme_counts(d, "doc_id"), "doc_id")),
+    "t10_tone": on_docs(lambda d: tx.tone(tx.theme_counts(d, "doc_id"), "doc_id")),
+    "t11_polarity": on_docs(_polarity),
+    "t13_markdown": on_docs(lambda d: d.select("doc_id", tx.strip_markdown(F.col("text")).alias("plain"))),
+    "t14_fact_coverage": on_sales(lambda s: tx.fact_coverage(r.narrative(fa.facts(s)), fa.facts(s))),
+    "t15_quality": on_docs(lambda d: tx.quality(d, "doc_id")),
+    "g1_numbers": on_docs(lambda d: g.numbers(d, "doc_id")),
+    "g4_unsupported": on_sales(_ungrounded),
+    "r14_accepted": on_sales(_accepted),
+    "u6_routing": lambda spark, d: u.routed(spark.read.parquet(f"{d}/conversations.parquet").filter("role = 'user'")).select("conv_id", "turn", "route", "engine"),
+    "x1_passages": on_sales(x.kpi_passages),
+    "x7_packed_paragraphs": on_docs(lambda d: x.packed_paragraphs(d, "doc_id")),
+    "x8_embedded": on_sales(lambda s: x.embedded(x.kpi_passages(s)).select("chunk_id", "embedding")),
+    "x10_cosine_top": _cosine,
+    "x11_index_stats": on_sales(lambda s: x.index_stats(x.kpi_passages(s))),
+}
+ORACLE_SQL = ORACLE | oracle_facts.ORACLE | oracle_text.ORACLE
