@@ -89,14 +89,32 @@ class Memo(dict):
         return value
 
 
+_resident: dict = {}
+
+
+def resident(make: Callable, *key):
+    """``make(*key)``, kept in this Python worker until another such object is asked for; a worker thus holds one vocabulary at most."""
+    name = (make.__qualname__, *key)
+    if name not in _resident:
+        _resident.clear()
+        _resident[name] = make(*key)
+    return _resident[name]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Parts of record batches, so that few rows are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def by_batch(fn: Callable[[pa.RecordBatch], dict[str, list]], schema: pa.Schema) -> Callable:
     """A ``mapInArrow`` function from one that maps a record batch to columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+        for batch in sliced(batches):
+            out = fn(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return run
 

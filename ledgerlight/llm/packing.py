@@ -11,14 +11,13 @@ into windows of a power of two, which need no padding.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import Memo, ship, whole_texts
+from .common import Memo, resident, ship, sliced, whole_texts
 from .token_count import byte_symbols
 
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")  # blanks for Python, not for the library
@@ -54,11 +53,6 @@ class WordTokenizer:
         return b"".join([words[w] for w in text.split()])
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
 class SumOfSquares:
     """Online packing of pieces into windows; a piece is ``(doc, start, length, ids)``."""
 
@@ -130,7 +124,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_i
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        tok, packer = tokenizer(vocabulary), SumOfSquares(capacity, quantum)
+        tok, packer = resident(WordTokenizer, vocabulary), SumOfSquares(capacity, quantum)
         sequence = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
         schema = None
@@ -148,7 +142,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_i
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
-        for b in batches:
+        for b in sliced(batches):
             fields = [("doc_id", b.schema.field(0).type), *((n, pa.int64()) for n in names[1:])]
             schema = pa.schema([*fields, *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
             for doc, text in zip(b.column(0).to_pylist(), whole_texts(b)):

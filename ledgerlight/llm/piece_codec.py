@@ -10,14 +10,13 @@ text gives back exactly those two. Characters outside the vocabulary become byte
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, by_batch, ship, whole_texts
+from .common import by_batch, Memo, resident, ship, whole_texts
 
 BLANK = "▁"  # fixed value: stands for a blank in pieces
 NORMAL, USER, BYTE = 1, 4, 6  # fixed values: kinds of pieces in model files
@@ -174,11 +173,6 @@ class PieceCodec:
         return ",".join(ids), "".join(parts).removeprefix(" ")
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
-
-
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, ids array<int>, decoded string``.
 
@@ -189,7 +183,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     ship(docs.sparkSession)
 
     def batch(b: pa.RecordBatch) -> dict:
-        done = [codec(model).round_trip(t) for t in whole_texts(b)]
+        done = [resident(PieceCodec, model).round_trip(t) for t in whole_texts(b)]
         return {"doc_id": b.column(0), "ids": [[int(x) for x in i.split(",")] if i else [] for i, _ in done], "decoded": [d for _, d in done]}
 
     return _mapped(docs, id_col, text_col, batch, [("ids", pa.list_(pa.int32())), ("decoded", pa.string())], "ids array<int>, decoded string")
@@ -202,7 +196,7 @@ def encode_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def batch(b: pa.RecordBatch) -> dict:
         out: dict = {"doc_id": b.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for t in whole_texts(b):
-            ids, decoded = codec(model).round_trip(t)
+            ids, decoded = resident(PieceCodec, model).round_trip(t)
             out["n_tokens"].append(ids.count(",") + 1 if ids else 0)
             out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, ship, whole_texts
+from .common import bounded_rows, ship, sliced, whole_texts
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["other", *KINDS]
@@ -170,7 +170,7 @@ def fit_skip_chain(docs: DataFrame, bound: int = 5_000, id_col: str = "doc_id",
     sample = bounded_rows(docs.select(id_col, text_col), text_col, bound)
 
     def counted(batches):
-        for b in batches:
+        for b in sliced(batches):
             c: Counter = Counter()
             for t in whole_texts(b):
                 n = nodes_of(t, base_spans(t))
@@ -214,7 +214,7 @@ def find_pii(docs: DataFrame, model: SkipChain, id_col: str = "doc_id", text_col
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             spans = []
             for t in whole_texts(b, 0):
                 base = base_spans(t)
@@ -230,25 +230,26 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def masked(docs: DataFrame, model: SkipChain, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def masked(docs: DataFrame, model: SkipChain, text_col: str = "text") -> DataFrame:
     """The table with each span's text replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    found = find_pii(docs, model, id_col, text_col, keep=list(docs.columns))
+    ship(docs.sparkSession)
+
+    def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
+        parts, end = [], 0
+        for k, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+            if s >= end:
+                parts += [text[end:s], f"[{KINDS[k].upper()}]"]
+            end = max(end, e)
+        return "".join(parts) + text[end:]
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             at = b.schema.get_field_index(text_col)
-            out = []
-            for t, spans in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                if not spans:
-                    out.append(t)
-                    continue
-                parts, end = [], 0
-                for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-                    if s["start"] >= end:
-                        parts += [t[end : s["start"]], f"[{s['kind'].upper()}]"]
-                    end = max(end, s["end"])
-                out.append("".join(parts) + t[end:])
-            arrays = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names[:-1])
-
-    return found.mapInArrow(run, docs.schema)
+            out = b.column(at).to_pylist()
+            for i, t in enumerate(out):
+                base = base_spans(t) if t else []
+                if base:
+                    out[i] = mask(t, base + model.added_spans(t, base))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

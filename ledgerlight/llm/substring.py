@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, whole_texts, written
+from .common import ship, sliced, whole_texts, written
 
 WIDTH = 35
 SHINGLE = 6
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 BLANKS = np.zeros(256, bool)
 BLANKS[[32, *range(9, 14)]] = True
 ODD = 0x9E3779B97F4A7C15
@@ -118,7 +118,7 @@ def _stretches(keyed: DataFrame, width: int, shingle: int) -> DataFrame:
     kind = keyed.schema["doc"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows, where = [], []
             for i, t in enumerate(whole_texts(b, 2)):
                 got = Windows(word_hashes(t.encode("utf-8", "surrogatepass"))).stretches(width, shingle)
@@ -205,7 +205,7 @@ def _edge_windows(joined: DataFrame, width: int) -> DataFrame:
     kind = joined.schema["doc"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             docs, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: dict[str, list] = {k: [] for k in ("fp", "hash", "doc", "key", "first", "i", "times")}
             for doc, key, text, edges in zip(docs, keys, whole_texts(b, 2), b.column(3).to_pylist()):
@@ -246,7 +246,7 @@ def remove_repeated(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE,
     kind = keyed.schema["doc"].dataType.simpleString()
 
     def run(rows):
-        for b in rows:
+        for b in sliced(rows):
             n_words, n_removed, kept_text = [], [], []
             for text, marks in zip(whole_texts(b, 2), b.column(3).to_pylist()):
                 words = text.encode("utf-8", "surrogatepass").split()

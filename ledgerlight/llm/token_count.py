@@ -8,14 +8,13 @@ files (regex split, no prefix space), including added tokens that stand inside a
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, by_batch, ship, whole_texts
+from .common import by_batch, Memo, resident, ship, whole_texts
 
 # Fixed value: the split pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -119,11 +118,6 @@ class ByteBpeCounter:
         return len(parts) - 1 + sum(map(self.plain_count, parts))
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> ByteBpeCounter:
-    return ByteBpeCounter(path)
-
-
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_tokens, over_limit``.
 
@@ -136,7 +130,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
     kind = docs.schema[id_col].dataType.simpleString()
 
     def batch(b: pa.RecordBatch) -> dict:
-        c, texts = counter(vocabulary), whole_texts(b)
+        c, texts = resident(ByteBpeCounter, vocabulary), whole_texts(b)
         n = [c.count(t) for t in texts]
         return {"doc_id": b.column(0), "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_rows, ship, whole_texts, written
+from .common import Memo, bounded_rows, ship, sliced, whole_texts, written
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
@@ -55,8 +55,14 @@ class ToxicityModel:
     bias: float
 
     def __post_init__(self):
-        self.hits = Memo(lambda w: tuple(f for f in word_features(w) if f in self.weights), 300_000)
-        self.rough = Memo(lambda w: tuple(sorted({f for x in WORD.findall(w.lower()) for f in self.hits[x]})), 600_000)
+        self.hits = Memo(lambda w: tuple(f for f in word_features(w) if f in self.weights), 200_000)
+        self.rough = Memo(lambda w: tuple(sorted({f for x in WORD.findall(w.lower()) for f in self.hits[x]})), 400_000)
+
+    def forget(self) -> None:
+        """Empty the caches, so that a task leaves nothing in its worker."""
+        for memo in (self.hits, self.rough):
+            memo.clear()
+            memo.old = {}
 
     def __reduce__(self):
         return ToxicityModel, (self.weights, self.bias)
@@ -111,7 +117,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_f
     sample = written(docs.join(F.broadcast(chosen), docs[id_col] == chosen.id_).select("y", text_col), "toxicity-sample")  # ids: as many as the bound
 
     def counted(batches):
-        for b in batches:
+        for b in sliced(batches, 2_000):
             every, toxic = Counter(), Counter()
             for y, t in zip(b.column(0).to_pylist(), whole_texts(b)):
                 f = features(t)
@@ -131,7 +137,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_f
     vocabulary = {f: i for i, f in enumerate(sorted({*kept, *(f for own in terms.values() for t in own for f in word_features(t))}))}
 
     def encoded(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = {"y": [], "row": [], "a": [], "b": []}
             for y, t in zip(b.column(0).to_pylist(), whole_texts(b)):
                 found = [(sorted(vocabulary[f] for f in features(t) if f in vocabulary), None, None)]
@@ -162,10 +168,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns).replace(f"`{id_col}`", "doc_id", 0 if keep else 1)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             score = [model.score(t) for t in whole_texts(b, 0)]
             arrays = [*b.columns[1:], pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*(keep or ["doc_id"]), "score", "predicted"])
+        model.forget()
 
     return docs.select(F.col(text_col).alias("text_"), *columns).mapInArrow(run, f"{kinds}, score double, predicted int")
 
