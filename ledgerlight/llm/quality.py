@@ -79,9 +79,12 @@ def fit_trees(x: np.ndarray, y: np.ndarray, directions: list[int], rounds: int =
     A split on a feature with a direction is taken only if its sides' values follow it, and
     both sides are then held to their side of the middle, so the whole model is monotone.
     """
+    if not len(y):
+        none = np.zeros(0, np.int64)
+        return Trees(0.0, none, none, np.zeros(0), none, none, np.zeros(0), 0)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     code = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)])
-    share = min(max(y.mean() if len(y) else 0.5, 1e-3), 1 - 1e-3)
+    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     base = float(np.log(share / (1 - share)))
     margin = np.full(len(y), base)
     nodes: dict[str, list] = {k: [] for k in ("feature", "threshold", "left", "right", "value")}
@@ -93,7 +96,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, directions: list[int], rounds: int =
             nodes[k].append(v)
         return i
 
-    for _ in range(rounds if len(y) else 0):
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
         g, h = p - y, p * (1 - p)
         root = add(0.0)
