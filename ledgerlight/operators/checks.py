@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .measures import TOTAL, by, change_pct
+from .measures import by, change_pct, total
 
 WARN, ERROR = 1.0, 5.0
 
@@ -23,7 +23,7 @@ def compared(name: str, expected: Column, actual: Column, absolute: bool = False
 
 
 def total_is_sum_of_years(s: DataFrame) -> DataFrame:
-    one = s.agg(F.round(TOTAL, 2).alias("e")).crossJoin(by(s, ["year"], ["sales"]).agg(F.round(F.sum("sales"), 2).alias("a")))
+    one = s.agg(F.round(total(), 2).alias("e")).crossJoin(by(s, ["year"], ["sales"]).agg(F.round(F.sum("sales"), 2).alias("a")))
     return one.select(*compared("total_years", F.col("e"), F.col("a")))
 
 
@@ -37,7 +37,7 @@ def years_are_sums_of_regions(annual: DataFrame, region_quarter: DataFrame) -> D
 
 
 def regions_sum_to_total(s: DataFrame) -> DataFrame:
-    one = s.agg(F.round(TOTAL, 2).alias("e")).crossJoin(by(s, ["region"], ["sales"]).agg(F.round(F.sum("sales"), 2).alias("a")))
+    one = s.agg(F.round(total(), 2).alias("e")).crossJoin(by(s, ["region"], ["sales"]).agg(F.round(F.sum("sales"), 2).alias("a")))
     return one.select(*compared("regions_total", F.col("e"), F.col("a")))
 
 

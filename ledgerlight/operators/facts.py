@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from .measures import change_pct, measure
 
-SCOPE = F.when(F.grouping("region") == 0, F.concat(F.lit("region:"), "region")).when(F.grouping("category") == 0, F.concat(F.lit("category:"), "category")).otherwise("all")
+
+def scope_name() -> Column:
+    return F.when(F.grouping("region") == 0, F.concat(F.lit("region:"), "region")).when(F.grouping("category") == 0, F.concat(F.lit("category:"), "category")).otherwise("all")
 
 
 def scope_groups(s: DataFrame, dims: list[str], names: list[str]) -> DataFrame:
     """``scope`` and ``dims`` with measures, for all scopes in one pass over the fact."""
     sets = [dims, [*dims, "region"], [*dims, "category"]]
     cols = list(dict.fromkeys([*dims, "region", "category"]))
-    return s.groupingSets(sets, *cols).agg(SCOPE.alias("scope"), *[measure(n) for n in names]).drop(*(c for c in ("region", "category") if c not in dims))
+    return s.groupingSets(sets, *cols).agg(scope_name().alias("scope"), *[measure(n) for n in names]).drop(*(c for c in ("region", "category") if c not in dims))
 
 
 def trend(growth: Column) -> Column:

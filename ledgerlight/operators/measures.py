@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOTAL = F.sum("sales").cast("double")
+
+def total() -> Column:
+    return F.sum("sales").cast("double")
 
 
 def measure(name: str, digits: int = 2) -> Column:
     """A named aggregate over the sales fact; amounts are exact sums, then rounded."""
     orders, articles = F.countDistinct("order_id"), F.count("*")
     return {
-        "sales": F.round(TOTAL, digits),
+        "sales": F.round(total(), digits),
         "orders": orders,
         "articles": articles,
-        "basket": F.round(TOTAL / orders, digits),
+        "basket": F.round(total() / orders, digits),
         "clients": F.countDistinct("customer_id"),
         "products": F.countDistinct("product_id"),
         "product_names": F.countDistinct("product_name"),
-        "avg_price": F.round(TOTAL / articles, digits),
+        "avg_price": F.round(total() / articles, digits),
         "avg_delay": F.round(F.avg("ship_delay_days"), 1),
         "last_order": F.max("order_date"),
     }[name].alias(name)
