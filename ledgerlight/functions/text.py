@@ -35,6 +35,9 @@ def by_language(lang: Column, make) -> Column:
 
 
 def any_of(text: Column, terms: list[str]) -> Column:
+    """Whether a term stands in the text; a long list is looped over, to keep generated code small."""
+    if len(terms) > 40:
+        return F.exists(F.array(*map(F.lit, terms)), lambda t: text.contains(t))
     return reduce(Column.__or__, [text.contains(t) for t in terms])
 
 

@@ -74,3 +74,8 @@ PASSAGES = SALES + f""", y AS ({grouped('year', 'sales orders')}), yy AS (SELECT
  UNION ALL SELECT 'region-' || region, 'region', NULL, region, 'Region ' || region || ' holds ' || {num('round(sales * 100 / (SELECT sum(sales) FROM rg), 2)')} || '% of sales.' FROM rg"""
 ORACLE["x1_passages"] = PASSAGES
 ORACLE["x11_index_stats"] = f"SELECT chunk_type, count(*) AS n FROM ({PASSAGES}) GROUP BY chunk_type"
+ADVICE = SALES + f""", rg AS ({grouped('region', 'sales')}), cg AS ({grouped('category', 'sales')}), yg AS ({grouped('year', 'sales')}), al AS (SELECT count(*) AS n FROM (SELECT *, {pct('sales', 'p', 1)} AS v FROM (SELECT *, lag(sales) OVER (PARTITION BY quarter ORDER BY year) AS p FROM ({grouped('year, quarter', 'sales')}))) WHERE v < -20),
+ g AS (SELECT (arg_max(sales, year) - arg_min(sales, year)) / nullif(arg_min(sales, year), 0) * 100 AS v FROM yg), e AS (SELECT (SELECT region FROM rg ORDER BY sales DESC, region DESC LIMIT 1) AS t, (SELECT region FROM rg ORDER BY sales, region LIMIT 1) AS l)
+ SELECT concat_ws('; ', CASE WHEN n > 0 THEN 'Look into ' || n || ' alerts' END, CASE WHEN t <> l THEN 'Bring ' || l || ' closer to ' || t END, CASE WHEN (SELECT max(sales) > 1.3 * min(sales) FROM cg) THEN 'Category ' || (SELECT category FROM cg ORDER BY sales DESC, category DESC LIMIT 1) || ' dominates' END, CASE WHEN v > 30 THEN 'Secure the growth' WHEN v < 5 THEN 'Revive the growth' END) AS advice FROM al, g, e"""
+ORACLE["r7_scope_advice"] = ADVICE
+ORACLE["x12_pairwise"] = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0) SELECT a.vec_id AS query_id, b.vec_id AS passage_id, round(list_cosine_similarity(a.v, b.v), 4) AS similarity FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE round(list_cosine_similarity(a.v, b.v), 4) > -1.5"

@@ -14,6 +14,7 @@ from ..functions import text as tx
 from ..operators import anomalies as a
 from ..operators import checks as v
 from ..operators import facts as fa
+from ..operators import reports as rp
 from ..operators import retrieval as x
 from ..operators import rules as r
 from ..operators import kpis as k
@@ -187,4 +188,26 @@ QUERIES |= {
     "x10_cosine_top": _cosine,
     "x11_index_stats": on_sales(lambda s: x.index_stats(x.kpi_passages(s))),
 }
+
+
+def _pairwise(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of each two of the stated vectors."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("passage_id"), "embedding")
+    found = x.cosine_top(v.withColumnRenamed("passage_id", "query_id"), v, k=1 << 30, least=-1.5)
+    return found.drop("rank")
+
+
+def _context(spark: SparkSession, d: str) -> DataFrame:
+    s = src.sales_fact(spark, d)
+    turns = u.routed(spark.read.parquet(f"{d}/conversations.parquet").filter("role = 'user'"))
+    return rp.question_context(turns, fa.facts(s), s, ["conv_id", "turn"])
+
+
+QUERIES |= {
+    "r7_scope_advice": on_sales(lambda s: rp.scope_advice(s, a.anomalies(s))),
+    "r15_all_reports": on_sales(rp.all_reports),
+    "t12_analysis": on_docs(lambda d: rp.analysis(d, "doc_id")),
+    "u7_question_context": _context,
+    "x12_pairwise": _pairwise,
+}
 ORACLE_SQL = ORACLE | oracle_facts.ORACLE | oracle_text.ORACLE

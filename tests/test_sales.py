@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlight.functions import grounding, routing, text
-from ledgerlight.operators import anomalies, facts, kpis, retrieval, rules, scopes
+from ledgerlight.operators import anomalies, facts, kpis, reports, retrieval, rules, scopes
 from ledgerlight.sources import sales, tables
 
 COLUMNS = sales.SALES_CSV.names
@@ -128,3 +128,16 @@ def test_plans(spark):
     s = sales.sales_fact(spark, "/root/testdata/sf0.001")
     plan = kpis.annual(s)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan and "l_comment" not in plan
+
+
+def test_noisy_records(spark):
+    good = '{"summary": "s", "recommendations": [{"action": "a", "priority": "LOW"}, {"action": " "}, {"action": "b", "priority": "high", "level": "odd"}]}'
+    rows = [(1, good), (2, f"```json\n{good}\n```"), (3, f"Here: {good} done"), (4, "no record"), (5, None), (6, '{"summary": " "}')]
+    df = spark.createDataFrame(rows, "i int, raw string").select("i", reports.json_record(F.col("raw")).alias("record"))
+    got = {r.i: r for r in reports.repaired(df, "wait").collect()}
+    for i in (1, 2, 3):
+        assert [(x.action, x.priority, x.level) for x in got[i].recommendations] == [("b", "high", "operational"), ("a", "low", "operational")] and got[i].summary == "s"
+    for i in (4, 5, 6):
+        assert got[i].summary == "No summary" and [x.action for x in got[i].recommendations] == ["wait"]
+    t = spark.createDataFrame([("up 12% of 99 now", ["12", "99"]), ("same", None)], "t string, r array<string>")
+    assert [r.x for r in t.select(reports.without_numbers(F.col("t"), F.col("r")).alias("x")).collect()] == ["up of now", "same"]
