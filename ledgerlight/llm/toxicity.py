@@ -56,7 +56,7 @@ class ToxicityModel:
 
     def __post_init__(self):
         self.hits = Memo(lambda w: tuple(f for f in word_features(w) if f in self.weights), 200_000)
-        self.rough = Memo(lambda w: tuple(sorted({f for x in WORD.findall(w.lower()) for f in self.hits[x]})), 400_000)
+        self.rough = Memo(lambda w: tuple(sorted({f for x in WORD.findall(w.lower()) for f in self.hits[x]})), 250_000)
 
     def forget(self) -> None:
         """Empty the caches, so that a task leaves nothing in its worker."""
