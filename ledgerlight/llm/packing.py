@@ -33,7 +33,7 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.mapped = byte_symbols()
-        self.words = Memo(self.word, 400_000)
+        self.words = Memo(self.word, 500_000)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
