@@ -139,6 +139,33 @@ def test_lines(spark):
         assert t is None and got[i].kept_text is None or [x for x in got[i].kept_text.split("\n") if x.strip()] == kept[-1]
 
 
+def all_shingles(x):
+    return {x[m : m + 8] for m in range(max(len(x) - 7, 1))}
+
+
+def linked(lines_):
+    """The least index of each line's component, by all pairs."""
+    sets, root = [all_shingles(x) for x in lines_], list(range(len(lines_)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def kept_lines(spark, lines_):
+    df = spark.createDataFrame(list(enumerate(lines_)), "doc_id long, text string")
+    return {r.doc_id for r in lines.dedup_lines(df).collect() if not r.n_removed}
+
+
+def test_lines_have_shingles_at_every_position(spark):
+    texts = ["2024-01-15T10:22:41", "2024-01-20T11:47:03", "https://example.org/a/b", "https://other.example/c", "a\tfirst\trow", "a\tfirst\tother row", "\U0001f642 smile", "\U0001f642\U0001f642 smile", "international", "internationalisation"]
+    assert kept_lines(spark, texts) == {i for i, r in enumerate(linked(texts)) if i == r}
+    df = spark.createDataFrame([(x,) for x in texts], "line string").select("line", F.size(lines.shingle_set(F.col("line"))).alias("n"))
+    assert all(r.n == len(all_shingles(r.line)) for r in df.collect())
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 16)).astype("f4")
