@@ -166,6 +166,25 @@ def test_lines_have_shingles_at_every_position(spark):
     assert all(r.n == len(all_shingles(r.line)) for r in df.collect())
 
 
+def test_line_recall(spark):
+    rng = np.random.default_rng(22)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    texts = []
+    for n in [*range(12, 60), *range(60, 300, 8)]:
+        for _ in range(4):
+            x = text(n)
+            cut = (n - 7) // 5
+            texts += [x, x[: n - cut]]  # Jaccard 0.8 or little more
+    word = text(12)
+    texts += [word * 17, word * 18, "| --- " * 17 + "|", "| --- " * 18 + "|"]
+    root = linked(texts)
+    want = {i for i, r in enumerate(root) if i == r}
+    got = kept_lines(spark, texts)
+    short = {i for i, x in enumerate(texts) if len(x) < 43}
+    assert got >= want and got & short == want & short and len(got - want) <= 0.02 * (len(texts) - len(want))
+    assert {len(texts) - 1, len(texts) - 3}.isdisjoint(got)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 16)).astype("f4")
