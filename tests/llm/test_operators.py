@@ -166,6 +166,20 @@ def test_lines_have_shingles_at_every_position(spark):
     assert all(r.n == len(all_shingles(r.line)) for r in df.collect())
 
 
+def test_lines_in_crowded_buckets_are_all_compared(spark):
+    rng = np.random.default_rng(21)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    base = text(400)
+    # Variants of one line, like it but not like each other, among lines that share only a long beginning.
+    edited = [base[:at] + text(30) + base[at + 30 :] for at in range(2, 350, 5)]
+    start = text(60)
+    shared = [start + text(70) for _ in range(40)] + [start * 2 + text(9) for _ in range(5)]
+    shared += [x[:-3] + "xyz" for x in shared[:20]]
+    texts = [edited[0], *edited[1:35], base, *edited[35:], *shared]
+    want = {i for i, r in enumerate(linked(texts)) if i == r}
+    assert len(want) < len(texts) - 60 and kept_lines(spark, texts) == want
+
+
 def test_line_recall(spark):
     rng = np.random.default_rng(22)
     text = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
