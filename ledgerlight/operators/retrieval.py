@@ -67,16 +67,24 @@ def unit(df: DataFrame, col: str) -> DataFrame:
 def cosine_top(queries: DataFrame, passages: DataFrame, k: int = 5, least: float = 0.3, query_id: str = "query_id", passage_id: str = "passage_id", most_queries: int = 10_000) -> DataFrame:
     """The ``k`` passages nearest to each query by cosine, above ``least``; both have a column ``embedding``.
 
-    The stated set of queries goes to every task, so its size is checked; each partition of
-    passages keeps its ``k`` best for each query before the exchange.
+    Queries go to every task in blocks of about ``most_queries``, dealt by a hash of their
+    id, so a broadcast stays bounded however many there are; each block reads the passages
+    once.
     """
-    if queries.count() > most_queries:
-        raise ValueError(f"search in batches of at most {most_queries} queries")
-    q = F.broadcast(unit(queries.select(query_id, F.col("embedding").alias("_q")), "_q"))
+    n = queries.count()
+    blocks = -(-n // most_queries) or 1
     dot = F.aggregate(F.zip_with("_q", "embedding", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = unit(passages.select(passage_id, "embedding"), "embedding").join(q, F.col(passage_id) != F.col(query_id)).select(query_id, passage_id, F.round(dot, 4).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("similarity"), passage_id))
-    return scored.filter(F.col("similarity") > least).withColumn("rank", rank).filter(F.col("rank") <= k)
+    mine = unit(queries.select(query_id, F.col("embedding").alias("_q")), "_q")
+    units = unit(passages.select(passage_id, "embedding"), "embedding")
+
+    def best(q: DataFrame) -> DataFrame:
+        scored = units.join(F.broadcast(q), F.col(passage_id) != F.col(query_id)).select(query_id, passage_id, F.round(dot, 4).alias("similarity"))
+        return scored.filter(F.col("similarity") > least).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    if blocks == 1:
+        return best(mine)
+    return reduce(DataFrame.unionByName, [best(mine.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)) for b in range(blocks)])
 
 
 def index_stats(passages: DataFrame) -> DataFrame:

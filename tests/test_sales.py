@@ -141,3 +141,11 @@ def test_noisy_records(spark):
         assert got[i].summary == "No summary" and [x.action for x in got[i].recommendations] == ["wait"]
     t = spark.createDataFrame([("up 12% of 99 now", ["12", "99"]), ("same", None)], "t string, r array<string>")
     assert [r.x for r in t.select(reports.without_numbers(F.col("t"), F.col("r")).alias("x")).collect()] == ["up of now", "same"]
+
+
+def test_cosine_top_in_blocks(spark):
+    rows = [(i, [float(i % 7 + 1), float(i % 5), float(i % 3)]) for i in range(40)]
+    passages = spark.createDataFrame(rows, "passage_id long, embedding array<double>")
+    queries = passages.withColumnRenamed("passage_id", "query_id")
+    whole = sorted(map(tuple, retrieval.cosine_top(queries, passages, k=3).collect()))
+    assert len(whole) == 120 and sorted(map(tuple, retrieval.cosine_top(queries, passages, k=3, most_queries=6).collect())) == whole
