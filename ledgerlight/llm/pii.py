@@ -152,8 +152,8 @@ class SkipChain:
 
     def added_spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         n = nodes_of(text, base)
-        if not any(o < 0 for o in n.observed) or not any(o >= 0 for o in n.observed):
-            return []  # nothing open, or nothing that could spread
+        if not any(o < 0 for o in n.observed):
+            return []  # nothing open
         p = self.marginals(n)
         label, sure = p[:, 1:].argmax(1), p[:, 1:].max(1) >= SURE
         return [(int(label[i]), n.start[i], n.end[i]) for i in range(len(n.start)) if n.observed[i] < 0 and sure[i]]
@@ -218,7 +218,7 @@ def find_pii(docs: DataFrame, model: SkipChain, id_col: str = "doc_id", text_col
             spans = []
             for t in whole_texts(b, 0):
                 base = base_spans(t)
-                added = model.added_spans(t, base) if base else []
+                added = model.added_spans(t, base)
                 spans.append([{"kind": KINDS[k], "start": s, "end": e, "base": o} for k, s, e, o in sorted([(*x, True) for x in base] + [(*x, False) for x in added])])
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(spans, pa.list_(span))], names=[*names, "spans"])
 
@@ -247,8 +247,8 @@ def masked(docs: DataFrame, model: SkipChain, text_col: str = "text") -> DataFra
             at = b.schema.get_field_index(text_col)
             out = b.column(at).to_pylist()
             for i, t in enumerate(out):
-                base = base_spans(t) if t else []
-                if base:
+                if t:
+                    base = base_spans(t)
                     out[i] = mask(t, base + model.added_spans(t, base))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
 

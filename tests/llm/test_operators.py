@@ -239,6 +239,17 @@ def test_pii(spark):
     assert pii.find_pii(df.filter("doc_id < 0"), model).count() == 0
 
 
+def test_field_runs_without_base_matches(spark):
+    shape = pii.nodes_of("300.1.1.1", []).shape[0]
+    model = pii.SkipChain({shape: np.log([0.02, 0.01, 0.95, 0.01, 0.01]).tolist()}, np.log([0.96, *[0.01] * 4]).tolist(), np.zeros((5, 5)), np.zeros((5, 5)))
+    texts = ["host 300.1.1.1 down", "host 300.1.1.1 down, mail a@b.org", "no number"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = by_id(pii.find_pii(df, model))
+    added = [[(s.kind, s.start, s.end) for s in found[i].spans if not s.base] for i in range(3)]
+    assert added == [[("ip", 5, 14)], [("ip", 5, 14)], []]
+    assert by_id(pii.masked(df, model))[0].text == "host [IP] down"
+
+
 def test_skip_edges_spread_labels():
     text = "4111111111111111 x 4111111111111111"
     nodes = pii.nodes_of(text, [(2, 0, 16)])
