@@ -111,7 +111,10 @@ def near_duplicate_classes(docs: DataFrame, size: int = 3, seed: int = 42, id_co
 
 
 def one_per_class(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicate class, one row for each such id."""
-    classes = near_duplicate_classes(docs, size, seed, id_col, text_col)
-    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("stay_")), "left_semi").dropDuplicates([id_col])
+    """One row of ``docs`` for each near-duplicate class: that of the smallest id (null last), then of the least text hash."""
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"))
+    rows = docs.withColumn("row_", row)
+    classes = near_duplicate_classes(rows, size, seed, "row_", text_col)
+    stay = classes.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stay_")).distinct()
+    # Structs are equal where their fields are, null ids included.
+    return rows.join(stay, F.col("row_") == F.col("stay_"), "left_semi").dropDuplicates(["row_"]).drop("row_")

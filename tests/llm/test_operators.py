@@ -106,6 +106,14 @@ def test_simhash(docs, spark):
     assert simhash.one_per_class(docs).filter("doc_id in (7, 8)").count() == 1
 
 
+def test_one_per_class_keeps_rows_of_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(11)
+    a, b, c, d, e = (" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (2, d), (7, e), (7, e), (None, e)]
+    kept = simhash.one_per_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, a), (None, b), (5, c), (2, d), (7, e)])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
