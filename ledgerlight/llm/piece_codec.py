@@ -21,6 +21,7 @@ from .common import by_batch, Memo, resident, ship, whole_texts
 BLANK = "▁"  # fixed value: stands for a blank in pieces
 NORMAL, USER, BYTE = 1, 4, 6  # fixed values: kinds of pieces in model files
 SHIFT, OTHER = 24, (1 << 24) - 1
+LONG = 64  # characters of the longest word whose result is kept
 
 
 class PieceCodec:
@@ -112,19 +113,22 @@ class PieceCodec:
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of blanks followed by other characters, or of a run of blanks."""
-        # Runs of blanks hold pieces of equal score, where the place decides; those are merged out.
-        return self.token_ids(self.merged(word) if word[1:2] == BLANK else self.prefix_tokens(word))
+        return self.token_ids(self.prefix_tokens(word))
 
     def word_entry(self, word: str) -> tuple[str, str]:
-        """Ids and text of a word, by its parts where it holds two characters that no piece has side by side."""
+        """Ids and text of a word, by its parts where two characters meet that no piece has side by side."""
         pairs = self.pairs
-        for i in range(len(word) - 1, 0, -1):
-            if word[i - 1 : i + 1] not in pairs:
-                (a, b), (c, d) = self.words[word[:i]], self.words[word[i:]]
-                return f"{a},{c}", b + d
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs]
+        if cuts:
+            parts = [self.entry(word[i:j]) for i, j in zip([0, *cuts], [*cuts, len(word)])]
+            return ",".join([ids for ids, _ in parts]), "".join([t for _, t in parts])
         ids = self.word_ids(word)
         return ",".join(map(str, ids)), self.decode_run(ids)
 
+    def entry(self, word: str) -> tuple[str, str]:
+        """As ``word_entry``; long words are not kept, so that the cache is bounded in bytes as well."""
+        return self.words[word] if len(word) <= LONG else self.word_entry(word)
+
     @staticmethod
     def split_words(text: str) -> list[str]:
         """The text with its dummy blank, cut before each run of blanks; no piece crosses a cut."""
@@ -166,9 +170,10 @@ class PieceCodec:
             return "", ""
         words = self.words
         if "  " in text or BLANK in text or text[0] == " " or text[-1] == " ":
-            entries = [words[w] for w in self.split_words(text)]
+            split = self.split_words(text)
         else:
-            entries = [words[w] for w in ("▁" + text.replace(" ", " ▁")).split(" ")]
+            split = ("▁" + text.replace(" ", " ▁")).split(" ")
+        entries = [words[w] if len(w) <= LONG else self.word_entry(w) for w in split]
         ids, parts = zip(*entries)
         return ",".join(ids), "".join(parts).removeprefix(" ")
 
@@ -177,8 +182,9 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """One row per document: ``doc_id, ids array<int>, decoded string``.
 
     ``model`` is a path that every executor can open. Null and empty texts give no ids and
-    an empty text; repeated rows each get a row; an empty table gives an empty one; other
-    columns are not read. A map without a shuffle.
+    an empty text; null ids stay null; repeated rows each get a row; an empty table gives an
+    empty one; other columns are not read. Time and memory grow with the length of a text,
+    whether it has blanks or not. A map without a shuffle.
     """
     ship(docs.sparkSession)
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,20 @@ def test_piece_codec(docs):
         assert digests[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and digests[i].n_tokens == len(ids)
 
 
+def test_piece_codec_on_long_runs():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m, codec, rng = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.PieceCodec(path), np.random.default_rng(9)
+    drawn = lambda letters, n: "".join(rng.choice(list(letters), n))
+    runs = [drawn("0123456789", 100_000), drawn("日本語中文字的是在有", 100_000), drawn("🙂🚀🎉", 30_000), "ab9_" * 20_000, drawn("abcdefgh", 60_000), " " * 5_000, " " * 777 + "x", "a" + " " * 33 + "b" + " " * 1_001]
+    runs += [" ".join(" " * int(rng.integers(0, 40)) + drawn("xthe0é", int(rng.integers(0, 5))) for _ in range(50)) for _ in range(40)]
+    for text in runs:
+        ids = m.encode(text)
+        assert codec.round_trip(text) == (",".join(map(str, ids)), m.decode(ids))
+    assert max(map(len, codec.words)) <= piece_codec.LONG
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
@@ -170,8 +185,10 @@ def kept_lines(spark, lines_):
 def test_lines_have_shingles_at_every_position(spark):
     texts = ["2024-01-15T10:22:41", "2024-01-20T11:47:03", "https://example.org/a/b", "https://other.example/c", "a\tfirst\trow", "a\tfirst\tother row", "\U0001f642 smile", "\U0001f642\U0001f642 smile", "international", "internationalisation"]
     assert kept_lines(spark, texts) == {i for i, r in enumerate(linked(texts)) if i == r}
-    df = spark.createDataFrame([(x,) for x in texts], "line string").select("line", F.size(lines.shingle_set(F.col("line"))).alias("n"))
-    assert all(r.n == len(all_shingles(r.line)) for r in df.collect())
+    for k in (1, 2, 5, 8, 11):
+        hashes, count = lines.shingle_hashes(pa.array([*texts, "", "x" * 40]), k)
+        own = [{x[m : m + k] for m in range(max(len(x) - k + 1, 1))} for x in [*texts, "", "x" * 40]]
+        assert [len(set(h.tolist())) for h in np.split(hashes, np.cumsum(count)[:-1])] == [len(s) for s in own] and len(set(hashes.tolist())) == len(set().union(*own))
 
 
 def test_lines_in_crowded_buckets_are_all_compared(spark):
