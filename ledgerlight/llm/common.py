@@ -9,7 +9,9 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +38,15 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under the cluster's checkpoint folder, for tables that cut lineage.
 
-    ``spark.checkpoint.dir`` names a folder that all executors see. Where it is unset
-    (tests, local runs) a local folder is used, and set for ``checkpoint()`` as well.
+    ``spark.checkpoint.dir`` names a folder that all executors see. Where it is unset a
+    session in one process (tests, local runs) uses a local folder, which is set for
+    ``checkpoint()`` as well; a cluster is told to name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "ledgerlight-shared")
         os.makedirs(base, exist_ok=True)
         if spark.sparkContext.getCheckpointDir() is None:
@@ -108,6 +114,15 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def sized(batches: Iterator[pa.RecordBatch], *text_columns: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of record batches with about ``most`` bytes of text each, so that memory follows the longest text and not the number of rows."""
+    for batch in batches:
+        size = sum(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in text_columns)
+        edges = np.flatnonzero(np.diff(np.cumsum(size) // most, prepend=-1, append=-1))
+        for at, end in zip(edges[:-1], edges[1:]):
+            yield batch.slice(at, end - at)
+
+
 def by_batch(fn: Callable[[pa.RecordBatch], dict[str, list]], schema: pa.Schema) -> Callable:
     """A ``mapInArrow`` function from one that maps a record batch to columns."""
 

@@ -142,7 +142,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = 20_000, id_col:
         return {"y": b.column(0), "x": [statistics(t)[1] for t in whole_texts(b)]}
 
     schema = pa.schema([("y", pa.float64()), ("x", pa.list_(pa.float64()))])
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen.id_).select("y", text_col).mapInArrow(by_batch(batch, schema), "y double, x array<double>").toPandas()
+    texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
+    sample = texts.join(F.broadcast(chosen), "id_").select("y", "text_").mapInArrow(by_batch(batch, schema), "y double, x array<double>").toPandas()
     x = np.array(sample.x.tolist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, sample.y.to_numpy()))  # the same trees whatever the order of rows
     return fit_trees(x[order], sample.y.to_numpy(float)[order], list(FEATURES.values()))

@@ -112,9 +112,9 @@ def near_duplicate_classes(docs: DataFrame, size: int = 3, seed: int = 42, id_co
 
 def one_per_class(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each near-duplicate class: that of the smallest id (null last), then of the least text hash."""
-    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"))
-    rows = docs.withColumn("row_", row)
-    classes = near_duplicate_classes(rows, size, seed, "row_", text_col)
-    stay = classes.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stay_")).distinct()
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"), F.col(text_col).alias("text"))  # columns of any name
+    classes = near_duplicate_classes(rows, size, seed, "key", "text")
+    stay = classes.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stay")).distinct()
     # Structs are equal where their fields are, null ids included.
-    return rows.join(stay, F.col("row_") == F.col("stay_"), "left_semi").dropDuplicates(["row_"]).drop("row_")
+    return rows.join(stay, F.col("key") == F.col("stay"), "left_semi").dropDuplicates(["key"]).select("row.*")

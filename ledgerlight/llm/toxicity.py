@@ -1,14 +1,16 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic model over words and word beginnings. Beside the label loss it is fitted on
-pairs: in labelled sentences each identity term is swapped for other groups' terms and for
-a neutral one, and a change of the score between the two is penalised. A neutral mention
-of a group then says nothing about toxicity, whatever the labelled sample suggests.
+counterfactual pairs: in labelled sentences each identity term is swapped for other groups'
+terms of the same form and for the neutral ones, and into labelled sentences without such a
+term one is put at some place. A change of the score between the two is penalised, so a
+neutral mention of a group says nothing about toxicity, whatever the labelled sample suggests.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -16,18 +18,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Memo, bounded_rows, ship, sliced, whole_texts, written
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
-#: Identity terms by language; the first of each list is the neutral word that also takes their place.
+#: Identity terms by language, a group a row in three forms: persons, one person, of a person. The first row is neutral and also takes their place.
 IDENTITY_TERMS = {
-    "en": ["people", "women", "men", "muslims", "christians", "jews", "gays", "lesbians", "blacks", "whites", "asians", "immigrants", "refugees", "disabled"],
-    "fr": ["gens", "femmes", "hommes", "musulmans", "chrétiens", "juifs", "homosexuels", "noirs", "blancs", "immigrés", "réfugiés", "handicapés"],
-    "de": ["leute", "frauen", "männer", "muslime", "christen", "juden", "schwule", "schwarze", "weiße", "einwanderer", "flüchtlinge", "behinderte"],
-    "es": ["gente", "mujeres", "hombres", "musulmanes", "cristianos", "judíos", "homosexuales", "negros", "blancos", "inmigrantes", "refugiados", "discapacitados"],
-}
+    "en": [("people", "person", "human"), ("women", "woman", "female"), ("men", "man", "male"), ("muslims", "muslim", "islamic"), ("christians", "christian", "catholic"), ("jews", "jew", "jewish"), ("gays", "gay", "homosexual"), ("lesbians", "lesbian", "queer"), ("blacks", "black", "african"), ("whites", "white", "european"), ("asians", "asian", "oriental"), ("immigrants", "immigrant", "foreign"), ("refugees", "refugee", "displaced"), ("amputees", "amputee", "disabled")],
+    "fr": [("gens", "personne", "humain"), ("femmes", "femme", "féminine"), ("hommes", "homme", "masculin"), ("musulmans", "musulman", "islamique"), ("chrétiens", "chrétien", "catholique"), ("juifs", "juif", "hébraïque"), ("homosexuels", "homosexuel", "gay"), ("lesbiennes", "lesbienne", "saphique"), ("noirs", "noir", "africain"), ("blancs", "blanc", "européen"), ("asiatiques", "asiatique", "oriental"), ("immigrés", "immigré", "étranger"), ("réfugiés", "réfugié", "exilé"), ("handicapés", "handicapé", "invalide")],
+    "de": [("leute", "person", "menschlich"), ("frauen", "frau", "weiblich"), ("männer", "mann", "männlich"), ("muslime", "muslim", "islamisch"), ("christen", "christ", "christlich"), ("juden", "jude", "jüdisch"), ("homosexuelle", "homosexueller", "schwul"), ("lesben", "lesbe", "lesbisch"), ("schwarze", "schwarzer", "afrikanisch"), ("weiße", "weißer", "europäisch"), ("asiaten", "asiate", "asiatisch"), ("einwanderer", "ausländer", "ausländisch"), ("flüchtlinge", "flüchtling", "geflüchtet"), ("behinderte", "behinderter", "behindert")],
+    "es": [("gente", "persona", "humano"), ("mujeres", "mujer", "femenina"), ("hombres", "hombre", "masculino"), ("musulmanes", "musulmán", "islámico"), ("cristianos", "cristiano", "católico"), ("judíos", "judío", "hebreo"), ("homosexuales", "homosexual", "gay"), ("lesbianas", "lesbiana", "lésbica"), ("negros", "negro", "africano"), ("blancos", "blanco", "europeo"), ("asiáticos", "asiático", "oriental"), ("inmigrantes", "inmigrante", "extranjero"), ("refugiados", "refugiado", "exiliado"), ("discapacitados", "discapacitado", "inválido")],
+}
 
 
 def word_features(word: str, beginnings: tuple[int, ...] = (4, 5, 6)) -> list[str]:
@@ -39,20 +42,38 @@ def features(text: str) -> set[str]:
     return {f for w in set(WORD.findall(text.lower())) for f in word_features(w)}
 
 
-def swaps(text: str, terms: dict[str, list[str]]) -> list[tuple[str, str]]:
-    """Sentences with an identity term, each beside itself with the term swapped for every other of its language."""
-    group = {t: own for own in terms.values() for t in own}
+def swaps(text: str, terms: dict[str, list[tuple[str, ...]]], most: int = 40) -> list[tuple[str, str]]:
+    """At most ``most`` pairs of a labelled sentence and its counterfactual, chosen by hashes of the text.
+
+    A sentence with an identity term stands beside itself with the term swapped for the same
+    form of every other group of its language. A text without any gives two pairs: a sentence
+    of it without and with a term put in.
+    """
+    others: dict[str, list[str]] = {}
+    for rows in terms.values():
+        for form in zip(*rows):
+            for t in form:
+                others.setdefault(t, []).extend(o for o in form if o != t)
+    low = text.lower()
     pairs = []
-    for s in SENTENCE.split(text.lower()) if any(t in text.lower() for t in group) else ():
-        for t in sorted(set(WORD.findall(s)) & group.keys()):
-            pairs += [(s, re.sub(rf"\b{re.escape(t)}\b", o, s)) for o in group[t] if o != t]
-    return pairs
+    for s in SENTENCE.split(low) if others.keys() & set(WORD.findall(low)) else ():
+        for t in sorted(set(WORD.findall(s)) & others.keys()):
+            pairs += [(s, re.sub(rf"\b{re.escape(t)}\b", o, s)) for o in dict.fromkeys(others[t])]
+    if not pairs and (sentences := [s for s in SENTENCE.split(low) if s.strip()]):
+        every = sorted(others)
+        for turn in range(2 if every else 0):
+            seed = zlib.crc32(f"{turn} {low}".encode("utf-8", "surrogatepass"))
+            words = sentences[seed % len(sentences)].split()
+            at = seed // 7 % (len(words) + 1)
+            pairs.append((" ".join(words), " ".join([*words[:at], every[seed // 11 % len(every)], *words[at:]])))
+    return sorted(pairs, key=lambda p: zlib.crc32(p[1].encode("utf-8", "surrogatepass")))[:most]
 
 
 @dataclass
 class ToxicityModel:
     weights: dict[str, float]
     bias: float
+    pairs: int = 0  # how many counterfactual pairs it was fitted on
 
     def __post_init__(self):
         self.hits = Memo(lambda w: tuple(f for f in word_features(w) if f in self.weights), 200_000)
@@ -65,7 +86,7 @@ class ToxicityModel:
             memo.old = {}
 
     def __reduce__(self):
-        return ToxicityModel, (self.weights, self.bias)
+        return ToxicityModel, (self.weights, self.bias, self.pairs)
 
     def score(self, text: str) -> float:
         rough, found = self.rough, set()
@@ -103,18 +124,21 @@ def fit_logistic(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[in
     return w, float(bias)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_features: int = 20_000, terms: dict[str, list[str]] = IDENTITY_TERMS, even: float = 10.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_features: int = 20_000, terms: dict[str, list[tuple[str, ...]]] = IDENTITY_TERMS, even: float = 10.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """A model from at most about ``bound`` labelled rows, chosen by a hash of the id.
 
     Candidate features are counted in Spark over the sample; those that mark toxic rows
     (at least 3 rows, odds raised beyond chance) are kept, ``most_features`` at most, and
-    identity terms always. Only text is used. Rows without label or id are left out; with
-    no usable rows the model scores everything alike, below 0.5.
+    identity terms always; ``most_features`` is the size of the model. A text gives at most
+    40 counterfactual pairs, so that their number is bounded as well. Only text is used. Rows
+    without label or id are left out; with no usable rows the model scores everything alike,
+    below 0.5. Other columns are not read, whatever their names.
     """
     ship(docs.sparkSession)
     own = labels.groupBy(F.col(id_col).alias("id_")).agg(F.max(label_col).cast("int").alias("y")).filter("y is not null and id_ is not null")
     chosen = bounded_rows(own, "id_", bound)
-    sample = written(docs.join(F.broadcast(chosen), docs[id_col] == chosen.id_).select("y", text_col), "toxicity-sample")  # ids: as many as the bound
+    texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
+    sample = written(texts.join(F.broadcast(chosen), "id_").select("y", "text_"), "toxicity-sample")  # ids: as many as the bound
 
     def counted(batches):
         for b in sliced(batches, 2_000):
@@ -134,7 +158,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_f
     expected = F.col("n") * (pos / n)
     excess = (F.col("a") - expected) / F.sqrt(expected * (1 - pos / n) + 0.5)
     kept = tally.filter(F.col("a") >= 3).withColumn("z", excess).filter("z > 5").orderBy(F.desc("z"), "f").limit(most_features).select("f").toPandas().f.tolist()
-    vocabulary = {f: i for i, f in enumerate(sorted({*kept, *(f for own in terms.values() for t in own for f in word_features(t))}))}
+    vocabulary = {f: i for i, f in enumerate(sorted({*kept, *(f for rows in terms.values() for own in rows for t in own for f in word_features(t))}))}
 
     def encoded(batches):
         for b in sliced(batches):
@@ -154,27 +178,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_f
     whole = sorted((listed(r), int(y)) for r, y in zip(got.row, got.y) if r is not None)
     pairs = sorted((listed(a), listed(b)) for a, b in zip(got.a, got.b) if a is not None)
     w, bias = fit_logistic([r for r, _ in whole], np.array([y for _, y in whole], float), pairs, len(vocabulary), even=even)
-    return ToxicityModel({f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 1e-3}, bias)
+    return ToxicityModel({f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 1e-3}, bias, len(pairs))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per document: ``doc_id, score, predicted``, or the columns ``keep`` in place of ``doc_id``.
+def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """One row per document: ``doc_id, score, predicted``, with ``row`` (a struct of all columns) in place of ``doc_id`` if ``whole``.
 
     Null and empty texts get the score of a text without evidence; null ids stay null;
-    repeated rows get a row each; an empty table gives an empty one.
+    repeated rows get a row each; an empty table gives an empty one; other columns are not
+    read, or stand within ``row``, whatever their names.
     """
     ship(docs.sparkSession)
-    columns = keep or [id_col]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns).replace(f"`{id_col}`", "doc_id", 0 if keep else 1)
+    own = F.struct("*").alias("row") if whole else F.col(id_col).alias("doc_id")
+    given = docs.select(F.col(text_col).alias("text_"), own)
+    name = given.columns[1]
 
     def run(batches):
         for b in sliced(batches):
             score = [model.score(t) for t in whole_texts(b, 0)]
-            arrays = [*b.columns[1:], pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*(keep or ["doc_id"]), "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], names=[name, "score", "predicted"])
         model.forget()
 
-    return docs.select(F.col(text_col).alias("text_"), *columns).mapInArrow(run, f"{kinds}, score double, predicted int")
+    return given.mapInArrow(run, T.StructType([given.schema[1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def held_out(id_col) -> Column:
