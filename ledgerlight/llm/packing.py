@@ -1,11 +1,12 @@
 """Sum-of-squares online packing of tokenised documents into fixed windows.
 
-Each task packs the documents of its partition as they come, so nothing is shuffled and
-the state of a task is bounded: the level array (how many partially filled windows stand
-at each fill level) and the pieces of those windows. A document goes to the fill level
-that makes the sum of the squared counts smallest. When the partition ends, the windows
-still open are poured together, cutting documents at window ends; the rest of that is cut
-into windows of a power of two, which need no padding.
+Each task packs the documents of its partition as they come, so nothing is shuffled. Its
+state is the level array (how many partially filled windows stand at each fill level) and
+the pieces of those windows. A document goes to the fill level that makes the sum of the
+squared counts smallest. Open windows hold at most a stated number of tokens: beyond it the
+fullest are filled up with what the emptiest hold, cutting documents, until half of it is
+left. When the partition ends, the windows still open are poured together, cutting documents
+at window ends; the rest of that is cut into windows of a power of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -56,10 +57,42 @@ class WordTokenizer:
 class SumOfSquares:
     """Online packing of pieces into windows; a piece is ``(doc, start, length, ids)``."""
 
-    def __init__(self, capacity: int, quantum: int):
-        self.capacity, self.quantum, self.levels = capacity, quantum, capacity // quantum
+    def __init__(self, capacity: int, quantum: int, most_held: int = 1 << 20):
+        self.capacity, self.quantum, self.levels, self.most_held = capacity, quantum, capacity // quantum, most_held
         self.count = np.zeros(self.levels + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(self.levels + 1)]
+        self.held = 0  # tokens in open windows
+
+    def _opened(self, level: int) -> list:
+        """One window of a level, taken out."""
+        window = self.open[level].pop()
+        self.count[level] -= 1
+        self.held -= sum(p[2] for p in window)
+        return window
+
+    def _put(self, window: list) -> None:
+        level = sum(-(-p[2] // self.quantum) for p in window)
+        self.open[level].append(window)
+        self.count[level] += 1
+        self.held += sum(p[2] for p in window)
+
+    def relieved(self):
+        """If too much is held, full windows until half of the bound is left: the fullest, filled up from the emptiest."""
+        while self.held > self.most_held // 2:
+            window = self._opened(int(np.flatnonzero(self.count)[-1]))
+            room = self.capacity - sum(p[2] for p in window)
+            while room:
+                giver = self._opened(int(np.flatnonzero(self.count)[0]))
+                while room and giver:
+                    doc, start, length, ids = giver.pop()
+                    n = min(room, length)
+                    window.append((doc, start, n, ids[: 4 * n]))
+                    room -= n
+                    if n < length:
+                        giver.append((doc, start + n, length - n, ids[4 * n :]))
+                if giver:
+                    self._put(giver)
+            yield window
 
     def place(self, piece: tuple) -> list | None:
         """Put one piece into a window; the window's pieces, if that filled it."""
@@ -74,14 +107,11 @@ class SumOfSquares:
             h = len(change) - 1 - int(np.argmin(change[::-1]))  # the fullest among equals
             if change[h] <= best:
                 start = h + 1
-        window = self.open[start].pop() if start else []
-        if start:
-            count[start] -= 1
+        window = self._opened(start) if start else []
         window.append(piece)
         if start + units == top:
             return window
-        self.open[start + units].append(window)
-        count[start + units] += 1
+        self._put(window)
         return None
 
     def pour(self):
@@ -106,16 +136,19 @@ class SumOfSquares:
         return self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1) if left else 0
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, quantum: int = 8, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, quantum: int = 8, most_held: int = 1 << 20, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, and ``ids`` if asked for.
 
     A document is its ids by the tokenizer file ``vocabulary`` (without added tokens) and
     ``end_id``. ``capacity`` must be a multiple of ``quantum``, the step of the fill levels;
-    a window counts as full when less than a step per piece is left. ``sequence_id`` holds
+    a window counts as full when less than a step per piece is left; open windows of a task
+    hold at most ``most_held`` tokens and one document's. ``sequence_id`` holds
     the partition in its upper bits. Null and empty texts are documents of ``end_id`` alone;
     null ids stay null; repeated rows are packed each; an empty table gives an empty one;
     other columns are not read. Documents above the capacity fill whole windows first.
     """
+    if most_held < 2 * capacity:
+        raise ValueError("most_held must be two windows at least")
     if capacity % quantum or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two and a multiple of quantum")
     ship(docs.sparkSession)
@@ -124,7 +157,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_i
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        tok, packer = resident(WordTokenizer, vocabulary), SumOfSquares(capacity, quantum)
+        tok, packer = resident(WordTokenizer, vocabulary), SumOfSquares(capacity, quantum, most_held)
         sequence = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
         schema = None
@@ -154,6 +187,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_i
                     full = packer.place(((doc, total), total - rest, rest, ids[4 * (total - rest) :]))
                     if full:
                         close(full)
+                    if packer.held > most_held:
+                        for full in packer.relieved():
+                            close(full)
                 if len(rows) >= (2_000 if with_ids else 20_000):
                     yield flushed()
         for window in packer.pour():

@@ -3,9 +3,9 @@
 The base patterns name e-mail addresses, IP numbers, card numbers and phone numbers. The
 field's nodes are the tokens of a document that look like such data; neighbouring nodes
 share chain potentials and distant nodes with the same or similar text share skip
-potentials. Tokens inside base matches are observed. Loopy message passing gives each
-other node a label; a token that is an entity in one place of a document is then one in
-its other places too, and becomes an added span.
+potentials, all fitted by piecewise pseudo-likelihood. Tokens inside base matches are observed. Loopy
+message passing gives each other node a label; a token that is an entity in one place of a
+document is then one in its other places too, and becomes an added span.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ class Nodes:
 
 
 def nodes_of(text: str, base: list[tuple[int, int, int]]) -> Nodes:
-    """Nodes are tokens with a digit or @; skip edges join each to the last one of the same folded text, or the same six or more digits."""
+    """Nodes are tokens with a digit or @; skip edges join each to the last one of the same folded text, of the same six or more digits, or of the same last eight."""
     n = Nodes([], [], [], [], [], [])
     last: dict[str, int] = {}
     spans = sorted((s, e, k + 1) for k, s, e in base)
@@ -103,9 +103,10 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> Nodes:
         if order == previous + 1:
             n.chain.append((i - 1, i))
         previous = order
-        for key in (t.casefold(), "".join(digits) if len(digits) >= 6 else ""):
+        number = "".join(digits)
+        for key in (t.casefold(), "#" + number if len(number) >= 6 else "", "~" + number[-8:] if len(number) >= 8 else ""):
             if key:
-                if key in last and (last[key], i) not in n.skip[-2:] and last[key] != i:
+                if key in last and (last[key], i) not in n.skip[-3:] and last[key] != i:
                     n.skip.append((last[key], i))
                 last[key] = i
     return n
@@ -156,15 +157,83 @@ class SkipChain:
             return []  # nothing open
         p = self.marginals(n)
         label, sure = p[:, 1:].argmax(1), p[:, 1:].max(1) >= SURE
-        return [(int(label[i]), n.start[i], n.end[i]) for i in range(len(n.start)) if n.observed[i] < 0 and sure[i]]
+        found: list[tuple[int, int, int]] = []
+        linked, before = set(n.chain), -2
+        for i in range(len(n.start)):
+            if n.observed[i] >= 0 or not sure[i]:
+                continue
+            kind = int(label[i])
+            # Parts of one entity, as the groups of a number.
+            if before == i - 1 and (before, i) in linked and found[-1][0] == kind and not text[found[-1][2] : n.start[i]].strip(" ()+-./"):
+                found[-1] = (kind, found[-1][1], n.end[i])
+            else:
+                found.append((kind, n.start[i], n.end[i]))
+            before = i
+        return found
+
+
+def contexts(n: Nodes) -> list[tuple[tuple, int, tuple, tuple, tuple]]:
+    """Shape and label of each node with the labels counted left, right and at skip edges.
+
+    Nodes alike to one inside a base match, but outside, have no known label: they are left
+    out, and not counted as neighbours.
+    """
+    known = [max(o, 0) for o in n.observed]
+    for i, j in n.skip:
+        for x, y in ((i, j), (j, i)):
+            if n.observed[x] < 0 < n.observed[y]:
+                known[x] = -1
+    around = np.zeros((len(known), 3, len(LABELS)), int)
+    for edges, back, forth in ((n.chain, 0, 1), (n.skip, 2, 2)):
+        for i, j in edges:
+            if known[i] >= 0:
+                around[j, back, known[i]] += 1
+            if known[j] >= 0:
+                around[i, forth, known[j]] += 1
+    return [(n.shape[i], y, *(tuple(a) for a in around[i].tolist())) for i, y in enumerate(known) if y >= 0]
+
+
+def fit_potentials(rows: list[tuple], times: np.ndarray, ridge: float = 0.02, steps: int = 400) -> SkipChain:
+    """Potentials that maximise the piecewise pseudo-likelihood of ``contexts`` under a normal prior, by accelerated gradient steps.
+
+    Each kind of potential is fitted to the labels given its own neighbours alone, so that
+    shapes, which nearly decide the labels of base matches, leave the others something to
+    say. The prior's mean says that tokens are no entities and that alike tokens have one label.
+    """
+    size = len(LABELS)
+    shapes = {s: i for i, s in enumerate(sorted({r[0] for r in rows}))}
+    unseen = np.log(np.array([0.96, *[0.01] * (size - 1)]))
+    own, chain, skip = np.zeros((len(shapes), size)), np.zeros((size, size)), np.zeros((size, size))
+    for (shape, y, left, right, alike), n in zip(rows, times):
+        own[shapes[shape], y] += n
+        chain[:, y] += n * np.array(left)
+        skip[:, y] += n * np.array(alike)
+
+    def fitted(counts: np.ndarray, mean: np.ndarray, both: bool) -> np.ndarray:
+        """A table of potentials for counts of (given, label) pairs; ``both``: either of the two may be the given one."""
+        theta, first, second = mean.copy(), np.zeros_like(mean), np.zeros_like(mean)
+        for step in range(1, steps + 1):
+            grad = ridge * (theta - mean)
+            for flip in (False, True) if both else (False,):
+                n, t = (counts.T, theta.T) if flip else (counts, theta)
+                p = np.exp(t - t.max(1, keepdims=True))
+                g = n.sum(1, keepdims=True) * p / p.sum(1, keepdims=True) - n
+                grad = grad + (g.T if flip else g)
+            first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
+            theta = theta - 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        return theta
+
+    unary = fitted(own, np.tile(unseen, (len(shapes), 1)), False)
+    alike = fitted((skip + skip.T) / 2, 2 * np.eye(size), True)
+    return SkipChain({s: unary[i].tolist() for s, i in shapes.items()}, unseen.tolist(), fitted(chain, np.zeros((size, size)), True), alike)
 
 
 def fit_skip_chain(docs: DataFrame, bound: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> SkipChain:
     """Potentials from the base matches of about ``bound`` documents, chosen by a hash of the text.
 
-    Piecewise training: shapes, neighbours and alike tokens are counted apart, with the
-    labels of the base matches, in Spark; only counts of distinct shapes and label pairs
-    reach the driver. The prior of the skip table says that alike tokens have one label.
+    Contexts of nodes are counted in Spark; only the counts of distinct ones reach the
+    driver. Null and empty texts have no nodes; without any node (an empty table too) the
+    potentials are those of the prior. Other columns are not read.
     """
     ship(docs.sparkSession)
     sample = bounded_rows(docs.select(id_col, text_col), text_col, bound)
@@ -173,30 +242,11 @@ def fit_skip_chain(docs: DataFrame, bound: int = 5_000, id_col: str = "doc_id",
         for b in sliced(batches):
             c: Counter = Counter()
             for t in whole_texts(b):
-                n = nodes_of(t, base_spans(t))
-                label = [max(o, 0) for o in n.observed]
-                c.update(("unary", repr(s), y, 0) for s, y in zip(n.shape, label))
-                c.update(("chain", "", label[i], label[j]) for i, j in n.chain)
-                c.update(("skip", "", label[i], label[j]) for i, j in n.skip)
-            columns = list(zip(*c)) if c else [[], [], [], []]
-            yield pa.RecordBatch.from_pydict({k: list(v) for k, v in zip("wsij", columns)} | {"n": list(c.values())}, pa.schema([("w", pa.string()), ("s", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64())]))
-
-    tally = sample.mapInArrow(counted, "w string, s string, i int, j int, n long").groupBy("w", "s", "i", "j").agg(F.sum("n").alias("n")).toPandas()
-    size = len(LABELS)
-    chain, skip, shapes = np.ones((size, size)), np.eye(size) * 50 + 1, {}
-    for w, s, i, j, n in tally.itertuples(index=False):
-        if w == "unary":
-            shapes.setdefault(s, np.full(size, 0.2))[i] += n
-        elif i != 0 or w == "chain":
-            (chain if w == "chain" else skip)[i, j] += n
-    unary = {ast.literal_eval(s): np.log(v / v.sum()).tolist() for s, v in shapes.items()}
-
-    def ratio(t: np.ndarray) -> np.ndarray:
-        t = (t + t.T) / 2 if t is skip else t
-        p = t / t.sum()
-        return np.log(p / np.outer(p.sum(1), p.sum(0)))
-
-    return SkipChain(unary, np.log(np.array([0.96, *[0.01] * 4])).tolist(), ratio(chain), ratio(skip))
+                c.update(map(repr, contexts(nodes_of(t, base_spans(t)))))
+            yield pa.RecordBatch.from_pydict({"c": list(c), "n": list(c.values())}, pa.schema([("c", pa.string()), ("n", pa.int64())]))
+
+    tally = sample.mapInArrow(counted, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas().sort_values("c")
+    return fit_potentials([ast.literal_eval(c) for c in tally.c], tally.n.to_numpy(float))
 
 
 def find_pii(docs: DataFrame, model: SkipChain, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -89,6 +89,25 @@ def test_packing(docs):
     assert padded <= 0.02 * used
 
 
+def test_packing_holds_a_bounded_number_of_tokens():
+    packer, rng, full, most = packing.SumOfSquares(4096, 8, 40_000), np.random.default_rng(6), [], 0
+    sizes = [2_100] * 300 + rng.integers(1, 4096, 300).tolist() + [1] * 300
+    for i, n in enumerate(sizes):
+        got = packer.place((i, 0, n, np.full(n, i, "<u4").tobytes()))
+        full += [got] if got else []
+        full += list(packer.relieved()) if packer.held > packer.most_held else []
+        most = max(most, packer.held)
+        assert packer.held == sum(p[2] for level in packer.open for w in level for p in w)
+    full += list(packer.pour())
+    seen = Counter()
+    for w in full:
+        assert sum(p[2] for p in w) <= 4096
+        for i, start, n, ids in w:
+            assert ids == np.full(n, i, "<u4").tobytes()
+            seen.update((i, start + k) for k in range(n))
+    assert most <= 40_000 + 4_096 and len(seen) == sum(sizes) == seen.total()
+
+
 def test_substring(docs, spark):
     shared = " ".join(f"s{i}" for i in range(40))
     rows = [(1, "a b " + shared + " c"), (2, shared + " d e"), (3, "x " * 80), (4, "only once here"), (5, None), (6, ""), (7, shared), (7, shared)]
@@ -282,6 +301,35 @@ def test_skip_edges_spread_labels():
     assert nodes.skip == [(0, 1)] and model.marginals(nodes)[1].argmax() == 3
 
 
+def test_fitted_skip_table_decides(spark):
+    rng = np.random.default_rng(8)
+    number = lambda: "4" + "".join(map(str, rng.integers(0, 10, 14)))
+    card = lambda: next(x for n in [number()] for d in range(10) if pii.luhn(x := n + str(d)))
+    loose = lambda c: f"{c[:8]}.{c[8:]}"  # noqa: E731, the same digits, but no card by its pattern
+    rows = []
+    for i in range(300):
+        c = card()
+        rows.append(f"paid {c} and again {c} on day {i}" if i % 30 else f"order {number()[:8]} sent, see {number()[:8]} of {i}")
+    c = card()
+    probe = f"paid {c} then words come between and later {loose(c)} was named"
+    df = spark.createDataFrame([*enumerate(rows), (1_000, probe), (1_001, f"only {loose(card())} here"), (1_002, None)], "doc_id long, text string")
+    model = pii.fit_skip_chain(df.filter("doc_id < 1000"))
+    assert (np.diag(model.skip)[[0, 3]] > model.skip[[0, 3], [3, 0]] + 1).all()
+    found, at = by_id(pii.find_pii(df, model)), probe.index(loose(c))
+    added = [(s.kind, s.start, s.end) for s in found[1_000].spans if not s.base]
+    assert added == [("card", at, at + 17)] and not found[1_001].spans
+    none = pii.SkipChain(model.unary, model.unseen, model.chain, np.zeros_like(model.skip))
+    assert not [s for s in by_id(pii.find_pii(df, none))[1_000].spans if not s.base]
+    assert pii.fit_skip_chain(df.filter("doc_id < 0")).unary == {}
+
+
+def test_adjacent_added_tokens_are_one_span():
+    text = "call 605 555 9305 now"
+    n = pii.nodes_of(text, [])
+    model = pii.SkipChain({s: np.log([0.01, 0.01, 0.01, 0.01, 0.96]).tolist() for s in n.shape}, np.log([0.96, *[0.01] * 4]).tolist(), np.zeros((5, 5)), np.zeros((5, 5)))
+    assert model.added_spans(text, []) == [(3, 5, 17)]
+
+
 def test_quality(docs, spark):
     rng = np.random.default_rng(2)
     x = rng.random((2000, 12))
