@@ -2,53 +2,80 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import filled
 
-AMOUNT = r"(\$)?\s?(\d[\d,]*(?:\.\d+)?)\s?(USD|EUR|[kM]\b)"
+# What counts as a number. The groups of AMOUNT: two characters before,
+# a dollar sign, the number (blanks or commas may part thousands), the suffix, and six characters of what follows.
+AMOUNT = r"(?s)(?<![A-Za-z\d])(?<=(..|^.|^))(\$?)(\d{1,3}(?:[,\s]\d{3})+|\d+(?:[.,]\d+)?)\s*([kKmM])?(?=(.{0,6}))"
 PERCENT = r"([+-]?\d+(?:[.,]\d+)?)\s*%"
+MULTIPLES = {"k": 1e3, "m": 1e6}
+YEARS = (2010, 2030)  # bare numbers from these years are dates
 
 
 def parsed_number(text: Column) -> Column:
-    """A comma is a decimal point if it is the only one with at most two digits after it, else it parts thousands."""
+    """With both marks the comma parts thousands; alone it is a decimal point if it is the only one with at most two digits after it."""
     t = F.replace(text, F.lit(" "), F.lit(""))
-    decimal = t.rlike(r"^[^,]*,\d{1,2}$")
+    decimal = ~t.contains(".") & t.rlike(r"^[^,]*,\d{0,2}$")
     return F.when(decimal, F.replace(t, F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit(""))).try_cast("double")
 
 
 def numbers(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """``kind, raw, value`` of every amount with a unit and every percentage."""
+    """``kind, raw, value, bare`` of every amount and every percentage.
+
+    An amount has a dollar sign, a suffix k or M (in either case), or USD, EUR or a dollar
+    sign close by; ``bare`` tells one whose only mark is EUR.
+    """
     t = df.select(id_col, filled(text_col).alias("t"))
-    multiple = F.when(F.col("unit") == "k", 1e3).when(F.col("unit") == "M", 1e6).otherwise(1.0)
-    raw = F.arrays_zip(F.regexp_extract_all("t", F.lit(AMOUNT), F.lit(2)).alias("raw"), F.regexp_extract_all("t", F.lit(AMOUNT), F.lit(3)).alias("unit"))
-    amounts = t.select(id_col, F.explode(raw).alias("x")).select(id_col, F.lit("amount").alias("kind"), F.col("x.raw").alias("raw"), F.col("x.unit").alias("unit"))
-    amounts = amounts.select(id_col, "kind", "raw", (parsed_number(F.col("raw")) * multiple).alias("value"))
+    group = lambda i: F.regexp_extract_all("t", F.lit(AMOUNT), F.lit(i))
+    found = t.select(id_col, F.explode(F.arrays_zip(*[group(i).alias(n) for i, n in enumerate(("before", "sign", "raw", "suffix", "after"), 1)])).alias("x")).select(id_col, "x.*")
+    dollar = F.col("before").contains("$") | (F.col("sign") != "") | F.col("after").contains("$") | F.col("after").contains("USD")
+    suffixed = F.col("suffix") != ""
+    multiple = F.when(F.lower("suffix") == "k", MULTIPLES["k"]).when(F.lower("suffix") == "m", MULTIPLES["m"]).otherwise(1.0)
+    amounts = found.filter(dollar | suffixed | F.col("after").contains("EUR")).select(id_col, F.lit("amount").alias("kind"), "raw", (parsed_number(F.col("raw")) * multiple).alias("value"), (~dollar & ~suffixed).alias("bare"))
     percents = t.select(id_col, F.lit("percent").alias("kind"), F.explode(F.regexp_extract_all("t", F.lit(PERCENT), F.lit(1))).alias("raw"))
-    return amounts.unionByName(percents.select(id_col, "kind", "raw", parsed_number(F.col("raw")).alias("value"))).filter("value is not null")
+    percents = percents.select(id_col, "kind", "raw", F.replace("raw", F.lit(","), F.lit(".")).try_cast("double").alias("value"), F.lit(False).alias("bare"))
+    return amounts.unionByName(percents).filter("value is not null")
 
 
 def allowed_values(facts: DataFrame) -> DataFrame:
-    """``scope, kind, value, label``: every number that a text of the scope may state."""
-    single = [("amount", "total"), ("percent", "growth_pct"), ("percent", "best_qoq"), ("percent", "worst_qoq"), ("percent", "volatility"), ("percent", "region_share"), ("percent", "segment_share"), ("percent", "top1_share"), ("amount", "top1"), ("amount", "top3")]
-    rows = [F.struct(F.lit(k).alias("kind"), F.col(c).cast("double").alias("value"), F.lit(c).alias("label")) for k, c in single]
-    one = facts.select("scope", F.explode(F.array(*rows)).alias("x")).select("scope", "x.*")
-    year = facts.select("scope", F.explode("annual").alias("y"))
-    yearly = [year.select("scope", F.lit(k).alias("kind"), F.col(f"y.{c}").cast("double").alias("value"), F.lit(f"annual {c}").alias("label")) for k, c in (("amount", "sales"), ("amount", "basket"), ("percent", "yoy_pct"))]
-    quarter = facts.select("scope", F.explode("quarters").alias("q"))
-    quarterly = [quarter.select("scope", F.lit(k).alias("kind"), F.col(f"q.{c}").cast("double").alias("value"), F.lit(f"quarter {c}").alias("label")) for k, c in (("amount", "sales"), ("percent", "qoq_pct"))]
-    return reduce(DataFrame.unionByName, [one, *yearly, *quarterly]).filter("value is not null")
+    """``scope, value, label``: every number that a text of the scope may state."""
+    c = F.col
+    entry = lambda v, label: F.struct(v.cast("double").alias("value"), (label if isinstance(label, Column) else F.lit(label)).alias("label"))
+    named = lambda *parts: F.concat_ws(" ", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    listed = lambda column, make: F.flatten(F.transform(column, lambda x: F.array(*make(x))))
+    single = F.array(*[entry(c(n), n) for n in ("total", "growth_pct", "volatility", "region_share", "top1_share")])
+    tops = c("products")
+    sums = F.array(
+        entry(F.when(F.size(tops) >= 2, tops[0]["sales"] + tops[1]["sales"]), "first two products"),
+        entry(F.when(F.size(tops) >= 3, tops[0]["sales"] + tops[1]["sales"] + tops[2]["sales"]), "first three products"),
+    )
+    parts = [
+        single,
+        sums,
+        listed("annual", lambda x: [entry(x[n], named(n, x["year"])) for n in ("sales", "orders", "basket", "yoy_pct")]),
+        listed("quarters", lambda x: [entry(v, named(n, x["quarter"], x["year"])) for n, v in (("sales", x["sales"]), ("variation", x["qoq_pct"]), ("size of variation", F.abs(x["qoq_pct"])))]),
+        listed("products", lambda x: [entry(x[n], named(n, x["name"])) for n in ("sales", "articles")]),
+        listed("segments", lambda x: [entry(v, named(n, x["segment"])) for n, v in (("sales", x["sales"]), ("orders", x["orders"]), ("share", x["sales"] * 100 / c("total")))]),
+        listed("regions", lambda x: [entry(x["sales"], named("sales", x["region"], x["year"]))]),
+        listed("months", lambda x: [entry(x[n], named(n, x["year"], x["month"])) for n in ("sales", "orders")]),
+    ]
+    return facts.select("scope", F.explode(F.concat(*parts)).alias("x")).select("scope", "x.*").filter("value is not null")
 
 
 def unsupported(found: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Numbers (``scope, kind, value``) near no allowed value: within 4 % for amounts, 1.5 % for percentages, 1.5 where the value is small."""
-    a = allowed.select(F.col("scope").alias("s"), F.col("kind").alias("k"), F.abs("value").alias("v"))
-    x = F.abs("value")
-    slack = F.when(F.col("v") < 5, 1.5).otherwise(F.col("v") * F.when(F.col("k") == "amount", 0.04).otherwise(0.015))
-    return found.join(a, (F.col("scope") == F.col("s")) & (F.col("kind") == F.col("k")) & (F.abs(x - F.col("v")) <= slack), "left_anti")
+    """Numbers (``scope, kind, value, bare``) near no allowed value of their scope.
+
+    Near is within 4 % for amounts, 1.5 % for percentages, 1.5 where the allowed value is
+    below 5. Bare years are no amounts.
+    """
+    a = allowed.select(F.col("scope").alias("s"), F.col("value").alias("v"))
+    size = F.abs("v")
+    slack = F.when(size < 5, 1.5).otherwise(size * F.when(F.col("kind") == "amount", 0.04).otherwise(0.015))
+    asked = found.filter(~(F.col("bare") & F.col("value").between(*YEARS)))
+    return asked.join(a, (F.col("scope") == F.col("s")) & (F.abs(F.col("value") - F.col("v")) <= slack), "left_anti")
 
 
 def accepted(reports: DataFrame, bad: DataFrame, fallback: DataFrame, least: int = 400, most_bad: int = 2) -> DataFrame:

@@ -44,3 +44,13 @@ def routed(turns: DataFrame, text_col: str = "text", most: int = 1000) -> DataFr
     )
     answered_by = F.when(F.col("route").isin("empty", "too_long", "blocked", "out_of_scope"), "gate").when(F.col("route").isin(list(SHORT)), "small_talk").otherwise("retrieval")
     return turns.withColumn("route", route).withColumn("engine", answered_by)
+
+
+def suggestions(route: Column, language: str = "fr") -> Column:
+    """Three questions to go on with after an answer to this intent."""
+    own = lx.SUGGESTIONS[language]
+    listed = lambda k: F.array(*map(F.lit, own[k]))
+    chosen = F.when(F.lit(False), listed(""))
+    for name in own:
+        chosen = chosen.when(route == name, listed(name)) if name else chosen
+    return chosen.otherwise(listed(""))

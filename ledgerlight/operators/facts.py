@@ -5,18 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .measures import change_pct, measure
-
-
-def scope_name() -> Column:
-    return F.when(F.grouping("region") == 0, F.concat(F.lit("region:"), "region")).when(F.grouping("category") == 0, F.concat(F.lit("category:"), "category")).otherwise("all")
-
-
-def scope_groups(s: DataFrame, dims: list[str], names: list[str]) -> DataFrame:
-    """``scope`` and ``dims`` with measures, for all scopes in one pass over the fact."""
-    sets = [dims, [*dims, "region"], [*dims, "category"]]
-    cols = list(dict.fromkeys([*dims, "region", "category"]))
-    return s.groupingSets(sets, *cols).agg(scope_name().alias("scope"), *[measure(n) for n in names]).drop(*(c for c in ("region", "category") if c not in dims))
+from ..sources.tables import settled
+from .measures import change_pct
 
 
 def trend(growth: Column) -> Column:
@@ -39,36 +29,69 @@ def volatility_label(v: Column, bounds: tuple[float, ...] = (10, 20, 30), names:
     return label.otherwise(names[-1])
 
 
+def order_grain(s: DataFrame) -> DataFrame:
+    """The fact summed to the grain of facts, written once: later steps read these few columns instead of the star join."""
+    dims = ["region", "category", "sub_category", "segment", "year", "quarter", "month", "order_id"]
+    return settled(s.groupBy(*dims).agg(F.sum("sales").alias("sales"), F.count("*").alias("articles")), "order-grain")
+
+
 def facts(s: DataFrame) -> DataFrame:
-    """One row a scope: scalars for rules, and the annual, quarterly and product lists they come from."""
-    annual = scope_groups(s, ["year"], ["sales", "orders", "basket"])
-    prior = F.lag("sales").over(Window.partitionBy("scope").orderBy("year"))
-    annual = annual.withColumn("yoy_pct", change_pct(F.col("sales"), prior, 1))
-    w = Window.partitionBy("scope").orderBy("year", "quarter")
-    quarters = scope_groups(s, ["year", "quarter"], ["sales"]).withColumn("qoq_pct", change_pct(F.col("sales"), F.lag("sales").over(w), 1))
+    """One row a scope: scalars for rules, and the annual, quarterly, monthly, product, segment and region lists they come from.
+
+    The fact is read once. The result, a row for each scope, is written, so whatever is built on it reads that alone.
+    """
+    names = F.array(F.lit("all"), F.concat(F.lit("region:"), "region"), F.concat(F.lit("category:"), "category"))
+    base = order_grain(s)
+    each = base.select(F.explode(names).alias("scope"), *base.columns).filter("scope is not null")
+    cube = ["scope", "region", "sub_category", "segment", "year", "quarter", "month"]
+    sums = settled(each.groupBy(*cube).agg(F.sum("sales").alias("exact"), F.sum("articles").alias("articles")), "sums")
+    groups = [["scope", "year"], ["scope", "year", "month"], ["scope", "year", "segment"]]
+    counted = settled(_order_counts(each, groups), "orders")
+    total = F.sum("exact").cast("double")
+    by_scope = lambda *dims: sums.groupBy("scope", *dims).agg(F.round(total, 2).alias("sales"), total.alias("full"), F.sum("articles").alias("articles"))
+    orders = lambda kind, *dims: counted.filter(F.col("kind") == kind).select("scope", *dims, "orders")
+
+    w = Window.partitionBy("scope").orderBy("year")
+    annual = by_scope("year").join(orders("year", "year"), ["scope", "year"]).withColumn("basket", F.round(F.col("full") / F.col("orders"), 2))
+    annual = annual.withColumn("yoy_pct", change_pct(F.col("sales"), F.lag("sales").over(w), 1))
+    annual = annual.withColumns({c: change_pct(F.col(d), F.lag(d).over(w), 1) for c, d in (("basket_delta", "basket"), ("orders_delta", "orders"))})
     years = annual.groupBy("scope").agg(
         F.array_sort(F.collect_list(F.struct("year", "sales", "orders", "basket", "yoy_pct"))).alias("annual"),
         F.round(F.sum("sales"), 2).alias("total"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count("*").alias("n_years"),
         F.min_by("sales", "year").alias("first_sales"), F.max_by("sales", "year").alias("last_sales"),
         F.max_by("year", F.struct("sales", -F.col("year"))).alias("best_year"), F.min_by("year", F.struct("sales", "year")).alias("worst_year"),
         F.count_if(F.col("yoy_pct") > 0).alias("growing_years"),
+        F.max_by("basket_delta", "year").alias("basket_delta"), F.max_by("orders_delta", "year").alias("orders_delta"),
     )
+    q = by_scope("year", "quarter").withColumn("qoq_pct", change_pct(F.col("sales"), F.lag("sales").over(Window.partitionBy("scope").orderBy("year", "quarter")), 1))
     label = F.concat(F.lit("Q"), F.col("quarter").cast("string"), F.lit(" "), F.col("year").cast("string"))
     moved = F.col("qoq_pct").isNotNull()
-    q = quarters.groupBy("scope").agg(
+    early = [-F.col("year"), -F.col("quarter")]
+    quarters = q.groupBy("scope").agg(
         F.array_sort(F.collect_list(F.struct("year", "quarter", "sales", "qoq_pct"))).alias("quarters"),
-        F.max_by(label, F.when(moved, F.struct("qoq_pct", -F.col("year"), -F.col("quarter")))).alias("best_quarter"), F.max("qoq_pct").alias("best_qoq"),
-        F.min_by(label, F.when(moved, F.struct("qoq_pct", "year", "quarter"))).alias("worst_quarter"), F.min("qoq_pct").alias("worst_qoq"),
+        # Without any change to compare, sales decide.
+        F.coalesce(F.max_by(label, F.when(moved, F.struct("qoq_pct", *early))), F.max_by(label, F.struct("sales", *early))).alias("best_quarter"), F.max("qoq_pct").alias("best_qoq"),
+        F.coalesce(F.min_by(label, F.when(moved, F.struct("qoq_pct", "year", "quarter"))), F.min_by(label, F.struct("sales", "year", "quarter"))).alias("worst_quarter"), F.min("qoq_pct").alias("worst_qoq"),
         F.round(F.avg(F.abs("qoq_pct")), 1).alias("volatility"),
     )
+    months = by_scope("year", "month").join(orders("month", "year", "month"), ["scope", "year", "month"]).groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("year", "month", "sales", "orders"))).alias("months"))
     rank = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("sales"), "sub_category"))
-    best3 = scope_groups(s, ["sub_category"], ["sales"]).withColumn("rank", rank).filter("rank <= 3")
-    products = best3.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("sub_category").alias("name"), "sales"))).alias("products"), F.round(F.sum("sales"), 2).alias("top3"), F.max_by("sub_category", -F.col("rank")).alias("top_product"), F.max("sales").alias("top1"))
-    segments = scope_groups(s, ["segment"], ["sales"]).groupBy("scope").agg(F.max_by("segment", F.struct("sales", "segment")).alias("best_segment"), F.max("sales").alias("segment_sales"))
-    regions = scope_groups(s.withColumn("place", F.col("region")), ["place"], ["sales"]).groupBy("scope").agg(F.max_by("place", F.struct("sales", "place")).alias("top_region"), F.max("sales").alias("region_sales"))
-    deltas = annual.withColumns({c: change_pct(F.col(d), F.lag(d).over(Window.partitionBy("scope").orderBy("year")), 1) for c, d in (("basket_delta", "basket"), ("orders_delta", "orders"))})
-    last = deltas.groupBy("scope").agg(F.max_by("basket_delta", "year").alias("basket_delta"), F.max_by("orders_delta", "year").alias("orders_delta"))
-    row = years.join(q, "scope").join(products, "scope").join(segments, "scope").join(regions, "scope").join(last, "scope")
+    best3 = by_scope("sub_category").withColumn("rank", rank).filter("rank <= 3")
+    products = best3.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("sub_category").alias("name"), "sales", "articles"))).alias("products"), F.round(F.sum("sales"), 2).alias("top3"), F.max_by("sub_category", -F.col("rank")).alias("top_product"), F.max("sales").alias("top1"))
+    segment_orders = orders("segment", "segment").groupBy("scope", "segment").agg(F.sum("orders").alias("orders"))
+    segments = by_scope("segment").join(segment_orders, ["scope", "segment"]).groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("segment", "sales", "orders"))).alias("segments"), F.max_by("segment", F.struct("sales", "segment")).alias("best_segment"), F.max("sales").alias("segment_sales"))
+    regions = by_scope("region").groupBy("scope").agg(F.max_by("region", F.struct("sales", "region")).alias("top_region"), F.max("sales").alias("region_sales"))
+    winners = by_scope("year", "region").groupBy("scope", "year").agg(F.min_by(F.struct("region", "sales"), F.struct(-F.col("sales"), "region")).alias("x")).groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("year", "x.region", "x.sales"))).alias("regions"))
+    row = years
+    for part in (quarters, months, products, segments, regions, winners):
+        row = row.join(part, "scope")
     growth = F.when(F.col("n_years") > 1, change_pct(F.col("last_sales"), F.col("first_sales"), 1))
     row = row.withColumns({"growth_pct": growth, "period": F.concat_ws("-", "first_year", "last_year"), "region_share": F.round(F.col("region_sales") * 100 / F.col("total"), 1), "segment_share": F.round(F.col("segment_sales") * 100 / F.col("total"), 1), "top1_share": F.round(F.col("top1") * 100 / F.col("top3"), 1)})
-    return row.withColumns({"trend": trend(F.col("growth_pct")), "short_trend": short_trend(F.col("growth_pct")), "volatility_level": volatility_label(F.col("volatility")), "volatility_short": volatility_label(F.col("volatility"), (15, 30), ("low", "moderate", "high"))})
+    row = row.withColumns({"trend": trend(F.col("growth_pct")), "short_trend": short_trend(F.col("growth_pct")), "volatility_level": volatility_label(F.col("volatility")), "volatility_short": volatility_label(F.col("volatility"), (15, 30), ("low", "moderate", "high"))})
+    return settled(row, "facts")
+
+
+def _order_counts(each: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """``kind, scope, year, month, segment, orders``: distinct orders by year, month, and segment and year, in one pass."""
+    kind = F.when(F.grouping("month") == 0, "month").when(F.grouping("segment") == 0, "segment").otherwise("year")
+    return each.groupingSets(groups, "scope", "year", "month", "segment").agg(kind.alias("kind"), F.countDistinct("order_id").alias("orders"))

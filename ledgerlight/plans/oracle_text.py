@@ -27,6 +27,15 @@ def both(make) -> str:
     return f"CASE WHEN lang = 'fr' THEN {make('fr')} ELSE {make('en')} END"
 
 
+# Amounts and percentages of a table d (a key, t): each match is put between two marks, so that what stands before and after it can be looked at.
+NUMBERS = r""", mk AS (SELECT *, string_split(regexp_replace(t, '(^|[^A-Za-z0-9])(\$?)([0-9]{1,3}(?:[,\s][0-9]{3})+|[0-9]+(?:[.,][0-9]+)?)((?:\s*[kKmM])?)', '\1' || chr(1) || '\2\3\4' || chr(2), 'g'), chr(1)) AS ps FROM d),
+ ix AS (SELECT *, unnest(range(2, len(ps) + 1)) AS i FROM mk),
+ cx AS (SELECT * EXCLUDE (ps, i), split_part(ps[i], chr(2), 1) AS m, right(replace(array_to_string(ps[1:i - 1], ''), chr(2), ''), 2) AS before, replace(substr(ps[i], strpos(ps[i], chr(2)) + 1) || array_to_string(ps[i + 1:], ''), chr(2), '') AS rest FROM ix),
+ px AS (SELECT *, regexp_extract(m, '[0-9](?:.*[0-9])?') AS raw, lower(regexp_extract(m, '[kKmM]$')) AS suffix, starts_with(m, '$') AS sign, left(CASE WHEN regexp_matches(m, '[kKmM]$') THEN rest ELSE regexp_replace(rest, '^\s+', '') END, 6) AS after FROM cx),
+ fx AS (SELECT *, sign OR contains(before, '$') OR contains(after, '$') OR contains(after, 'USD') AS dollar, replace(raw, ' ', '') AS n FROM px),
+ am AS (SELECT * EXCLUDE (m, before, rest, sign, after, n, suffix, dollar), 'amount' AS kind, TRY_CAST(CASE WHEN contains(n, ',') AND NOT contains(n, '.') AND len(string_split(n, ',')) = 2 AND length(string_split(n, ',')[2]) <= 2 THEN replace(n, ',', '.') ELSE replace(n, ',', '') END AS DOUBLE) * CASE suffix WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 ELSE 1 END AS value, NOT dollar AND suffix = '' AS bare FROM fx WHERE dollar OR suffix <> '' OR contains(after, 'EUR')),
+ pc AS (SELECT *, unnest(regexp_extract_all(t, '([+-]?[0-9]+(?:[.,][0-9]+)?)\s*%', 1)) AS raw, 'percent' AS kind FROM d),
+ numbers AS (SELECT * FROM (SELECT * FROM am UNION ALL BY NAME SELECT *, TRY_CAST(replace(raw, ',', '.') AS DOUBLE) AS value, false AS bare FROM pc) WHERE value IS NOT NULL)"""
 MARK = "chr(1)"
 SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(t, '([.!?])[ \\t\\n\\r\\f\\v]+([A-ZÀ-ÖØ-Þ])', '\\1' || {MARK} || '\\2', 'g'), {MARK}), lambda x: trim(x)), lambda x: length(x) >= %d)"
 WORDS = r"list_transform(list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-zA-Zà-öø-ÿÀ-ÖØ-Þ]+')), lambda w: lower(w))"
@@ -39,6 +48,7 @@ THEMES = f"{D}, th AS (SELECT doc_id, " + ", ".join(f"CAST({both(lambda g, n=n:
 PERCENT, MONEY, BARE = r"[+-]?\d+(?:[.,]\d+)?\s*%", r"\$\s?\d[\d,]*(?:\.\d+)?|\d[\d ,.]*\s?(?:USD|EUR)\b", r"\b\d{2,}(?:[.,]\d+)?\b"
 PERCENTS = f"list_filter(regexp_extract_all(t, {q(PERCENT)}), lambda x: true)"
 FIRST = "list_filter(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN list_position(p, p[i]) = i THEN p[i] END), lambda x: x IS NOT NULL)"
+FORBIDDEN = ["ignore previous", "ignore your", "ignore les", "oublie", "system prompt", "your instructions", "tes instructions", "act as", "pretend", "roleplay", "jailbreak", "developer mode", "DAN mode", "respond in unrestricted"]
 ORACLE = {
     "t1_statistics": f"{D}, x AS (SELECT doc_id, {SENTENCES % 5} AS s, {WORDS} AS w FROM d) SELECT doc_id, CAST(len(s) AS INTEGER) AS n_sentences, CAST(len(w) AS INTEGER) AS n_words, CAST(len(list_distinct(w)) AS INTEGER) AS n_unique, coalesce(len(w) / nullif(len(s), 0), 0) AS words_per_sentence FROM x",
     "t5_keywords": f"{D}, x AS (SELECT doc_id, lang, {WORDS} AS w FROM d), p AS (SELECT doc_id, lang, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM x), c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS f FROM p WHERE length(word) >= 4 AND NOT list_contains({both(lambda g: listed(lx.STOP_WORDS[g]))}, word) GROUP BY doc_id, word) SELECT doc_id, CAST(rank AS INTEGER) AS rank, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS rank FROM c) WHERE rank <= 5",
@@ -57,11 +67,11 @@ ORACLE = {
     + ", ".join("CASE WHEN " + " OR ".join(f"contains(low, '{p}' || substr({c}, 2, 1) || ' ' || substr({c}, 4, 4))" for p in ("q", "t", "trimestre ", "quarter ")) + f" THEN 5 ELSE 0 END AS {n}" for c, n in (("best_quarter", "best_points"), ("worst_quarter", "worst_points")))
     + r", CASE WHEN contains(low, lower(top_product)) THEN 5 ELSE 0 END AS product_points, CASE WHEN len(list_filter(regexp_extract_all(low, '([+-]?\d+(?:[.,]\d+)?)\s*%', 1), lambda x: abs(CAST(replace(x, ',', '.') AS DOUBLE) - round(growth_pct)) <= 2)) > 0 THEN 5 ELSE 0 END AS growth_points FROM rp JOIN facts USING (scope)",
     "u6_routing": "WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low, regexp_replace(trim(lower(coalesce(text, ''))), '[.!?,;: ]+$', '') AS q FROM conversations WHERE role = 'user'), r AS (SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN 'empty' WHEN length(t) > 1000 THEN 'too_long' WHEN "
-    + has("low", lx.FORBIDDEN) + " THEN 'blocked' WHEN length(q) <= 30 AND (" + f"list_contains({listed(lx.GREETINGS)}, q)) THEN 'salutation' " + " ".join(f"WHEN length(q) <= 30 AND list_contains({listed(ts)}, q) THEN '{n}'" for n, ts in (("remerciement", lx.THANKS), ("affirmation", lx.YES), ("negation", lx.NO)))
+    + has("low", FORBIDDEN) + " THEN 'blocked' WHEN length(q) <= 30 AND (" + f"list_contains({listed(lx.GREETINGS)}, q)) THEN 'salutation' " + " ".join(f"WHEN length(q) <= 30 AND list_contains({listed(ts)}, q) THEN '{n}'" for n, ts in (("remerciement", lx.THANKS), ("affirmation", lx.YES), ("negation", lx.NO)))
     + " WHEN length(q) <= 30 AND (" + " OR ".join(f"starts_with(q, '{g} ') OR starts_with(q, '{g},')" for g in lx.GREETINGS) + f") THEN 'salutation' WHEN NOT {has('low', lx.DOMAIN)} THEN 'out_of_scope' " + " ".join(f"WHEN {has('low', ts)} THEN '{n}'" for n, ts in lx.QUESTION_INTENTS.items())
     + " ELSE 'general' END AS route FROM t) SELECT conv_id, turn, route, CASE WHEN route IN ('empty', 'too_long', 'blocked', 'out_of_scope') THEN 'gate' WHEN route IN ('salutation', 'remerciement', 'affirmation', 'negation') THEN 'small_talk' ELSE 'retrieval' END AS engine FROM r",
     "x10_cosine_top": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS passage_id, round(list_cosine_similarity(a.v, b.v), 4) AS similarity FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT query_id, passage_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, passage_id) AS rank FROM s WHERE similarity > 0.3) WHERE rank <= 5",
-    "g1_numbers": r"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, 'percent' AS kind, unnest(regexp_extract_all(t, '([+-]?\d+(?:[.,]\d+)?)\s*%', 1)) AS raw FROM d), a AS (SELECT doc_id, 'amount' AS kind, unnest(regexp_extract_all(t, '(\$)?\s?(\d[\d,]*(?:\.\d+)?)\s?(USD|EUR|[kM]\b)', 2)) AS raw, unnest(regexp_extract_all(t, '(\$)?\s?(\d[\d,]*(?:\.\d+)?)\s?(USD|EUR|[kM]\b)', 3)) AS unit FROM d), u AS (SELECT doc_id, kind, raw, 1.0 AS m FROM p UNION ALL SELECT doc_id, kind, raw, CASE unit WHEN 'k' THEN 1e3 WHEN 'M' THEN 1e6 ELSE 1.0 END FROM a) SELECT doc_id, kind, raw, TRY_CAST(CASE WHEN regexp_matches(replace(raw, ' ', ''), '^[^,]*,\d{1,2}$') THEN replace(raw, ',', '.') ELSE replace(raw, ',', '') END AS DOUBLE) * m AS value FROM u",
+    "g1_numbers": "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)" + NUMBERS + " SELECT doc_id, kind, raw, value FROM numbers",
 }
 PASSAGES = SALES + f""", y AS ({grouped('year', 'sales orders')}), yy AS (SELECT *, {pct('sales', 'p')} AS yoy FROM (SELECT *, lag(sales) OVER (ORDER BY year) AS p FROM y)),
  sg AS ({grouped('segment', 'sales')}), rg AS ({grouped('region', 'sales')}), tp AS (SELECT *, row_number() OVER (ORDER BY sales DESC, sub_category) AS rank FROM ({grouped('sub_category', 'sales')})),

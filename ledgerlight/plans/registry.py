@@ -178,7 +178,7 @@ QUERIES |= {
     "t13_markdown": on_docs(lambda d: d.select("doc_id", tx.strip_markdown(F.col("text")).alias("plain"))),
     "t14_fact_coverage": on_sales(lambda s: tx.fact_coverage(r.narrative(fa.facts(s)), fa.facts(s))),
     "t15_quality": on_docs(lambda d: tx.quality(d, "doc_id")),
-    "g1_numbers": on_docs(lambda d: g.numbers(d, "doc_id")),
+    "g1_numbers": on_docs(lambda d: g.numbers(d, "doc_id").drop("bare")),
     "g4_unsupported": on_sales(_ungrounded),
     "r14_accepted": on_sales(_accepted),
     "u6_routing": lambda spark, d: u.routed(spark.read.parquet(f"{d}/conversations.parquet").filter("role = 'user'")).select("conv_id", "turn", "route", "engine"),

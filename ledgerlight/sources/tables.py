@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +20,22 @@ def write_tables(tables: dict[str, DataFrame], root: str, partitions: dict[str,
         df.write.mode("overwrite").partitionBy(*(partitions or {}).get(name, [])).parquet(f"{root}/{name}")
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The table written once to the folder in ``spark.checkpoint.dir`` and read again: what is built on it runs no part of its plan twice.
+
+    A session in one process may leave the folder unset and then uses a local one; a cluster has to name one that all executors share.
+    """
+    spark = df.sparkSession
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base:
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "ledgerlight-shared")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def append_reports(reports: DataFrame, path: str) -> None:
     reports.write.mode("append").parquet(path)
 
