@@ -3,8 +3,9 @@
 Every window of ``width`` words is represented by its anchor, the smallest hash of the
 short shingles inside it. Equal windows have equal anchors, and neighbouring windows
 mostly share one, so the index holds about one row for fifteen words. It is a list of
-immutable runs, each sorted by fingerprint; a new batch is merge-joined with the runs,
-becomes a run itself, and runs are compacted into one when there are too many.
+immutable runs, each bucketed and sorted by fingerprint; a new batch is merge-joined with
+the runs, becomes a run itself, and runs are compacted into one when there are too many.
+What those joins find, over all batches, are the anchors that occur again.
 
 Anchors that occur again only name candidates. Those are verified on hashes of the whole
 windows: stretches of windows that recur as they are, by one hash each; the stretches at
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, sliced, whole_texts, written
+from .common import shared_dir, ship, sliced, whole_texts, written
 
 WIDTH = 35
 SHINGLE = 6
@@ -114,7 +115,8 @@ def _with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _stretches(keyed: DataFrame, width: int, shingle: int) -> DataFrame:
-    """``fp, doc, key, first, n, run``: every stretch of every document of at least ``width`` words."""
+    """``fp, doc, key, first, n, run, old``: every stretch of every document of at least ``width`` words."""
+    keyed = keyed if "old" in keyed.columns else keyed.withColumn("old", F.lit(False))
     kind = keyed.schema["doc"].dataType.simpleString()
 
     def run(batches):
@@ -128,77 +130,99 @@ def _stretches(keyed: DataFrame, width: int, shingle: int) -> DataFrame:
             if rows:
                 fp, first, n, h = map(np.concatenate, zip(*rows))
                 at = pa.array(np.concatenate(where))
-                columns = [pa.array(fp.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["fp", "doc", "key", "first", "n", "run"])
+                columns = [pa.array(fp.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), b.column(3).take(at)]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "doc", "key", "first", "n", "run", "old"])
 
-    return keyed.mapInArrow(run, f"fp long, doc {kind}, key long, first int, n int, run long")
+    return keyed.select("doc", "key", "text", "old").mapInArrow(run, f"fp long, doc {kind}, key long, first int, n int, run long, old boolean")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of ``fp, n`` (how many stretches have that anchor).
+    """Sorted immutable runs of ``fp, n`` (how many stretches have that anchor), as tables bucketed and sorted by ``fp``.
 
-    ``runs`` are paths of runs written before. ``ingest`` merge-joins a batch with them and
-    makes it the newest run; beyond ``most_runs`` all are compacted into one.
+    ``runs`` names runs written before, by this index or an earlier one with as many
+    buckets. ``ingest`` merge-joins a batch with all of them, bucket by bucket without a
+    shuffle, and makes it the newest run; beyond ``most_runs`` all are compacted into one.
     """
 
-    def __init__(self, spark, runs: list[DataFrame] | None = None, most_runs: int = 4):
+    def __init__(self, spark, runs: list[str] | None = None, most_runs: int = 4, buckets: int | None = None):
         self.spark, self.runs, self.most_runs = spark, list(runs or []), most_runs
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def ingest(self, anchors: DataFrame) -> DataFrame:
         """Anchors of the batch (column ``fp``) that recur in it or stand in an older run."""
-        batch = self._write(anchors.groupBy("fp").agg(F.count("*").alias("n")))
-        older = [r.select("fp", F.lit(True).alias("old")) for r in self.runs]
+        name = self._write(anchors.groupBy("fp").agg(F.count("*").alias("n")))
+        batch = self.spark.table(name)
         again = batch.filter("n > 1").select("fp")
-        for r in older:
-            again = again.unionByName(batch.join(r, "fp").select("fp"))
-        self.runs.append(batch)
+        for r in self.runs:
+            again = again.unionByName(batch.join(self.spark.table(r).select("fp").hint("merge"), "fp", "left_semi").select("fp"))
+        found = written(again.distinct(), "substring-again")
+        self.runs.append(name)
         if len(self.runs) > self.most_runs:
             self.compact()
-        return again.distinct()
+        return found
 
     def compact(self) -> None:
-        """Merge all runs into one."""
+        """Merge all runs into one; the old ones go."""
         if len(self.runs) > 1:
-            every = self.runs[0]
+            every = self.spark.table(self.runs[0])
             for r in self.runs[1:]:
-                every = every.unionByName(r)
-            self.runs = [self._write(every.groupBy("fp").agg(F.sum("n").alias("n")))]
-
-    def repeated(self) -> DataFrame:
-        """Anchors that occur more than once in all that was ingested."""
-        self.compact()
-        return self.runs[0].filter("n > 1").select("fp")
-
-    def _write(self, counts: DataFrame) -> DataFrame:
-        return written(counts.sortWithinPartitions("fp"), "substring-run")
-
-
-def repeated_windows(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc, key, first, mask``: bit i of ``mask`` tells that window ``first + i`` of that text starts elsewhere too."""
+                every = every.unionByName(self.spark.table(r))
+            old, self.runs = self.runs, [self._write(every.groupBy("fp").agg(F.sum("n").alias("n")))]
+            self.drop(old)
+
+    def drop(self, runs: list[str] | None = None) -> None:
+        """Delete runs, all of this index if none are named."""
+        for r in runs if runs is not None else self.runs:
+            where = self.spark.sql(f"DESCRIBE EXTENDED {r}").filter("col_name = 'Location'").first()["data_type"]
+            self.spark.sql(f"DROP TABLE {r}")
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if runs is None:
+            self.runs = []
+
+    def _write(self, counts: DataFrame) -> str:
+        path = shared_dir(self.spark, "substring-run")
+        name = "substring_run_" + path.rsplit("-", 1)[1]
+        counts.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).saveAsTable(name)
+        return name
+
+
+def repeated_windows(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, batches: int = 2, index: FingerprintIndex | None = None, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc, key, first, mask, old``: bit i of ``mask`` tells that window ``first + i`` of that text starts elsewhere too; ``old`` marks texts of ``history``."""
     keyed = _with_key(docs, id_col, text_col)
     ship(docs.sparkSession)
-    index = FingerprintIndex(docs.sparkSession, most_runs=batches - 1 or 1)
+    own = index or FingerprintIndex(docs.sparkSession, most_runs=max(1, batches - 1))
+    again = []
     for k in range(batches):  # all rows, dealt to the batches by their key
-        index.ingest(_stretches(keyed.filter(F.pmod("key", F.lit(batches)) == k), width, shingle).select("fp"))
-    found = written(_stretches(keyed, width, shingle).join(index.repeated(), "fp"), "substring-candidates")
+        again.append(own.ingest(_stretches(keyed.filter(F.pmod("key", F.lit(batches)) == k), width, shingle).select("fp")))
+    repeated = again[0]
+    for more in again[1:]:  # an anchor of two batches comes up with the later one
+        repeated = repeated.unionByName(more)
+    repeated = repeated.distinct()
+    keyed = keyed.withColumn("old", F.lit(False))
+    if history is not None:
+        keyed = keyed.unionByName(_with_key(history, id_col, text_col).withColumn("old", F.lit(True)))
+    found = written(_stretches(keyed, width, shingle).join(repeated, "fp"), "substring-candidates")
+    if index is None:
+        own.drop()
 
     stretch = ["fp", "run", "n"]
-    counts = written(found.groupBy(*stretch).agg(F.count("*").alias("times"), F.min(F.struct("first", "key", "doc")).alias("at")), "substring-stretches")
+    counts = written(found.groupBy(*stretch).agg(F.count("*").alias("times"), F.min(F.struct("first", "key", "doc", "old")).alias("at")), "substring-stretches")
     every = F.expr("shiftleft(1L, n) - 1")
-    copied = found.join(counts.filter("times > 1").select(*stretch), stretch).select("doc", "key", "first", every.alias("mask"))
+    copied = found.join(counts.filter("times > 1").select(*stretch), stretch).select("doc", "key", "old", "first", every.alias("mask"))
 
     contested = counts.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("fp")
-    edges = counts.join(contested, "fp").select(F.col("at.doc").alias("doc"), F.col("at.key").alias("key"), F.struct("fp", F.col("at.first").alias("first"), "n", "times").alias("e"))
-    lists = edges.groupBy("doc", "key").agg(F.collect_list("e").alias("edges"))
+    edges = counts.join(contested, "fp").select(F.col("at.doc").alias("doc"), F.col("at.key").alias("key"), F.col("at.old").alias("old"), F.struct("fp", F.col("at.first").alias("first"), "n", "times").alias("e"))
+    lists = edges.groupBy("doc", "key", "old").agg(F.collect_list("e").alias("edges"))
     windows = written(_edge_windows(_joined(keyed, lists, "inner"), width), "substring-windows")
-    again = windows.groupBy("fp", "hash").agg(F.sum("times").alias("times")).filter("times > 1").select("fp", "hash")
-    single = windows.filter("times = 1").join(again, ["fp", "hash"]).groupBy("doc", "key", "first").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
+    twice = windows.groupBy("fp", "hash").agg(F.sum("times").alias("times")).filter("times > 1").select("fp", "hash")
+    single = windows.filter("times = 1").join(twice, ["fp", "hash"]).groupBy("doc", "key", "old", "first").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
     return copied.unionByName(single)
 
 
 def _joined(keyed: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    own = lists.withColumnsRenamed({"doc": "doc_", "key": "key_"})
-    return keyed.join(own, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("key") == F.col("key_")), how).drop("doc_", "key_")
+    own = lists.withColumnsRenamed({"doc": "doc_", "key": "key_", "old": "old_"})
+    return keyed.join(own, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("key") == F.col("key_")) & (F.col("old") == F.col("old_")), how).drop("doc_", "key_", "old_")
 
 
 def _edge_windows(joined: DataFrame, width: int) -> DataFrame:
@@ -206,15 +230,15 @@ def _edge_windows(joined: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for b in sliced(batches):
-            docs, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out: dict[str, list] = {k: [] for k in ("fp", "hash", "doc", "key", "first", "i", "times")}
-            for doc, key, text, edges in zip(docs, keys, whole_texts(b, 2), b.column(3).to_pylist()):
+            docs, keys, olds = (b.column(i).to_pylist() for i in (0, 1, 3))
+            out: dict[str, list] = {k: [] for k in ("fp", "hash", "doc", "key", "old", "first", "i", "times")}
+            for doc, key, old, text, edges in zip(docs, keys, olds, whole_texts(b, 2), b.column(4).to_pylist()):
                 w = Windows(word_hashes(text.encode("utf-8", "surrogatepass")))
                 for e in edges:
                     n = e["n"]
                     out["hash"].append(w.hashes(np.arange(e["first"], e["first"] + n), width).view(np.int64))
                     out["i"].append(np.arange(n, dtype=np.int32))
-                    for k, v in (("fp", e["fp"]), ("doc", doc), ("key", key), ("first", e["first"]), ("times", e["times"])):
+                    for k, v in (("fp", e["fp"]), ("doc", doc), ("key", key), ("old", old), ("first", e["first"]), ("times", e["times"])):
                         out[k].extend([v] * n)
                 if len(out["fp"]) >= 100_000:
                     yield _flat(out, b.schema.field(0).type)
@@ -224,31 +248,32 @@ def _edge_windows(joined: DataFrame, width: int) -> DataFrame:
                 yield _flat(out, b.schema.field(0).type)
 
     def _flat(out, doc_type):
-        types = {"fp": pa.int64(), "doc": doc_type, "key": pa.int64(), "first": pa.int32(), "times": pa.int64()}
+        types = {"fp": pa.int64(), "doc": doc_type, "key": pa.int64(), "old": pa.bool_(), "first": pa.int32(), "times": pa.int64()}
         columns = [pa.array(np.concatenate(v)) if k in ("hash", "i") else pa.array(v, types[k]) for k, v in out.items()]
         return pa.RecordBatch.from_arrays(columns, names=list(out))
 
-    return joined.mapInArrow(run, f"fp long, hash long, doc {kind}, key long, first int, i int, times long")
+    return joined.select("doc", "key", "text", "old", "edges").mapInArrow(run, f"fp long, hash long, doc {kind}, key long, old boolean, first int, i int, times long")
 
 
-def remove_repeated(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, batches: int = 2, index: FingerprintIndex | None = None, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept_text`` (kept words joined by one blank).
 
     A word goes if a window of ``width`` words that covers it starts anywhere else as well,
     in the same document or another; windows are judged on the input. ``batches`` is the
-    number of batches in which the index takes the rows. Null and empty texts have no
-    words; null ids stay null; repeated rows count as copies of each other and get a row
+    number of batches in which the index takes the rows. With an ``index`` of earlier loads
+    and their table as ``history``, copies there count too; the rows join the index, and the
+    history is read for verification alone. Null and empty texts have no words; null ids stay null; repeated rows count as copies of each other and get a row
     each; an empty table gives an empty one; other columns are not read.
     """
-    keyed = _with_key(docs, id_col, text_col)
-    marks = repeated_windows(docs, width, shingle, batches, id_col, text_col)
-    lists = marks.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
+    keyed = _with_key(docs, id_col, text_col).withColumn("old", F.lit(False))
+    marks = repeated_windows(docs, width, shingle, batches, index, history, id_col, text_col).filter("not old")
+    lists = marks.groupBy("doc", "key", "old").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
     kind = keyed.schema["doc"].dataType.simpleString()
 
     def run(rows):
         for b in sliced(rows):
             n_words, n_removed, kept_text = [], [], []
-            for text, marks in zip(whole_texts(b, 2), b.column(3).to_pylist()):
+            for text, marks in zip(whole_texts(b, 2), b.column(4).to_pylist()):
                 words = text.encode("utf-8", "surrogatepass").split()
                 n_words.append(len(words))
                 gone = np.zeros(len(words) + 1, np.int64)
