@@ -78,9 +78,16 @@ def unsupported(found: DataFrame, allowed: DataFrame) -> DataFrame:
     return asked.join(a, (F.col("scope") == F.col("s")) & (F.abs(F.col("value") - F.col("v")) <= slack), "left_anti")
 
 
-def accepted(reports: DataFrame, bad: DataFrame, fallback: DataFrame, least: int = 400, most_bad: int = 2) -> DataFrame:
-    """The report where it is long enough and at most ``most_bad`` numbers lack support, else the fallback of its scope."""
+def accepted(reports: DataFrame, bad: DataFrame, plain: DataFrame, of_record: DataFrame, least: int = 400, most_bad: int = 2) -> DataFrame:
+    """The report where it is long enough and at most ``most_bad`` of its numbers lack support.
+
+    A short one is replaced by the scope's template (``plain``), one with more unsupported
+    numbers by the template of its record (``of_record``); ``gate`` tells which.
+    """
     n = bad.groupBy("scope").agg(F.count("*").alias("n_bad"))
-    t = reports.join(n, "scope", "left").join(fallback.withColumnRenamed("report", "fallback"), "scope").withColumn("n_bad", F.coalesce("n_bad", F.lit(0)))
-    fine = (F.length("report") >= least) & (F.col("n_bad") <= most_bad)
-    return t.select("scope", F.when(fine, F.col("report")).otherwise(F.col("fallback")).alias("report"), fine.alias("accepted"), F.col("n_bad").cast("long").alias("n_bad"))
+    t = reports.join(n, "scope", "left").withColumn("n_bad", F.coalesce("n_bad", F.lit(0)))
+    for df, name in ((plain, "plain"), (of_record, "of_record")):
+        t = t.join(df.select("scope", F.col("report").alias(name)), "scope", "left")
+    short, wrong = F.length(filled("report")) < least, F.col("n_bad") > most_bad
+    gate = F.when(short, "short").when(wrong, "unsupported").otherwise("accepted")
+    return t.select("scope", F.when(short, F.col("plain")).when(wrong, F.col("of_record")).otherwise(F.col("report")).alias("report"), gate.alias("gate"), F.col("n_bad").cast("long").alias("n_bad"))

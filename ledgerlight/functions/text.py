@@ -118,7 +118,8 @@ def polarity(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str = "te
     return df.select(id_col).join(total, id_col, "left").select(id_col, x.alias("total"), F.round(x / F.sqrt(x * x + 15), 4).alias("compound"))
 
 
-#: Markdown rules in the order that they apply; inline code comes before fenced blocks.
+# Markdown rules in the order that they apply; inline code comes before fenced blocks.
+# Headings; bold and italic; rules drawn with characters; list marks; code; headings in capitals; lead words; arrows; blanks.
 MARKDOWN = [
     (r"(?m)^#{1,6}\s*.*?$", ""), (r"#{1,6}\s*", ""),
     (r"\*\*\*(.+?)\*\*\*", "$1"), (r"\*\*(.+?)\*\*", "$1"), (r"(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", "$1"), (r"__(.+?)__", "$1"),
@@ -177,6 +178,24 @@ def quality(df: DataFrame, id_col: str, lang_col: str = "lang", text_col: str =
     return t.select(id_col, *[v.alias(c) for c, v in scores.items()])
 
 
+def text_score(df: DataFrame, id_col: str) -> DataFrame:
+    """The criteria of ``quality`` with their total (75 at most, as no facts are at hand), its label and the gaps."""
+    q = quality(df, id_col)
+    total = reduce(Column.__add__, [F.col(c) for c in FULL_MARKS if c in q.columns])
+    label = F.when(total >= 85, "excellent").when(total >= 70, "very good").when(total >= 55, "good").when(total >= 40, "fair").otherwise("weak")
+    return q.withColumns({"total": total, "label": label, "gaps": score_gaps([c for c in FULL_MARKS if c in q.columns])})
+
+
+#: The most points of each criterion, and below which share of it a gap is reported.
+FULL_MARKS = {"c2_numbers": 25, "c3_recommendations": 15, "c4_clarity": 15, "c5_repetition": 10, "c6_vocabulary": 10}
+GAP = 0.6
+
+
+def score_gaps(names: list[str] = tuple(FULL_MARKS)) -> Column:
+    """The criteria with less than six tenths of their points, as text."""
+    return F.concat_ws(",", *[F.when(F.col(c) < GAP * FULL_MARKS[c], F.lit(c.split("_", 1)[1])) for c in names])
+
+
 def fact_coverage(reports: DataFrame, facts: DataFrame, text_col: str = "report") -> DataFrame:
     """Criterion 1: five points each for best year, best and worst quarter, top product and growth within two points."""
     t = reports.join(facts, "scope").withColumn("low", F.lower(filled(text_col)))

@@ -80,7 +80,7 @@ def facts(s: DataFrame) -> DataFrame:
     products = best3.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("sub_category").alias("name"), "sales", "articles"))).alias("products"), F.round(F.sum("sales"), 2).alias("top3"), F.max_by("sub_category", -F.col("rank")).alias("top_product"), F.max("sales").alias("top1"))
     segment_orders = orders("segment", "segment").groupBy("scope", "segment").agg(F.sum("orders").alias("orders"))
     segments = by_scope("segment").join(segment_orders, ["scope", "segment"]).groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("segment", "sales", "orders"))).alias("segments"), F.max_by("segment", F.struct("sales", "segment")).alias("best_segment"), F.max("sales").alias("segment_sales"))
-    regions = by_scope("region").groupBy("scope").agg(F.max_by("region", F.struct("sales", "region")).alias("top_region"), F.max("sales").alias("region_sales"))
+    regions = by_scope("region").groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("region", "sales"))).alias("region_totals"), F.max_by("region", F.struct("sales", "region")).alias("top_region"), F.max("sales").alias("region_sales"))
     winners = by_scope("year", "region").groupBy("scope", "year").agg(F.min_by(F.struct("region", "sales"), F.struct(-F.col("sales"), "region")).alias("x")).groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("year", "x.region", "x.sales"))).alias("regions"))
     row = years
     for part in (quarters, months, products, segments, regions, winners):

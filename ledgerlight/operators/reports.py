@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grounding, text
+from ..sources.tables import settled
 from . import facts as fa
 from . import rules
 from .measures import by
@@ -65,46 +68,125 @@ def scope_advice(s: DataFrame, found: DataFrame) -> DataFrame:
     return ends.crossJoin(spread).crossJoin(alerts).crossJoin(years).select(F.array_join(lines, "; ").alias("advice"))  # one row each
 
 
+def checked_reports(facts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``scope, report, gate, n_bad``: candidate reports, and templates where they are short or state what no fact backs."""
+    bad = grounding.unsupported(grounding.numbers(candidates.withColumnRenamed("report", "text"), "scope"), grounding.allowed_values(facts))
+    return grounding.accepted(candidates, bad, rules.narrative(facts), rules.narrative_of_record(rules.structured(facts)))
+
+
 def all_reports(s: DataFrame) -> DataFrame:
-    """Every scope's accepted report with summary lines, score, text criteria and the share of its numbers that facts back."""
+    """Every scope's checked report with its record, summary lines, anomalies, score and text criteria.
+
+    Facts and checked reports, a dozen rows each, are written once; all else reads those.
+    """
     facts = fa.facts(s)
-    reports = rules.narrative(facts)
-    found = grounding.numbers(reports.withColumnRenamed("report", "text"), "scope")
-    bad = grounding.unsupported(found, grounding.allowed_values(facts))
-    kept = grounding.accepted(reports, bad, rules.answer(facts).withColumnRenamed("answer", "report"))
+    kept = settled(checked_reports(facts, rules.narrative(facts)), "reports")
     scored = rules.performance_score(facts).select("scope", "score", "mention")
     texts = kept.select("scope", F.lit("en").alias("lang"), F.col("report").alias("text"))
-    parts = [rules.bullets(facts), scored, text.quality(texts, "scope"), text.fact_coverage(reports, facts), text.dominant_themes(text.theme_counts(texts, "scope"), "scope"), text.tone(text.theme_counts(texts, "scope"), "scope").withColumnRenamed("score", "tone_score"), text.coverage(text.intents(texts, "scope"), "scope").withColumnRenamed("label", "coverage_label")]
+    themes, counts = text.theme_counts(texts, "scope"), text.intents(texts, "scope")
+    parts = [
+        rules.bullets(facts), scored, text.quality(texts, "scope"), text.fact_coverage(kept, facts), text.dominant_themes(themes, "scope"),
+        text.tone(themes, "scope").withColumnRenamed("score", "tone_score"), text.coverage(counts, "scope").withColumnRenamed("label", "coverage_label"),
+        rules.structured(facts), found_in_facts(facts).groupBy("scope").agg(F.count("*").alias("n_anomalies"), F.count_if(F.col("level") == "ALERT").alias("n_alerts")),
+    ]
     out = kept
     for p in parts:
-        out = out.join(p, "scope")
-    points = sum((F.col(c) for c in ("c2_numbers", "c3_recommendations", "c4_clarity", "c5_repetition", "c6_vocabulary", "year_points", "best_points", "worst_points", "product_points", "growth_points")), F.lit(0))
+        out = out.join(p, "scope", "left")
+    out = out.fillna(0, ["n_anomalies", "n_alerts"])
+    points = sum((F.col(c) for c in CRITERIA), F.lit(0))
     total = F.least(F.lit(100), F.greatest(F.lit(0), points))
-    return out.withColumn("text_score", total).withColumn("text_mention", rules.band(total))
+    return out.withColumn("text_score", total).withColumn("text_mention", rules.band(total)).withColumn("gaps", text.score_gaps())
+
+
+CRITERIA = ("c2_numbers", "c3_recommendations", "c4_clarity", "c5_repetition", "c6_vocabulary", "year_points", "best_points", "worst_points", "product_points", "growth_points")
+
+
+def found_in_facts(facts: DataFrame, threshold: float = 20.0) -> DataFrame:
+    """Anomalies of every scope from its quarterly list: changes to the same quarter one year before, at or beyond the threshold."""
+    q = facts.select("scope", F.explode("quarters").alias("q")).select("scope", "q.year", "q.quarter", "q.sales")
+    w = Window.partitionBy("scope", "quarter").orderBy("year")
+    q = q.withColumns({"reference_sales": F.lag("sales").over(w), "reference_year": F.lag("year").over(w)})
+    change = F.when(F.col("reference_sales") > 0, (F.col("sales") - F.col("reference_sales")) / F.col("reference_sales") * 100)
+    q = q.withColumn("change", change).filter((F.col("year") - F.col("reference_year") == 1) & (F.abs("change") >= threshold))
+    return q.select("scope", "year", "quarter", F.round("change", 1).alias("variation_pct"), "sales", "reference_sales", "reference_year", F.when(F.col("change") < 0, "ALERT").otherwise("INFO").alias("level"), F.when(F.col("change") < 0, "yoy_drop").otherwise("yoy_rise").alias("kind"))
 
 
-def analysis(df: DataFrame, id_col: str) -> DataFrame:
-    """The analysis of a text in one row: statistics, intents, coverage, themes, tone."""
+def analysis(df: DataFrame, id_col: str, lexicon: DataFrame | None = None) -> DataFrame:
+    """The analysis of a text in one row: statistics, intents, coverage, themes, tone, polarity (given a lexicon), keywords."""
     counts, themes = text.intents(df, id_col), text.theme_counts(df, id_col)
+    words = text.keywords(df, id_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("k"))
+    listed = words.select(id_col, F.array_join(F.transform("k", lambda x: F.concat_ws(":", x["word"], x["n"].cast("string"))), ", ").alias("keywords"))
     out = text.statistics(df, id_col)
-    for p in (counts, text.coverage(counts, id_col), text.dominant_themes(themes, id_col), text.tone(themes, id_col)):
+    parts = [counts, text.coverage(counts, id_col), text.dominant_themes(themes, id_col), text.tone(themes, id_col)]
+    for p in [*parts, text.polarity(df, lexicon, id_col)] if lexicon is not None else parts:
         out = out.join(p, id_col)
-    return out
+    return out.join(listed, id_col, "left").withColumn("keywords", F.coalesce("keywords", F.lit("")))
 
 
-def question_context(routed: DataFrame, facts: DataFrame, s: DataFrame, id_cols: list[str]) -> DataFrame:
-    """Each retrieval question with the context of its intent; contexts are made once for each intent."""
+def corrected_actions(records: DataFrame, facts: DataFrame) -> DataFrame:
+    """``scope, ord, action, justification`` without numbers that no fact of the scope backs.
+
+    Those are taken out of the action; a justification with any is replaced by one from the facts.
+    """
+    keyed = records.withColumn("_row", F.monotonically_increasing_id())
+    allowed = grounding.allowed_values(facts)
+
+    def bad(column: str) -> DataFrame:
+        found = grounding.numbers(keyed.select(F.struct("scope", "_row").alias("id"), F.col(column).alias("text")), "id").select("id.*", "kind", "raw", "value", "bare")
+        return grounding.unsupported(found, allowed).groupBy("_row").agg(F.array_sort(F.collect_set("raw")).alias(f"bad_{column}"))
+
+    safe = facts.select("scope", F.concat(F.lit("Volatility "), rules.number(F.col("volatility")), F.lit("%; first product "), "top_product", F.lit(".")).alias("_safe"))
+    out = keyed.join(bad("action"), "_row", "left").join(bad("justification"), "_row", "left").join(F.broadcast(safe), "scope", "left")  # a row a scope
+    return out.select("scope", "ord", without_numbers(F.col("action"), F.col("bad_action")).alias("action"), F.when(F.col("bad_justification").isNotNull(), F.col("_safe")).otherwise(F.col("justification")).alias("justification"))
+
+
+def intent_contexts(facts: DataFrame, clients: DataFrame, products: DataFrame, found: DataFrame) -> DataFrame:
+    """``route, context``: what each intent adds to a question about the whole, a row an intent.
+
+    ``clients`` and ``products`` are the leading ones by sales; ``found`` the anomalies.
+    """
     whole = facts.filter("scope = 'all'")
-    top = lambda dims, n: by(s, dims, ["sales"]).orderBy(F.desc("sales"), *dims).limit(n).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("sales")).alias("k"), F.concat_ws(" ", *dims).alias("t")))), lambda x: x["t"]), "; ").alias("c"))
-    line = lambda intent, df: df.select(F.lit(intent).alias("route"), F.col("c").alias("context"))
-    actions = rules.recommendations(whole).filter("priority = 'high'").agg(F.array_join(F.array_sort(F.collect_list("action")), "; ").alias("c"))
-    trend = whole.select(F.concat_ws(" ", "trend", rules.number(F.col("growth_pct"))).alias("c"))
-    contexts = line("top_client", top(["customer_name"], 5)).unionByName(line("top_product", top(["sub_category"], 5))).unionByName(line("region", top(["region"], 10))).unionByName(line("recommandation", actions)).unionByName(line("tendance", trend))
-    default = rules.answer(whole).select(F.col("answer").alias("general"))
-    asked = routed.filter("engine = 'retrieval'")
-    return asked.join(F.broadcast(contexts), "route", "left").crossJoin(F.broadcast(default)).select(*id_cols, "route", F.coalesce("context", "general").alias("context"))  # five rows and one
+    row = lambda intents, df: df.select(F.explode(F.array(*map(F.lit, intents))).alias("route"), F.col("c").alias("context"))
+    money = lambda c: rules.number(c, 0)
+
+    def ranked(df: DataFrame, line, n: int, *ties: str) -> DataFrame:
+        top = df.orderBy(F.desc("sales"), *ties).limit(n).agg(F.array_sort(F.collect_list(F.struct((-F.col("sales")).alias("k"), *ties, line.alias("t")))).alias("x"))
+        return top.select(F.array_join(F.transform("x", lambda x: x["t"]), "; ").alias("c"))
+
+    sold = ranked(products, F.concat_ws(" ", "sub_category", money(F.col("sales"))), 5, "sub_category")
+    bought = ranked(clients, F.concat_ws(" ", F.col("customer_id").cast("string"), money(F.col("sales")), F.col("orders").cast("string"), F.lit("orders")), 5, "customer_id")
+    annual = F.array_join(F.transform("annual", lambda y: F.concat(y["year"].cast("string"), F.lit(" "), money(y["sales"]), F.lit(" ("), F.coalesce(rules.signed(y["yoy_pct"]), F.lit("N/A")), F.lit("%)"))), "; ")
+    last8 = F.slice("quarters", F.greatest(F.size("quarters") - 7, F.lit(1)), 8)
+    quarters = F.array_join(F.transform(last8, lambda q: F.concat(F.lit("Q"), q["quarter"].cast("string"), F.lit(" "), q["year"].cast("string"), F.lit(" "), money(q["sales"]), F.lit(" ("), F.coalesce(rules.signed(q["qoq_pct"]), F.lit("N/A")), F.lit("%)"))), "; ")
+    shares = F.array_join(F.transform(F.array_sort(F.transform("region_totals", lambda r: F.struct((-r["sales"]).alias("k"), r["region"].alias("region"), r["sales"].alias("sales")))), lambda r: F.concat_ws(" ", r["region"], money(r["sales"]), F.concat(F.lit("("), rules.number(r["sales"] * 100 / F.col("total")), F.lit("%)")))), "; ")
+    alerts = ranked(found.withColumn("sales", F.abs("variation_pct") + F.when(F.col("level") == "ALERT", 1e6).otherwise(0.0)), F.concat(F.col("level"), F.lit(" Q"), F.col("quarter").cast("string"), F.lit(" "), F.col("year").cast("string"), F.lit(" "), rules.signed(F.col("variation_pct")), F.lit("%")), 5, "year", "quarter").select(F.when(F.col("c") == "", "No anomaly").otherwise(F.col("c")).alias("c"))
+    fired = rules.recommendations(whole)
+    level = lambda df, other: df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.array_position(F.array(*map(F.lit, rules.PRIORITIES)), F.col("priority")).alias("p"), "rule", "action"))), lambda x: F.concat_ws(" ", x["rule"], x["action"])), "; ").alias("c")).select(F.when(F.col("c") == "", other).otherwise(F.col("c")).alias("c"))
+    parts = [
+        row(["top_client"], bought), row(["top_product"], sold), row(["anomalie"], alerts),
+        row(["prevision"], whole.select(F.concat(F.lit("The data cover "), "period", F.lit(" only; there is no forecast.")).alias("c"))),
+        row(["comparaison"], whole.select(F.concat(annual, F.lit(" | "), shares).alias("c"))),
+        row(["cause", "tendance"], whole.select(F.concat(annual, F.lit(" | "), quarters).alias("c"))),
+        row(["risque"], level(fired.filter("priority = 'high'"), "No major risk")), row(["recommandation"], level(fired, "No rule fires")),
+        row(["region"], whole.select(shares.alias("c"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def question_context(routed: DataFrame, facts: DataFrame, contexts: DataFrame, passages: DataFrame | None = None, id_cols: list[str] = ("conv_id", "turn")) -> DataFrame:
+    """Each retrieval question with the KPIs of the whole, the context of its intent, and the passages found for it.
+
+    ``passages`` has the id columns and a text ``passages``; contexts are made once for each intent.
+    """
+    kpis = facts.filter("scope = 'all'").select(F.concat(F.lit("Sales "), rules.number(F.col("total"), 0), F.lit(", growth "), F.coalesce(rules.signed(F.col("growth_pct")), F.lit("N/A")), F.lit("%, first region "), "top_region", F.lit(", period "), "period").alias("kpis"))
+    asked = routed.filter("engine = 'retrieval'").join(F.broadcast(contexts), "route", "left").crossJoin(F.broadcast(kpis))  # ten rows and one
+    parts = [F.col("kpis"), F.col("context")]
+    if passages is not None:
+        asked = asked.join(passages, list(id_cols), "left")
+        parts.append(F.col("passages"))
+    return asked.select(*id_cols, "route", F.concat_ws(" || ", *parts).alias("context"))
 
 
 def report_listing(reports: DataFrame) -> DataFrame:
-    """Reports, newest first, numbered."""
-    return reports.withColumn("n", F.row_number().over(Window.orderBy(F.desc("generated_at"), F.desc("report_id"))))
+    """Reports, newest first; a sort, which Spark does by ranges of the key."""
+    return reports.orderBy(F.desc("generated_at"), F.desc("report_id"))

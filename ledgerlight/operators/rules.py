@@ -45,18 +45,34 @@ def number(c: Column, digits: int = 1) -> Column:
     return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c.cast("double")))
 
 
-def recommendations(facts: DataFrame) -> DataFrame:
-    """Rules R1 to R7 for every scope, those that fire, with priority and evidence."""
-    c = F.col
+def pick(language: str, en: str, fr: str) -> str:
+    return fr if language == "fr" else en
+
+
+def signed(c: Column, digits: int = 1) -> Column:
+    """The number as text with its sign; null stays null."""
+    return F.when(c.isNotNull(), F.format_string(f"%+.{digits}f", c.cast("double")))
+
+
+def growth_years(facts_annual: Column, most: int = 2) -> Column:
+    """The years that grew most, best first, as text; the earlier of equals first."""
+    grown = F.transform(F.filter(facts_annual, lambda y: y["yoy_pct"] > 0), lambda y: F.struct((-y["yoy_pct"]).alias("k"), y["year"].alias("year")))
+    return F.array_join(F.transform(F.slice(F.array_sort(grown), 1, most), lambda y: F.format_string("%d (%+.1f%%)", y["year"], -y["k"])), ", ")
+
+
+def recommendations(facts: DataFrame, language: str = "en") -> DataFrame:
+    """Rules R1 to R7 for every scope, those that fire, with priority, level, confidence, source and evidence, in English or French."""
+    c, t = F.col, lambda en, fr: F.lit(pick(language, en, fr))
     high = lambda cond: F.when(cond, "high").otherwise("medium")
+    years = growth_years(c("annual"))
     rules = [
-        _record(c("growth_pct") < 0, rule="R1", priority="high", action="Launch a recovery plan", evidence=F.concat(F.lit("growth "), number(c("growth_pct")), F.lit("%")), confidence="high"),
-        _record(c("region_share") > 35, rule="R2", priority=high(c("region_share") > 50), action="Develop the other regions", evidence=F.concat("top_region", F.lit(" "), number(c("region_share")), F.lit("%")), confidence="high"),
-        _record(c("top1_share") > 35, rule="R3", priority="medium", action="Diversify the product range", evidence=F.concat("top_product", F.lit(" "), number(c("top1_share")), F.lit("%")), confidence="medium"),
-        _record(c("worst_qoq") < -10, rule="R4", priority=high(c("worst_qoq") < -25), action="Prepare the weak quarter", evidence=F.concat("worst_quarter", F.lit(" "), number(c("worst_qoq")), F.lit("%")), confidence="high"),
-        _record((c("basket_delta") < -2) & (c("orders_delta") > 2), rule="R5", priority="medium", action="Raise the basket", evidence=F.concat(F.lit("basket "), number(c("basket_delta")), F.lit("%, orders "), number(c("orders_delta")), F.lit("%")), confidence="medium"),
-        _record(c("volatility") > 30, rule="R6", priority="high", action="Smooth the activity", evidence=F.concat(F.lit("volatility "), number(c("volatility")), F.lit("%")), confidence="medium"),
-        _record(c("growing_years") >= 2, rule="R7", priority="medium", action="Repeat what worked in the best years", evidence=F.concat(F.lit("best year "), c("best_year").cast("string")), confidence="high"),
+        _record(c("growth_pct") < 0, rule="R1", priority="high", level="strategic", action=t("Launch a recovery plan", "Lancer un plan de relance"), evidence=F.concat(t("growth ", "croissance "), number(c("growth_pct")), F.lit("%")), confidence="high", source="growth"),
+        _record(c("region_share") > 35, rule="R2", priority=high(c("region_share") > 50), level="strategic", action=t("Develop the other regions", "Developper les autres regions"), evidence=F.concat("top_region", F.lit(" "), number(c("region_share")), F.lit("%")), confidence="high", source="region_sales"),
+        _record(c("top1_share") > 35, rule="R3", priority="medium", level="strategic", action=t("Diversify the product range", "Diversifier l'offre de produits"), evidence=F.concat("top_product", F.lit(" "), number(c("top1_share")), F.lit("%")), confidence="high", source="top_products"),
+        _record(c("worst_qoq") < -10, rule="R4", priority=high(c("worst_qoq") < -25), level="tactical", action=t("Prepare the weak quarter", "Preparer le trimestre faible"), evidence=F.concat("worst_quarter", F.lit(" "), number(c("worst_qoq")), F.lit("%")), confidence="medium", source="variation"),
+        _record((c("basket_delta") < -2) & (c("orders_delta") > 2), rule="R5", priority="medium", level="tactical", action=t("Raise the basket", "Relever le panier moyen"), evidence=F.concat(t("basket ", "panier "), number(c("basket_delta")), t("%, orders ", "%, commandes "), number(c("orders_delta")), F.lit("%")), confidence="high", source="annual"),
+        _record(c("volatility") > 30, rule="R6", priority="high", level="operational", action=t("Smooth the activity", "Lisser l'activite"), evidence=F.concat(t("volatility ", "volatilite "), number(c("volatility")), F.lit("%")), confidence="high", source="volatility"),
+        _record(c("growing_years") >= 2, rule="R7", priority="medium", level="tactical", action=t("Repeat what worked in the best years", "Reproduire ce qui a porte les meilleures annees"), evidence=F.concat(t("best years ", "meilleures annees "), years), confidence="high", source="annual yoy"),
     ]
     return _exploded(facts, rules)
 
@@ -91,44 +107,68 @@ def traces(facts: DataFrame) -> DataFrame:
     return _exploded(facts, records)
 
 
-def default_recommendations(facts: DataFrame) -> DataFrame:
-    """Two recommendations for a scope without rules; steady scopes are trusted more."""
+def _default_actions() -> Column:
+    """Two recommendations as records; steady scopes are trusted more."""
     trust = F.when(F.col("volatility_level") == "low", "high").when(F.col("volatility_level").isin("high", "very high"), "low").otherwise("medium")
-    records = [_record(F.lit(True), ord=1, action=F.concat(F.lit("Strengthen "), "top_product"), confidence=trust), _record(F.lit(True), ord=2, action=F.concat(F.lit("Anticipate "), F.coalesce("worst_quarter", F.lit("weak quarters"))), confidence=trust)]
-    return _exploded(facts, records)
+    record = lambda i, action: F.struct(F.lit(i).alias("ord"), action.alias("action"), trust.alias("confidence"))
+    return F.array(record(1, F.concat(F.lit("Strengthen "), "top_product")), record(2, F.concat(F.lit("Anticipate "), F.coalesce("worst_quarter", F.lit("weak quarters")))))
 
 
-def risks_and_opportunities(facts: DataFrame) -> DataFrame:
+def default_recommendations(facts: DataFrame) -> DataFrame:
+    """Two recommendations for a scope without rules."""
+    return facts.select("scope", F.explode(_default_actions()).alias("r")).select("scope", "r.*")
+
+
+def _outlook() -> Column:
+    """Risks and opportunities as records."""
     records = [
-        _record(F.col("worst_quarter").isNotNull(), kind="risk", text=F.concat(F.lit("Weak quarter "), "worst_quarter", F.lit(" ("), number(F.col("worst_qoq")), F.lit("%)"))),
+        _record(F.col("worst_qoq").isNotNull(), kind="risk", text=F.concat(F.lit("Weak quarter "), "worst_quarter", F.lit(" ("), number(F.col("worst_qoq")), F.lit("%)"))),
         _record(F.lit(True), kind="risk", text=F.concat(F.lit("Dependence on "), "top_product")),
-        _record(F.col("best_quarter").isNotNull(), kind="opportunity", text=F.concat(F.lit("Repeat "), "best_quarter", F.lit(" (+"), number(F.col("best_qoq")), F.lit("%)"))),
+        _record(F.col("best_qoq").isNotNull(), kind="opportunity", text=F.concat(F.lit("Repeat "), "best_quarter", F.lit(" (+"), number(F.col("best_qoq")), F.lit("%)"))),
         _record(F.lit(True), kind="opportunity", text=F.concat(F.lit("Develop segment "), "best_segment")),
     ]
-    return _exploded(facts, records)
+    return F.filter(F.array(*records), lambda x: x.isNotNull())
+
+
+def risks_and_opportunities(facts: DataFrame) -> DataFrame:
+    return facts.select("scope", F.explode(_outlook()).alias("r")).select("scope", "r.*")
 
 
 def visual_tone(score: Column, risk: Column) -> Column:
     return F.when(risk == "high", "risk").when(score >= 30, "favourable").when((score <= -20) | (risk == "moderate"), "watch").otherwise("neutral")
 
 
-def bullets(facts: DataFrame) -> DataFrame:
-    """Three summary lines a scope, whole where facts are missing."""
-    c = F.col
-    first = F.concat(F.lit("Sales of "), number(c("total"), 0), F.lit(" over "), "period", F.coalesce(F.concat(F.lit(", growth "), number(c("growth_pct")), F.lit("%")), F.lit("")))
-    second = F.coalesce(F.concat(F.lit("Best quarter "), "best_quarter", F.lit(", worst "), "worst_quarter"), F.lit("No quarterly change to compare"))
-    third = F.concat(F.lit("Leading product "), "top_product", F.lit(", segment "), "best_segment")
+def bullets(facts: DataFrame, language: str = "en") -> DataFrame:
+    """Three summary lines a scope, whole where facts are missing, in English or French."""
+    c, t = F.col, lambda en, fr: F.lit(pick(language, en, fr))
+    first = F.concat(t("Sales of ", "Ventes de "), number(c("total"), 0), t(" over ", " sur "), "period", F.coalesce(F.concat(t(", growth ", ", croissance "), number(c("growth_pct")), F.lit("%")), F.lit("")))
+    compared = c("best_qoq").isNotNull()
+    second = F.when(compared, F.concat(t("Best quarter ", "Meilleur trimestre "), "best_quarter", t(", worst ", ", pire "), "worst_quarter")).otherwise(t("No quarterly change to compare", "Aucune variation trimestrielle a comparer"))
+    third = F.concat(t("Leading product ", "Produit principal "), "top_product", t(", segment ", ", segment "), "best_segment")
     return facts.select("scope", first.alias("bullet1"), second.alias("bullet2"), third.alias("bullet3"))
 
 
-def narrative(facts: DataFrame) -> DataFrame:
-    """A template report of four paragraphs a scope."""
-    c = F.col
+TRENDS_FR = {"strong growth": "forte croissance", "growth": "croissance", "slight growth": "legere croissance", "stable": "stable", "slight decline": "leger recul", "strong decline": "fort recul"}
+LEVELS_FR = {"low": "faible", "moderate": "moderee", "high": "forte", "very high": "tres forte"}
+
+
+def _named(column: str, language: str, french: dict[str, str], missing: tuple[str, str]) -> Column:
+    c = F.col(column)
+    if language == "fr":
+        c = F.create_map(*[F.lit(x) for pair in french.items() for x in pair])[c]
+    return F.coalesce(c, F.lit(pick(language, *missing)))
+
+
+def narrative(facts: DataFrame, language: str = "en") -> DataFrame:
+    """A template report of four paragraphs a scope, in English or French."""
+    c, t = F.col, lambda en, fr: F.lit(pick(language, en, fr))
+    trend, level = _named("trend", language, TRENDS_FR, ("not known", "inconnue")), _named("volatility_level", language, LEVELS_FR, ("not known", "inconnue"))
+    quarters = F.concat(t("The best quarter is ", "Le meilleur trimestre est "), "best_quarter", t(" with ", " avec "), number(c("best_qoq")), t("%; the weakest is ", "% ; le plus faible est "), "worst_quarter", t(" with ", " avec "), number(c("worst_qoq")), F.lit("%."))
     paragraphs = [
-        F.concat(F.lit("Over "), "period", F.lit(" sales reached "), number(c("total"), 0), F.lit(" USD. The trend is "), F.coalesce("trend", F.lit("not known")), F.coalesce(F.concat(F.lit(" with "), number(c("growth_pct")), F.lit("% growth")), F.lit("")), F.lit(".")),
-        F.coalesce(F.concat(F.lit("The best quarter is "), "best_quarter", F.lit(" with "), number(c("best_qoq")), F.lit("%; the weakest is "), "worst_quarter", F.lit(" with "), number(c("worst_qoq")), F.lit("%.")), F.lit("No quarterly change can be stated.")),
-        F.concat(F.lit("Product "), "top_product", F.lit(" leads with "), number(c("top1_share")), F.lit("% of the top three; segment "), "best_segment", F.lit(" holds "), number(c("segment_share")), F.lit("%. "), "top_region", F.lit(" is the first region with "), number(c("region_share")), F.lit("%.")),
-        F.concat(F.lit("Volatility of "), F.coalesce(number(c("volatility")), F.lit("0.0")), F.lit("% is "), F.coalesce("volatility_level", F.lit("not known")), F.lit(". We recommend that the team should strengthen "), "top_product", F.lit(" and plan for risk in weak quarters.")),
+        F.concat(t("Over ", "Sur "), "period", t(" sales reached ", " les ventes atteignent "), number(c("total"), 0), t(" USD. The trend is ", " USD. La tendance est : "), trend, F.coalesce(F.concat(t(" with ", " avec "), number(c("growth_pct")), t("% growth", "% de croissance")), F.lit("")), F.lit(".")),
+        F.when(c("best_qoq").isNotNull(), quarters).otherwise(t("No quarterly change can be stated.", "Aucune variation trimestrielle ne peut etre donnee.")),
+        F.concat(t("Product ", "Le produit "), "top_product", t(" leads with ", " domine avec "), number(c("top1_share")), t("% of the top three; segment ", "% des trois premiers ; le segment "), "best_segment", t(" holds ", " pese "), number(c("segment_share")), F.lit("%. "), "top_region", t(" is the first region with ", " est la premiere region avec "), number(c("region_share")), F.lit("%.")),
+        F.concat(t("Volatility of ", "La volatilite de "), F.coalesce(number(c("volatility")), F.lit("0.0")), t("% is ", "% est "), level, t(". We recommend that the team should strengthen ", ". Nous recommandons a l'equipe de renforcer "), "top_product", t(" and plan for risk in weak quarters.", " et de planifier le risque des trimestres faibles.")),
     ]
     return facts.select("scope", F.concat_ws("\n\n", *paragraphs).alias("report"))
 
@@ -139,6 +179,25 @@ def answer(facts: DataFrame) -> DataFrame:
 
 
 def structured(facts: DataFrame) -> DataFrame:
-    """The report as a nested record."""
+    """The report as a nested record; fewer than three products are filled up with N/A."""
     period = lambda name, value: F.struct(F.col(name).alias("label"), F.col(value).alias("change_pct"))
-    return facts.select("scope", F.struct(F.col("trend").alias("main_trend"), period("best_quarter", "best_qoq").alias("best_period"), period("worst_quarter", "worst_qoq").alias("worst_period"), F.transform("products", lambda p: p["name"]).alias("top_products"), F.col("best_segment").alias("key_segment")).alias("structure"))
+    names = F.transform("products", lambda p: p["name"])
+    tops = F.concat(names, F.array_repeat(F.lit("N/A"), F.greatest(3 - F.size(names), F.lit(0))))
+    texts = lambda kind: F.transform(F.filter(_outlook(), lambda x: x["kind"] == kind), lambda x: x["text"])
+    advice = F.transform(_default_actions(), lambda x: F.struct(x["action"].alias("action"), F.lit("medium").alias("priority"), F.lit("operational").alias("level"), x["confidence"].alias("confidence")))
+    summary = F.concat(F.lit("Sales of "), number(F.col("total"), 0), F.lit(" over "), "period", F.lit("."))
+    fields = {"summary": summary, "main_trend": F.coalesce("trend", F.lit("stable")), "best_period": period("best_quarter", "best_qoq"), "worst_period": period("worst_quarter", "worst_qoq"), "top_products": tops, "key_segment": F.col("best_segment"), "risks": texts("risk"), "opportunities": texts("opportunity"), "recommendations": advice}
+    return facts.select("scope", F.struct(*[v.alias(k) for k, v in fields.items()]).alias("structure"))
+
+
+def narrative_of_record(records: DataFrame, language: str = "en") -> DataFrame:
+    """A report of four paragraphs from the record of a scope (column ``structure``), without further numbers, in English or French."""
+    s, t = F.col("structure"), lambda en, fr: F.lit(pick(language, en, fr))
+    connected = F.transform(F.slice(s["recommendations"], 1, 3), lambda r, i: F.concat(F.element_at(F.array(t("First, ", "D'abord, "), t("then, ", "ensuite, "), t("finally, ", "enfin, ")), i + 1), F.lower(F.substring(r["action"], 1, 1)), F.substr(r["action"], F.lit(2))))
+    paragraphs = [
+        F.concat(s["summary"], t(" The trend stays ", " La tendance reste : "), s["main_trend"], t(".", ".")),
+        F.concat(t("The best period is ", "La meilleure periode est "), F.coalesce(s["best_period"]["label"], F.lit("N/A")), t("; the weakest is ", " ; la plus faible est "), F.coalesce(s["worst_period"]["label"], F.lit("N/A")), t(". Between them lies what planning can level out.", ". Entre les deux se trouve ce qu'une planification peut lisser.")),
+        F.concat(t("Most sales come from ", "L'essentiel des ventes vient de "), F.array_join(F.slice(s["top_products"], 1, 3), ", "), t("; the leading segment is ", " ; le premier segment est "), F.coalesce(s["key_segment"], F.lit("N/A")), F.lit(". "), F.array_join(F.slice(s["risks"], 1, 2), ". "), F.lit(".")),
+        F.when(F.size(s["recommendations"]) > 0, F.concat(F.array_join(connected, "; "), F.lit("."))).otherwise(t("Act on peaks, weak quarters and the product range together.", "Agir a la fois sur les pics, les creux et l'offre.")),
+    ]
+    return records.select("scope", F.concat_ws("\n\n", *paragraphs).alias("report"))

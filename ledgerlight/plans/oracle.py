@@ -73,7 +73,7 @@ ORACLE = {
     "s11_profile": SALES + f"SELECT count(*) AS n_rows, min(order_date) AS first_date, max(order_date) AS last_date, array_to_string(list_sort(list(DISTINCT region)), ',') AS regions, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories, array_to_string(list_sort(list(DISTINCT segment)), ',') AS segments, {MEASURES['sales']} AS sales, CAST(min(sales) AS DOUBLE) AS least, CAST(max(sales) AS DOUBLE) AS most, {MEASURES['orders']} AS orders, {MEASURES['basket']} AS basket, {MEASURES['clients']} AS clients, {MEASURES['products']} AS products FROM sales",
     "s12_members": SALES + "SELECT DISTINCT 'region' AS dimension, region AS member FROM sales UNION ALL SELECT DISTINCT 'category', category FROM sales UNION ALL SELECT DISTINCT 'segment', segment FROM sales UNION ALL SELECT DISTINCT 'year', CAST(year AS VARCHAR) FROM sales",
     "s18_row_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS status FROM {t}" for t in ("customer", "documents", "lineitem", "orders", "part")),
-    "s19_stale_audit": r"SELECT count(*) FILTER (WHERE regexp_matches(text, '\+?0[.,]0\s?%')) AS zero_growth, count(*) FILTER (WHERE lower(text) LIKE '%apache license%' OR lower(text) LIKE '%all rights reserved%') AS stale_phrase, greatest(count(*) FILTER (WHERE regexp_matches(text, '\+?0[.,]0\s?%')), count(*) FILTER (WHERE lower(text) LIKE '%apache license%' OR lower(text) LIKE '%all rights reserved%')) AS purge_candidates FROM documents",
+    "s19_stale_audit": r"SELECT count(*) FILTER (WHERE regexp_matches(text, '\+?0[.,]0\s?%')) AS zero_growth, count(*) FILTER (WHERE lower(text) LIKE '%apache license%' OR lower(text) LIKE '%all rights reserved%') AS stale_phrase, greatest(count(*) FILTER (WHERE regexp_matches(text, '\+?0[.,]0\s?%')), count(*) FILTER (WHERE lower(text) LIKE '%apache license%' OR lower(text) LIKE '%all rights reserved%')) AS purge_candidates, count(*) FILTER (WHERE regexp_matches(text, '\+?0[.,]0\s?%') OR lower(text) LIKE '%apache license%' OR lower(text) LIKE '%all rights reserved%') AS purge_rows FROM documents",
     "k1_region_quarter": SALES + grouped("region, year, quarter", "sales orders articles basket clients"),
     "k2_category_year": SALES + grouped("region, category, year", "sales articles avg_price"),
     "k3_top_products": top("sub_category", "sales articles avg_price clients orders", 10, "sub_category"),

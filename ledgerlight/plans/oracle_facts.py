@@ -34,15 +34,30 @@ def num(c: str, digits: int = 1) -> str:
 
 POINTS = "least(30, greatest(0, CAST(trunc(coalesce(growth_pct, 0) / 2) AS INTEGER))) AS growth_points, CASE WHEN volatility IS NULL THEN 0 ELSE greatest(0, 25 - CAST(trunc(volatility / 3) AS INTEGER)) END AS regularity_points, least(25, greatest(0, CAST(trunc(coalesce(best_qoq, 0) / 2) AS INTEGER))) AS quarter_points, coalesce(least(20, greatest(0, CAST(trunc((1 - top1 / nullif(top3, 0)) * 40) AS INTEGER))), 0) AS diversity_points"
 SCORE = f"SELECT *, CASE WHEN score >= 85 THEN 'excellent' WHEN score >= 70 THEN 'very good' WHEN score >= 55 THEN 'good' WHEN score >= 40 THEN 'fair' ELSE 'weak' END AS mention FROM (SELECT *, growth_points + regularity_points + quarter_points + diversity_points AS score FROM (SELECT scope, {POINTS} FROM facts))"
-RULES = " UNION ALL ".join(f"SELECT scope, '{r}' AS rule, {p} AS priority, '{a}' AS action, {e} AS evidence, '{k}' AS confidence FROM facts WHERE {w}" for r, w, p, a, e, k in [
-    ("R1", "growth_pct < 0", "'high'", "Launch a recovery plan", f"'growth ' || {num('growth_pct')} || '%'", "high"),
-    ("R2", "region_share > 35", "CASE WHEN region_share > 50 THEN 'high' ELSE 'medium' END", "Develop the other regions", f"top_region || ' ' || {num('region_share')} || '%'", "high"),
-    ("R3", "top1_share > 35", "'medium'", "Diversify the product range", f"top_product || ' ' || {num('top1_share')} || '%'", "medium"),
-    ("R4", "worst_qoq < -10", "CASE WHEN worst_qoq < -25 THEN 'high' ELSE 'medium' END", "Prepare the weak quarter", f"worst_quarter || ' ' || {num('worst_qoq')} || '%'", "high"),
-    ("R5", "basket_delta < -2 AND orders_delta > 2", "'medium'", "Raise the basket", f"'basket ' || {num('basket_delta')} || '%, orders ' || {num('orders_delta')} || '%'", "medium"),
-    ("R6", "volatility > 30", "'high'", "Smooth the activity", f"'volatility ' || {num('volatility')} || '%'", "medium"),
-    ("R7", "growing_years >= 2", "'medium'", "Repeat what worked in the best years", "'best year ' || best_year", "high"),
-])
+GROWN = "(SELECT string_agg(year || ' (' || printf('%+.1f', yoy) || '%)', ', ' ORDER BY yoy DESC, year) FROM (SELECT year, yoy FROM an WHERE an.scope = facts.scope AND yoy > 0 ORDER BY yoy DESC, year LIMIT 2))"
+
+
+def rule_sql(french: bool = False) -> str:
+    rows = [
+        ("R1", "growth_pct < 0", "'high'", "strategic", "Launch a recovery plan", "Lancer un plan de relance", "'{growth} ' || " + num("growth_pct") + " || '%'", "high", "growth"),
+        ("R2", "region_share > 35", "CASE WHEN region_share > 50 THEN 'high' ELSE 'medium' END", "strategic", "Develop the other regions", "Developper les autres regions", f"top_region || ' ' || {num('region_share')} || '%'", "high", "region_sales"),
+        ("R3", "top1_share > 35", "'medium'", "strategic", "Diversify the product range", "Diversifier l''offre de produits", f"top_product || ' ' || {num('top1_share')} || '%'", "high", "top_products"),
+        ("R4", "worst_qoq < -10", "CASE WHEN worst_qoq < -25 THEN 'high' ELSE 'medium' END", "tactical", "Prepare the weak quarter", "Preparer le trimestre faible", f"worst_quarter || ' ' || {num('worst_qoq')} || '%'", "medium", "variation"),
+        ("R5", "basket_delta < -2 AND orders_delta > 2", "'medium'", "tactical", "Raise the basket", "Relever le panier moyen", f"'{{basket}} ' || {num('basket_delta')} || '%, {{orders}} ' || {num('orders_delta')} || '%'", "high", "annual"),
+        ("R6", "volatility > 30", "'high'", "operational", "Smooth the activity", "Lisser l''activite", f"'{{volatility}} ' || {num('volatility')} || '%'", "high", "volatility"),
+        ("R7", "growing_years >= 2", "'medium'", "tactical", "Repeat what worked in the best years", "Reproduire ce qui a porte les meilleures annees", "'{best} ' || " + GROWN, "high", "annual yoy"),
+    ]
+    words = {"growth": "croissance", "basket": "panier", "orders": "commandes", "volatility": "volatilite", "best": "meilleures annees"} if french else {"growth": "growth", "basket": "basket", "orders": "orders", "volatility": "volatility", "best": "best years"}
+
+    def fill(e: str) -> str:
+        for name, word in words.items():
+            e = e.replace("{" + name + "}", word)
+        return e
+
+    return " UNION ALL ".join(f"SELECT scope, '{r}' AS rule, {p} AS priority, '{lv}' AS level, '{fr if french else en}' AS action, {fill(e)} AS evidence, '{k}' AS confidence, '{src}' AS source FROM facts WHERE {w}" for r, w, p, lv, en, fr, e, k, src in rows)
+
+
+RULES = rule_sql()
 SURE = "CASE WHEN n_years >= 3 THEN 'high' WHEN n_years = 2 THEN 'medium' ELSE 'low' END"
 TRACES = " UNION ALL ".join(f"SELECT scope, {i} AS trace, '{n}' AS insight, '{s}' AS source, {e} AS evidence, {k} AS confidence FROM facts WHERE {w} IS NOT NULL" for i, n, s, w, e, k in [
     (1, "trend", "annual", "growth_pct", f"trend || ' ' || {num('growth_pct')} || '%'", SURE),
@@ -61,6 +76,16 @@ NARRATIVE = f"""SELECT scope, 'Over ' || period || ' sales reached ' || {num('to
  'Volatility of ' || {num('volatility')} || '% is ' || volatility_level || '. We recommend that the team should strengthen ' || top_product || ' and plan for risk in weak quarters.' AS report FROM facts"""
 
 
+TREND_FR = "CASE trend WHEN 'strong growth' THEN 'forte croissance' WHEN 'growth' THEN 'croissance' WHEN 'slight growth' THEN 'legere croissance' WHEN 'stable' THEN 'stable' WHEN 'slight decline' THEN 'leger recul' WHEN 'strong decline' THEN 'fort recul' ELSE 'inconnue' END"
+TOPS = "(SELECT string_agg(sub_category, ', ' ORDER BY rk) FROM pr WHERE pr.scope = facts.scope AND rk <= 3)"
+RECORD_TEXT = f"""SELECT scope, 'Sales of ' || {num('total', 0)} || ' over ' || period || '. The trend stays ' || coalesce(trend, 'stable') || '.' || chr(10) || chr(10) ||
+ 'The best period is ' || best_quarter || '; the weakest is ' || worst_quarter || '. Between them lies what planning can level out.' || chr(10) || chr(10) ||
+ 'Most sales come from ' || {TOPS} || '; the leading segment is ' || best_segment || '. Weak quarter ' || worst_quarter || ' (' || {num('worst_qoq')} || '%). Dependence on ' || top_product || '.' || chr(10) || chr(10) ||
+ 'First, strengthen ' || top_product || '; then, anticipate ' || worst_quarter || '.' AS report FROM facts"""
+ANOMALIES = """SELECT scope, year, quarter, round(ch, 1) AS variation_pct, sales, ref AS reference_sales, ry AS reference_year, CASE WHEN ch < 0 THEN 'ALERT' ELSE 'INFO' END AS level, CASE WHEN ch < 0 THEN 'yoy_drop' ELSE 'yoy_rise' END AS kind
+ FROM (SELECT *, CASE WHEN ref > 0 THEN (sales - ref) / ref * 100 END AS ch FROM (SELECT scope, year, quarter, sales, lag(sales) OVER w AS ref, lag(year) OVER w AS ry FROM qu WINDOW w AS (PARTITION BY scope, quarter ORDER BY year))) WHERE year - ry = 1 AND abs(ch) >= 20"""
+
+
 def check(name: str, expected: str, actual: str, rest: str = "", detail: str = "''", absolute: bool = False) -> str:
     gap = "abs(actual - expected)" if absolute else "CASE WHEN expected = 0 THEN CASE WHEN actual = 0 THEN 0.0 ELSE 100.0 END ELSE abs(actual - expected) / abs(expected) * 100 END"
     return f"SELECT name, CASE WHEN gap_pct IS NULL THEN 'warning' WHEN gap_pct > 5 THEN 'error' WHEN gap_pct > 1 THEN 'warning' ELSE 'ok' END AS status, expected, actual, gap_pct, detail FROM (SELECT *, round(CAST({gap} AS DOUBLE), 4) AS gap_pct FROM (SELECT '{name}' AS name, CAST({expected} AS DOUBLE) AS expected, CAST({actual} AS DOUBLE) AS actual, {detail} AS detail {rest}))"
@@ -85,9 +110,17 @@ ORACLE = {
     "r4_traces": FACTS + TRACES,
     "r5_default_recommendations": FACTS + f"SELECT scope, 1 AS ord, 'Strengthen ' || top_product AS action, {TRUST} AS confidence FROM facts UNION ALL SELECT scope, 2, 'Anticipate ' || coalesce(worst_quarter, 'weak quarters'), {TRUST} FROM facts",
     "r6_risks": FACTS + f"SELECT scope, 'risk' AS kind, 'Weak quarter ' || worst_quarter || ' (' || {num('worst_qoq')} || '%)' AS text FROM facts WHERE worst_quarter IS NOT NULL UNION ALL SELECT scope, 'risk', 'Dependence on ' || top_product FROM facts UNION ALL SELECT scope, 'opportunity', 'Repeat ' || best_quarter || ' (+' || {num('best_qoq')} || '%)' FROM facts WHERE best_quarter IS NOT NULL UNION ALL SELECT scope, 'opportunity', 'Develop segment ' || best_segment FROM facts",
-    "r8_structure": FACTS + "SELECT scope, trend AS main_trend, best_quarter, worst_quarter, (SELECT string_agg(sub_category, ',' ORDER BY rk) FROM pr WHERE pr.scope = facts.scope AND rk <= 3) AS top_products, best_segment AS key_segment FROM facts",
+    "r8_structure": FACTS + f"SELECT scope, 'Sales of ' || {num('total', 0)} || ' over ' || period || '.' AS summary, concat_ws('; ', 'Weak quarter ' || worst_quarter || ' (' || {num('worst_qoq')} || '%)', 'Dependence on ' || top_product) AS risks, concat_ws('; ', 'Repeat ' || best_quarter || ' (+' || {num('best_qoq')} || '%)', 'Develop segment ' || best_segment) AS opportunities, 'Strengthen ' || top_product || '; Anticipate ' || worst_quarter AS actions, trend AS main_trend, best_quarter, worst_quarter, (SELECT string_agg(sub_category, ',' ORDER BY rk) FROM pr WHERE pr.scope = facts.scope AND rk <= 3) AS top_products, best_segment AS key_segment FROM facts",
     "r11_bullets": FACTS + f"SELECT scope, 'Sales of ' || {num('total', 0)} || ' over ' || period || coalesce(', growth ' || {num('growth_pct')} || '%', '') AS bullet1, coalesce('Best quarter ' || best_quarter || ', worst ' || worst_quarter, 'No quarterly change to compare') AS bullet2, 'Leading product ' || top_product || ', segment ' || best_segment AS bullet3 FROM facts",
     "r13_narrative": FACTS + NARRATIVE,
+    "r13_narrative_french": FACTS + f"""SELECT scope, 'Sur ' || period || ' les ventes atteignent ' || {num('total', 0)} || ' USD. La tendance est : ' || {TREND_FR} || coalesce(' avec ' || {num('growth_pct')} || '% de croissance', '') || '.' || chr(10) || chr(10) ||
+ 'Le meilleur trimestre est ' || best_quarter || ' avec ' || {num('best_qoq')} || '% ; le plus faible est ' || worst_quarter || ' avec ' || {num('worst_qoq')} || '%.' || chr(10) || chr(10) ||
+ 'Le produit ' || top_product || ' domine avec ' || {num('top1_share')} || '% des trois premiers ; le segment ' || best_segment || ' pese ' || {num('segment_share')} || '%. ' || top_region || ' est la premiere region avec ' || {num('region_share')} || '%.' || chr(10) || chr(10) ||
+ 'La volatilite de ' || {num('volatility')} || '% est ' || CASE volatility_level WHEN 'low' THEN 'faible' WHEN 'moderate' THEN 'moderee' WHEN 'high' THEN 'forte' ELSE 'tres forte' END || '. Nous recommandons a l''equipe de renforcer ' || top_product || ' et de planifier le risque des trimestres faibles.' AS report FROM facts""",
+    "r11_bullets_french": FACTS + f"SELECT scope, 'Ventes de ' || {num('total', 0)} || ' sur ' || period || coalesce(', croissance ' || {num('growth_pct')} || '%', '') AS bullet1, 'Meilleur trimestre ' || best_quarter || ', pire ' || worst_quarter AS bullet2, 'Produit principal ' || top_product || ', segment ' || best_segment AS bullet3 FROM facts",
+    "r2_recommendations_french": FACTS + rule_sql(True),
+    "r12_record_narrative": FACTS + RECORD_TEXT,
+    "a4_scope_anomalies": FACTS + ANOMALIES,
     "r17_visual_tone": FACTS + f"SELECT scope, score, CASE WHEN volatility_short = 'high' THEN 'risk' WHEN score >= 30 THEN 'favourable' WHEN score <= -20 OR volatility_short = 'moderate' THEN 'watch' ELSE 'neutral' END AS tone FROM ({SCORE}) JOIN facts USING (scope)",
     "r18_answer": FACTS + f"SELECT scope, 'For ' || scope || ', sales total ' || {num('total', 0)} || ' over ' || period || '.' AS answer FROM facts",
     "v_checks": SALES + CHECKS,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import lexicons as lx
 from .oracle import MEASURES, SALES, grouped, pct
-from .oracle_facts import FACTS, NARRATIVE, num
+from .oracle_facts import FACTS, NARRATIVE, RECORD_TEXT, num
 
 
 def q(s: str) -> str:
@@ -89,3 +89,27 @@ ADVICE = SALES + f""", rg AS ({grouped('region', 'sales')}), cg AS ({grouped('ca
  SELECT concat_ws('; ', CASE WHEN n > 0 THEN 'Look into ' || n || ' alerts' END, CASE WHEN t <> l THEN 'Bring ' || l || ' closer to ' || t END, CASE WHEN (SELECT max(sales) > 1.3 * min(sales) FROM cg) THEN 'Category ' || (SELECT category FROM cg ORDER BY sales DESC, category DESC LIMIT 1) || ' dominates' END, CASE WHEN v > 30 THEN 'Secure the growth' WHEN v < 5 THEN 'Revive the growth' END) AS advice FROM al, g, e"""
 ORACLE["r7_scope_advice"] = ADVICE
 ORACLE["x12_pairwise"] = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0) SELECT a.vec_id AS query_id, b.vec_id AS passage_id, round(list_cosine_similarity(a.v, b.v), 4) AS similarity FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE round(list_cosine_similarity(a.v, b.v), 4) > -1.5"
+# What a scope's texts may state: scalars, years, quarters, products and their sums, segments, yearly first regions, months.
+ALLOWED = f""", sgo AS (SELECT scope, segment, sum(o) AS orders FROM (SELECT scope, segment, year, count(DISTINCT order_id) AS o FROM sc GROUP BY scope, segment, year) GROUP BY scope, segment),
+ mo AS (SELECT scope, year, month, {MEASURES['sales']} AS sales, count(DISTINCT order_id) AS orders FROM sc GROUP BY scope, year, month), qty AS (SELECT scope, sub_category, count(*) AS n FROM sc GROUP BY scope, sub_category),
+ yr AS (SELECT *, row_number() OVER (PARTITION BY scope, year ORDER BY sales DESC, region) AS rk FROM (SELECT scope, year, region, {MEASURES['sales']} AS sales FROM sc GROUP BY scope, year, region)),
+ al AS (SELECT scope, unnest([total, growth_pct, volatility, region_share, top1_share, top3, (SELECT sum(sales) FROM pr WHERE pr.scope = facts.scope AND rk <= 2)]) AS v FROM facts
+  UNION ALL SELECT scope, unnest([sales, orders, basket, yoy]) FROM an UNION ALL SELECT scope, unnest([sales, qoq, abs(qoq)]) FROM qu
+  UNION ALL SELECT pr.scope, unnest([sales, n]) FROM pr JOIN qty USING (scope, sub_category) WHERE rk <= 3
+  UNION ALL SELECT sg.scope, unnest([sg.sales, sgo.orders, sg.sales * 100 / facts.total]) FROM sg JOIN sgo USING (scope, segment) JOIN facts USING (scope)
+  UNION ALL SELECT scope, sales FROM yr WHERE rk = 1 UNION ALL SELECT scope, unnest([sales, orders]) FROM mo)"""
+UNBACKED = " bad AS (SELECT * FROM numbers WHERE NOT (bare AND value BETWEEN 2010 AND 2030) AND NOT EXISTS (SELECT 1 FROM al WHERE al.scope = numbers.scope AND abs(numbers.value - al.v) <= CASE WHEN abs(al.v) < 5 THEN 1.5 ELSE abs(al.v) * CASE WHEN numbers.kind = 'amount' THEN 0.04 ELSE 0.015 END END))"
+ORACLE["g4_unsupported"] = FACTS + ALLOWED + f", rp AS ({NARRATIVE}), d AS (SELECT scope, report AS t FROM rp UNION ALL SELECT scope, (SELECT report FROM rp WHERE scope = 'all') FROM rp)" + NUMBERS + "," + UNBACKED + " SELECT scope, kind, raw, count(*) AS n FROM bad GROUP BY scope, kind, raw"
+ORACLE["r14_accepted"] = (
+    FACTS + ALLOWED + f", rp AS ({NARRATIVE}), rc AS ({RECORD_TEXT}), cd AS (SELECT scope, CASE WHEN scope LIKE 'category:%' THEN 'For ' || scope || ', sales total ' || {num('total', 0)} || ' over ' || period || '.' ELSE (SELECT report FROM rp WHERE scope = 'all') END AS report FROM facts), d AS (SELECT scope, report AS t FROM cd)" + NUMBERS + "," + UNBACKED
+    + ", nb AS (SELECT cd.scope, cd.report, count(bad.value) AS n_bad FROM cd LEFT JOIN bad ON cd.scope = bad.scope GROUP BY cd.scope, cd.report) SELECT nb.scope, n_bad, CASE WHEN length(nb.report) < 400 THEN 'short' WHEN n_bad > 2 THEN 'unsupported' ELSE 'accepted' END AS gate, CASE WHEN length(nb.report) < 400 THEN rp.report WHEN n_bad > 2 THEN rc.report ELSE nb.report END AS report FROM nb JOIN rp USING (scope) JOIN rc USING (scope)"
+)
+ORACLE["t12_analysis"] = "SELECT a.*, b.* EXCLUDE (doc_id), c.* EXCLUDE (doc_id), e.* EXCLUDE (doc_id), f.* EXCLUDE (doc_id), g.* EXCLUDE (doc_id), coalesce(keywords, '') AS keywords FROM (" + ") a JOIN (".join([ORACLE["t1_statistics"], ORACLE["t7_intents"]]) + ") b USING (doc_id) JOIN (" + ORACLE["t8_coverage"] + ") c USING (doc_id) JOIN (" + ORACLE["t9_themes"] + ") e USING (doc_id) JOIN (" + ORACLE["t10_tone"] + ") f USING (doc_id) JOIN (" + ORACLE["t11_polarity"] + ") g USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(word || ':' || n, ', ' ORDER BY rank) AS keywords FROM (" + ORACLE["t5_keywords"] + ") GROUP BY doc_id) h USING (doc_id)"
+MARKS = {"numbers": ("c2_numbers", 25), "recommendations": ("c3_recommendations", 15), "clarity": ("c4_clarity", 15), "repetition": ("c5_repetition", 10), "vocabulary": ("c6_vocabulary", 10)}
+ORACLE["t15_total"] = "SELECT doc_id, total, CASE WHEN total >= 85 THEN 'excellent' WHEN total >= 70 THEN 'very good' WHEN total >= 55 THEN 'good' WHEN total >= 40 THEN 'fair' ELSE 'weak' END AS label, gaps FROM (SELECT doc_id, " + " + ".join(c for c, _ in MARKS.values()) + " AS total, concat_ws(',', " + ", ".join(f"CASE WHEN {c} < 0.6 * {m} THEN '{n}' END" for n, (c, m) in MARKS.items()) + f") AS gaps FROM ({ORACLE['t15_quality']}))"
+SUGGESTED = {"salutation": "Which region drives growth?|What are the main risks?|Compare West and East", "recommandation": "Why did 2016 decline?|Which products concentrate revenue?|What is the riskiest quarter?", "risque": "What action do you recommend?|Which region is most volatile?|Why is Q1 2016 problematic?", "anomalie": "What action do you recommend?|Which region is most volatile?|Why is Q1 2016 problematic?"}
+ORACLE["u6_suggestions"] = "SELECT conv_id, turn, CASE route " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SUGGESTED.items()) + f" ELSE 'Which region drives growth?|What are the main risks?|What products concentrate revenue?' END AS suggestions FROM ({ORACLE['u6_routing']})"
+ORACLE["g5_corrected"] = FACTS + f"SELECT scope, 1 AS ord, 'Grow beyond ' || {num('total', 0)} || ' USD soon' AS action, 'Sales were ' || {num('total', 0)} || ' USD' AS justification FROM facts UNION ALL SELECT scope, 2, 'Grow beyond USD soon', 'Volatility ' || {num('volatility')} || '%; first product ' || top_product || '.' FROM facts"
+ORACLE["q4_annual_stored"] = SALES + f"SELECT year, sales, orders, {pct('sales', 'p')} AS yoy_pct FROM (SELECT *, lag(sales) OVER (ORDER BY year) AS p FROM ({grouped('year', 'sales orders')})) WHERE year BETWEEN 1996 AND 1999"
+ORACLE["q16_recap_stored"] = SALES + f", y AS ({grouped('year', 'sales orders')}), rg AS ({grouped('region', 'sales')}) SELECT {MEASURES['sales']} AS sales, (SELECT CAST(sum(orders) AS BIGINT) FROM y) AS orders, (SELECT year FROM y ORDER BY sales DESC, year LIMIT 1) AS best_year, (SELECT region FROM rg ORDER BY sales DESC, region LIMIT 1) AS best_region FROM sales"
+ORACLE["s15_latest_reports"] = FACTS + f"SELECT CASE WHEN scope LIKE 'category:%' THEN 1 ELSE 2 END AS report_id, CASE WHEN scope LIKE 'region:%' THEN substr(scope, 8) END AS region, CASE WHEN scope LIKE 'category:%' THEN substr(scope, 10) END AS category, CASE WHEN scope LIKE 'category:%' THEN '1' ELSE '2' END || ': For ' || scope || ', sales total ' || {num('total', 0)} || ' over ' || period || '.' AS report FROM facts"

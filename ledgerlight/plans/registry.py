@@ -100,7 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _structure(s: DataFrame) -> DataFrame:
     x = F.col("structure")
-    return r.structured(fa.facts(s)).select("scope", x["main_trend"].alias("main_trend"), x["best_period"]["label"].alias("best_quarter"), x["worst_period"]["label"].alias("worst_quarter"), F.array_join(x["top_products"], ",").alias("top_products"), x["key_segment"].alias("key_segment"))
+    texts = lambda c: F.array_join(c, "; ")
+    return r.structured(fa.facts(s)).select("scope", x["summary"].alias("summary"), x["main_trend"].alias("main_trend"), x["best_period"]["label"].alias("best_quarter"), x["worst_period"]["label"].alias("worst_quarter"), F.array_join(x["top_products"], ",").alias("top_products"), x["key_segment"].alias("key_segment"), texts(x["risks"]).alias("risks"), texts(x["opportunities"]).alias("opportunities"), texts(F.transform(x["recommendations"], lambda y: y["action"])).alias("actions"))
 
 
 def _merged(s: DataFrame) -> DataFrame:
@@ -117,18 +118,40 @@ def _checks(s: DataFrame) -> DataFrame:
     return v.all_checks(s, k.annual(s), k.region_quarter(s))
 
 
+def _stored_annual(s: DataFrame) -> DataFrame:
+    """The stored annual table, a range of years."""
+    return t.settled(k.annual(s), "annual").filter(F.col("year").between(1996, 1999)).select("year", "sales", "orders", "yoy_pct")
+
+
+def _latest(s: DataFrame) -> DataFrame:
+    """Reports of two dates appended to one table; the newest of each scope."""
+    texts = r.answer(fa.facts(s)).select(F.col("scope"), F.col("answer").alias("report"))
+    at = lambda day, kept: texts.filter(kept).select(F.lit(day).alias("report_id"), F.lit(None).cast("int").alias("year"), F.when(F.col("scope").startswith("region:"), F.substring("scope", 8, 100)).alias("region"), F.when(F.col("scope").startswith("category:"), F.substring("scope", 10, 100)).alias("category"), F.concat(F.lit(f"{day}: "), "report").alias("report"), F.to_timestamp(F.lit(f"2024-01-0{day} 00:00:00")).alias("generated_at"))
+    path = t.shared_path(s.sparkSession, "reports")
+    t.append_reports(at(1, F.lit(True)), path)
+    t.append_reports(at(2, ~F.col("scope").startswith("category:")), path)
+    return t.latest_per_scope(s.sparkSession.read.parquet(path)).select("report_id", "region", "category", "report")
+
+
 SCORES = ["scope", "growth_points", "regularity_points", "quarter_points", "diversity_points", "score", "mention"]
 QUERIES |= {
     "f1_facts": on_sales(lambda s: fa.facts(s).select(*oracle_facts.SCALARS)),
     "r1_scores": on_sales(lambda s: r.performance_score(fa.facts(s)).select(*SCORES)),
     "r2_recommendations": on_sales(lambda s: r.recommendations(fa.facts(s))),
+    "r2_recommendations_french": on_sales(lambda s: r.recommendations(fa.facts(s), "fr")),
     "r3_merged": on_sales(_merged),
     "r4_traces": on_sales(lambda s: r.traces(fa.facts(s))),
     "r5_default_recommendations": on_sales(lambda s: r.default_recommendations(fa.facts(s))),
     "r6_risks": on_sales(lambda s: r.risks_and_opportunities(fa.facts(s))),
     "r8_structure": on_sales(_structure),
     "r11_bullets": on_sales(lambda s: r.bullets(fa.facts(s))),
+    "r11_bullets_french": on_sales(lambda s: r.bullets(fa.facts(s), "fr")),
+    "r12_record_narrative": on_sales(lambda s: r.narrative_of_record(r.structured(fa.facts(s)))),
     "r13_narrative": on_sales(lambda s: r.narrative(fa.facts(s))),
+    "r13_narrative_french": on_sales(lambda s: r.narrative(fa.facts(s), "fr")),
+    "a4_scope_anomalies": on_sales(lambda s: t.settled(rp.found_in_facts(fa.facts(s)), "anomalies")),
+    "q4_annual_stored": on_sales(_stored_annual),
+    "q16_recap_stored": on_sales(lambda s: t.settled(k.global_recap(s), "recap").select("sales", "orders", "best_year", "best_region")),
     "r17_visual_tone": on_sales(_toned),
     "r18_answer": on_sales(lambda s: r.answer(fa.facts(s))),
     "v_checks": on_sales(_checks),
@@ -155,10 +178,20 @@ def _ungrounded(s: DataFrame) -> DataFrame:
 
 
 def _accepted(s: DataFrame) -> DataFrame:
+    """Three kinds of candidates: the scope's own report, for regions the report of the whole, for categories one sentence."""
     facts = fa.facts(s)
-    reports = r.narrative(facts)
-    bad = g.unsupported(g.numbers(reports.withColumnRenamed("report", "text"), "scope"), g.allowed_values(facts))
-    return g.accepted(reports, bad, r.answer(facts).withColumnRenamed("answer", "report"))
+    own, short = r.narrative(facts), r.answer(facts).withColumnRenamed("answer", "report")
+    whole = F.broadcast(own.filter("scope = 'all'").select("report"))  # one row
+    regions = own.filter("scope like 'region:%'").select("scope").crossJoin(whole)
+    candidates = own.filter("scope = 'all'").unionByName(regions).unionByName(short.filter("scope like 'category:%'"))
+    return rp.checked_reports(facts, candidates)
+
+
+def _corrected(s: DataFrame) -> DataFrame:
+    """Actions and justifications with a true and a false number each."""
+    facts = fa.facts(s)
+    made = lambda ord_, total: facts.select("scope", F.lit(ord_).alias("ord"), F.concat(F.lit("Grow beyond "), r.number(total, 0), F.lit(" USD soon")).alias("action"), F.concat(F.lit("Sales were "), r.number(total, 0), F.lit(" USD")).alias("justification"))
+    return rp.corrected_actions(made(1, F.col("total")).unionByName(made(2, F.col("total") * 1000 + 7)), facts)
 
 
 def _cosine(spark: SparkSession, d: str) -> DataFrame:
@@ -181,6 +214,10 @@ QUERIES |= {
     "g1_numbers": on_docs(lambda d: g.numbers(d, "doc_id").drop("bare")),
     "g4_unsupported": on_sales(_ungrounded),
     "r14_accepted": on_sales(_accepted),
+    "g5_corrected": on_sales(_corrected),
+    "s15_latest_reports": on_sales(_latest),
+    "u6_suggestions": lambda spark, d: u.routed(spark.read.parquet(f"{d}/conversations.parquet").filter("role = 'user'")).select("conv_id", "turn", F.array_join(u.suggestions(F.col("route"), "en"), "|").alias("suggestions")),
+    "t15_total": on_docs(lambda d: tx.text_score(d, "doc_id").select("doc_id", "total", "label", "gaps")),
     "u6_routing": lambda spark, d: u.routed(spark.read.parquet(f"{d}/conversations.parquet").filter("role = 'user'")).select("conv_id", "turn", "route", "engine"),
     "x1_passages": on_sales(x.kpi_passages),
     "x7_packed_paragraphs": on_docs(lambda d: x.packed_paragraphs(d, "doc_id")),
@@ -200,13 +237,24 @@ def _pairwise(spark: SparkSession, d: str) -> DataFrame:
 def _context(spark: SparkSession, d: str) -> DataFrame:
     s = src.sales_fact(spark, d)
     turns = u.routed(spark.read.parquet(f"{d}/conversations.parquet").filter("role = 'user'"))
-    return rp.question_context(turns, fa.facts(s), s, ["conv_id", "turn"])
+    facts = fa.facts(s)
+    contexts = t.settled(rp.intent_contexts(facts, k.top_clients(s, 5), k.top_products(s, 5), rp.found_in_facts(facts).filter("scope = 'all'")), "contexts")
+    asked = turns.filter("engine = 'retrieval'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "conv_id", "turn", "text")
+    texts = t.settled(x.embedded(x.kpi_passages(s)).select(F.col("chunk_id").alias("passage_id"), "content", "embedding"), "passages")
+    near = x.cosine_top(x.embedded(asked, "text"), texts).join(texts.select("passage_id", "content"), "passage_id").join(asked.select("query_id", "conv_id", "turn"), "query_id")
+    found = near.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda p: p["content"]), "; ").alias("passages"))
+    return rp.question_context(turns, facts, contexts, found)
+
+
+def _analysis(docs: DataFrame) -> DataFrame:
+    lexicon = docs.sparkSession.createDataFrame(list(lx.POLARITY.items()), "term string, weight double")
+    return rp.analysis(docs, "doc_id", F.broadcast(lexicon))  # a dozen words
 
 
 QUERIES |= {
     "r7_scope_advice": on_sales(lambda s: rp.scope_advice(s, a.anomalies(s))),
-    "r15_all_reports": on_sales(rp.all_reports),
-    "t12_analysis": on_docs(lambda d: rp.analysis(d, "doc_id")),
+    "r15_all_reports": on_sales(lambda s: rp.all_reports(s).drop("structure")),
+    "t12_analysis": on_docs(_analysis),
     "u7_question_context": _context,
     "x12_pairwise": _pairwise,
 }

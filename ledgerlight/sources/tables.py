@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,20 +20,25 @@ def write_tables(tables: dict[str, DataFrame], root: str, partitions: dict[str,
         df.write.mode("overwrite").partitionBy(*(partitions or {}).get(name, [])).parquet(f"{root}/{name}")
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """The table written once to the folder in ``spark.checkpoint.dir`` and read again: what is built on it runs no part of its plan twice.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names.
 
-    A session in one process may leave the folder unset and then uses a local one; a cluster has to name one that all executors share.
+    A session in one process may leave it unset and then uses a local folder; a cluster has
+    to name one that all executors share.
     """
-    spark = df.sparkSession
     base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
     if not base:
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "ledgerlight-shared")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The table written once to the shared folder and read again: what is built on it runs no part of its plan twice."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def append_reports(reports: DataFrame, path: str) -> None:
@@ -65,12 +70,15 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, each)
 
 
-def stale_audit(texts: DataFrame, phrases: tuple[str, str], text_col: str = "text") -> DataFrame:
-    """Counts of stale texts: a zero percentage, either phrase (any case), and what a purge would take."""
+def stale_audit(texts: DataFrame, phrases: tuple[str, str], text_col: str = "text", year_col: str | None = None) -> DataFrame:
+    """Counts of stale texts: a zero percentage, either phrase (any case), the larger of the two, the rows with any, which are those that ``purged`` takes, and reports of a single year."""
     low, c = F.lower(F.col(text_col)), F.col(text_col)
     zero = c.rlike(r"\+?0[.,]0\s?%")
     phrase = F.coalesce(low.contains(phrases[0].lower()) | low.contains(phrases[1].lower()), F.lit(False))
-    return texts.agg(F.count_if(zero).alias("zero_growth"), F.count_if(phrase).alias("stale_phrase")).withColumn("purge_candidates", F.greatest("zero_growth", "stale_phrase"))
+    counts = {"zero_growth": F.count_if(zero), "stale_phrase": F.count_if(phrase), "purge_rows": F.count_if(F.coalesce(zero, F.lit(False)) | phrase)}
+    if year_col:
+        counts["mono_year"] = F.count(year_col)
+    return texts.agg(*[v.alias(k) for k, v in counts.items()]).withColumn("purge_candidates", F.greatest("zero_growth", "stale_phrase"))
 
 
 def purged(texts: DataFrame, phrases: tuple[str, str], text_col: str = "text") -> DataFrame:

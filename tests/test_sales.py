@@ -93,7 +93,7 @@ def test_report_tables(spark, tmp_path):
     tables.write_tables({"t": reports}, str(tmp_path), {"t": ["year"]})
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
     texts = spark.createDataFrame([("+0,0 %",), ("An OLD phrase",), ("fine",), (None,)], "text string")
-    assert tables.stale_audit(texts, ("old phrase", "zzz")).first().asDict() == {"zero_growth": 1, "stale_phrase": 1, "purge_candidates": 1}
+    assert tables.stale_audit(texts, ("old phrase", "zzz")).first().asDict() == {"zero_growth": 1, "stale_phrase": 1, "purge_rows": 2, "purge_candidates": 1}
     assert tables.purged(texts, ("old phrase", "zzz")).count() == 2
 
 
