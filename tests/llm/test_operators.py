@@ -389,6 +389,67 @@ def test_toxicity(docs, spark):
     assert out == {7: zlib.crc32(b"7") % 5 == 0, None: True}
 
 
+def test_scores_follow_from_weights_and_neutral_mentions_are_left_alone(spark):
+    rng = np.random.default_rng(14)
+    calm = lambda n: " ".join(rng.choice(["tree", "house", "river", "cloud", "stone", "road"], n))
+    groups = ["muslims", "women", "jews"]
+    rows = [(i, f"{calm(6)} the {groups[i % 3]} {calm(2)} trash {calm(6)}." if i % 2 else f"{calm(14)}.") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model, plain = toxicity.fit_toxicity(df, labels), toxicity.fit_toxicity(df, labels, even=0.0)
+    assert model.pairs > 300 and model.weights != plain.weights
+    neutral = spark.createDataFrame([(i, f"the {g} {calm(3)} built a {calm(1)}") for i, g in enumerate(groups * 5)] + [(99, None)], "doc_id long, text string")
+    false = lambda m: toxicity.score_toxicity(neutral, m).filter("predicted = 1").count()
+    assert false(plain) > 10 and false(model) == 0
+    texts = {**dict(rows), **{r.doc_id + 10_000: r.text for r in neutral.collect()}}
+    got = toxicity.score_toxicity(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model)
+    for r in got.collect():
+        words = set(re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower()))
+        parts = {w for w in words} | {w[:k] + "~" for w in words for k in (4, 5, 6) if len(w) > k}
+        assert abs(r.score - 1 / (1 + np.exp(-(model.bias + sum(model.weights.get(f, 0.0) for f in parts))))) < 1e-9
+    assert "trash" in model.weights and toxicity.swaps("", toxicity.IDENTITY_TERMS) == [] and len(toxicity.swaps("women " * 3 + "jews. men", toxicity.IDENTITY_TERMS)) <= 40
+
+
+def test_empty_tables_and_clashing_names(spark, docs):
+    word, piece, packed = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"))
+    none = docs.filter("doc_id = -1")
+    model, trees = toxicity.ToxicityModel({}, -1.0), quality.fit_quality(none, spark.createDataFrame([], "doc_id long, quality int"))
+    for df in (token_count.count_tokens(none, word), piece_codec.encode_digest(none, piece), packing.pack_documents(none, packed), quality.score_quality(none, trees), lines.dedup_lines(none), simhash.near_duplicate_classes(none), simhash.one_per_class(none), toxicity.score_toxicity(none, model), pii.masked(none, pii.fit_skip_chain(none))):
+        assert df.count() == 0
+    names = ["y", "row", "key", "text_", "id_", "score", "predicted", "n_lines", "n_removed", "kept_text", "gone", "spans", "lid", "node", "doc", "fp", "component_id", "row_", "f", "old"]
+    odd = docs.select("doc_id", "text", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)], "doc_id long, toxic int, quality int")
+    n = docs.count()
+    fitted = toxicity.fit_toxicity(odd, labels)
+    assert toxicity.score_toxicity(odd, fitted, whole=True).select("row.*", "predicted").columns == [*odd.columns, "predicted"]
+    assert quality.score_quality(odd, quality.fit_quality(odd, labels)).count() == n
+    whole = lines.dedup_lines(odd, whole=True)
+    assert whole.select("row.*").columns == odd.columns and whole.count() == n
+    assert simhash.one_per_class(odd).columns == odd.columns and pii.masked(odd, pii.fit_skip_chain(odd)).columns == odd.columns
+    assert substring.remove_repeated(odd).count() == n and simhash.near_duplicate_classes(odd).count() == n
+    assert token_count.count_tokens(odd, word).count() == n and packing.pack_documents(odd, packed).select("doc_id").distinct().count() == len(TEXTS) + 1
+
+
+def test_nearest_ties_go_to_the_smaller_id(spark):
+    rows = [(i, [1.0, 0.0, float(i % 2)]) for i in range(41)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=4).collect()
+    want = {q: sorted((i for i in range(41) if i != q), key=lambda i: (-(1.0 + (q % 2) * (i % 2)), i))[:4] for q in (0, 20, 40)}
+    assert {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in want} == want
+
+
+def test_substring_sql(spark):
+    import duckdb
+
+    from ledgerlight.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    found = duck.sql(queries.ORACLE_SQL["op1_substring_dedup"])
+    got = queries.op1_substring_dedup(spark, sf).select(*found.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(found.fetchall())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
