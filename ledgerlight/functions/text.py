@@ -145,6 +145,19 @@ def parsed_pairs(text: Column) -> Column:
     return F.transform(items, lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("word"), F.nullif(F.trim(F.split_part(x, F.lit(":"), F.lit(2))), F.lit("")).try_cast("int").alias("freq")))
 
 
+#: Names of themes for readers, by language.
+THEME_LABELS = {
+    "en": {"croissance": "Growth", "decroissance": "Decline", "saisonnalite": "Seasonality", "concentration_produit": "Product concentration", "concentration_regionale": "Regional concentration", "volatilite": "Volatility", "fidelisation": "Loyalty", "panier_moyen": "Average basket", "diversification": "Diversification", "risque": "Risk", "opportunite": "Opportunity", "recommandation": "Recommendation"},
+    "fr": {"croissance": "Croissance", "decroissance": "Decroissance", "saisonnalite": "Saisonnalite", "concentration_produit": "Concentration produit", "concentration_regionale": "Concentration regionale", "volatilite": "Volatilite", "fidelisation": "Fidelisation", "panier_moyen": "Panier moyen", "diversification": "Diversification", "risque": "Risque", "opportunite": "Opportunite", "recommandation": "Recommandation"},
+}
+
+
+def labelled_themes(themes: Column, language: str = "en") -> Column:
+    """A theme list ``name:n, ...`` with readers' names; unknown names stay."""
+    names = F.create_map(*[F.lit(x) for pair in THEME_LABELS[language].items() for x in pair])
+    return F.transform(parsed_pairs(themes), lambda x: F.struct(F.coalesce(names[x["word"]], x["word"]).alias("theme"), x["freq"].alias("n")))
+
+
 def banded(x: Column, bands: list[tuple[float, int]], low: int) -> Column:
     """The points of the first bound that ``x`` reaches."""
     points = F.when(F.lit(False), 0)

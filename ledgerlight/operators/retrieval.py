@@ -64,13 +64,17 @@ def unit(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.transform(v, lambda x: x / norm)).filter(norm > 0)
 
 
-def cosine_top(queries: DataFrame, passages: DataFrame, k: int = 5, least: float = 0.3, query_id: str = "query_id", passage_id: str = "passage_id", most_queries: int = 10_000) -> DataFrame:
+def cosine_top(queries: DataFrame, passages: DataFrame, k: int = 5, least: float = 0.3, query_id: str = "query_id", passage_id: str = "passage_id", most_queries: int = 10_000, where: dict | None = None) -> DataFrame:
     """The ``k`` passages nearest to each query by cosine, above ``least``; both have a column ``embedding``.
 
+    ``where`` restricts passages by equality on their columns (a None asks for null).
+
     Queries go to every task in blocks of about ``most_queries``, dealt by a hash of their
     id, so a broadcast stays bounded however many there are; each block reads the passages
     once.
     """
+    for column, value in (where or {}).items():
+        passages = passages.filter(F.col(column).eqNullSafe(F.lit(value)))
     n = queries.count()
     blocks = -(-n // most_queries) or 1
     dot = F.aggregate(F.zip_with("_q", "embedding", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
@@ -87,5 +91,19 @@ def cosine_top(queries: DataFrame, passages: DataFrame, k: int = 5, least: float
     return reduce(DataFrame.unionByName, [best(mine.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)) for b in range(blocks)])
 
 
+def report_passages(reports: DataFrame, id_col: str, bullets: list[str], text_col: str = "report", most: int = 250) -> DataFrame:
+    """``id, chunk, chunk_type, content``: a report's packed paragraphs, and one passage of its summary lines (columns ``bullets``)."""
+    packed = packed_paragraphs(reports, id_col, text_col, most).select(id_col, "chunk", F.lit("report").alias("chunk_type"), "content")
+    full = F.filter(F.array(*map(F.col, bullets)), lambda b: F.coalesce(F.trim(b), F.lit("")) != "")
+    lines = reports.select(id_col, F.lit(-1).alias("chunk"), F.lit("summary").alias("chunk_type"), F.array_join(F.transform(full, lambda b: F.concat(F.lit("- "), b)), "\n").alias("content"))
+    return packed.unionByName(lines.filter("content <> ''"))
+
+
+def write_index(passages: DataFrame, path: str) -> None:
+    """The passages with their vectors as a table, replaced whole; missing metadata stays null."""
+    columns = ["chunk_id", "chunk_type", "filter_year", "filter_region", "content", "embedding"]
+    passages.select(*columns).write.mode("overwrite").parquet(path)
+
+
 def index_stats(passages: DataFrame) -> DataFrame:
     return passages.groupBy("chunk_type").agg(F.count("*").alias("n"))

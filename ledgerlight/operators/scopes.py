@@ -72,8 +72,11 @@ def all_scopes(s: DataFrame) -> DataFrame:
         FROM _ledgerlight_sales GROUP BY GROUPING SETS ((), (year), (region), (category))""")
 
 
-def dashboard(s: DataFrame, **scope) -> dict[str, DataFrame]:
-    """The results of a dashboard for one scope; persist the scoped fact when several are read."""
+def dashboard(s: DataFrame, found: DataFrame, report: DataFrame, **scope) -> dict[str, DataFrame]:
+    """The twelve results of a dashboard for one scope; persist the scoped fact when several are read.
+
+    ``found`` holds the scope's anomalies and ``report`` its report.
+    """
     here = scoped(s, **scope)
     make = lambda dims, names: by(here, dims, names)
     return {
@@ -82,10 +85,25 @@ def dashboard(s: DataFrame, **scope) -> dict[str, DataFrame]:
         "sub_categories": sub_categories(s, **scope), "monthly": make(["year", "month"], ["sales", "orders", "basket"]),
         "segments": make(["segment"], ["sales", "orders", "basket", "clients"]),
         "top_products": top(make(["sub_category"], ["sales", "articles", "basket", "clients"]), 10, "sales", "sub_category"),
-        "top_clients": top(make(["customer_id", "customer_name"], ["sales", "orders", "basket", "last_order"]), 10, "sales", "customer_id"),
+        "top_clients": top(make(["customer_id", "customer_name"], ["sales", "orders", "basket", "last_order"]), 5, "sales", "customer_id"),
+        "anomalies": found, "report": report,
     }
 
 
+def part_counts(parts: dict[str, DataFrame]) -> DataFrame:
+    """``part, n_rows`` of a dashboard."""
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("part"), "n_rows") for n, df in parts.items()])
+
+
+def period_extremes(s: DataFrame) -> DataFrame:
+    """One row: the year of the largest growth, and how far the first region is ahead of the last."""
+    years = with_previous(by(s, ["year"], ["sales"]), ["year"], digits=1, change="yoy_pct")
+    best = years.agg(F.max_by("year", F.when(F.col("yoy_pct").isNotNull(), F.struct("yoy_pct", -F.col("year")))).alias("best_growth_year"), F.max("yoy_pct").alias("best_growth_pct"))
+    regions = by(s, ["region"], ["sales"])
+    ends = regions.agg(F.max_by("region", F.struct("sales", "region")).alias("first_region"), F.min_by("region", F.struct("sales", "region")).alias("last_region"), F.round(F.max("sales") - F.min("sales"), 2).alias("region_gap"))
+    return best.crossJoin(ends)  # one row each
+
+
 def period_deltas(s: DataFrame) -> DataFrame:
     """Year to year change of basket and orders, beside the change over the whole period."""
     y = by(s, ["year"], ["sales", "orders", "basket"])

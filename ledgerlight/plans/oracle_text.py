@@ -113,3 +113,11 @@ ORACLE["g5_corrected"] = FACTS + f"SELECT scope, 1 AS ord, 'Grow beyond ' || {nu
 ORACLE["q4_annual_stored"] = SALES + f"SELECT year, sales, orders, {pct('sales', 'p')} AS yoy_pct FROM (SELECT *, lag(sales) OVER (ORDER BY year) AS p FROM ({grouped('year', 'sales orders')})) WHERE year BETWEEN 1996 AND 1999"
 ORACLE["q16_recap_stored"] = SALES + f", y AS ({grouped('year', 'sales orders')}), rg AS ({grouped('region', 'sales')}) SELECT {MEASURES['sales']} AS sales, (SELECT CAST(sum(orders) AS BIGINT) FROM y) AS orders, (SELECT year FROM y ORDER BY sales DESC, year LIMIT 1) AS best_year, (SELECT region FROM rg ORDER BY sales DESC, region LIMIT 1) AS best_region FROM sales"
 ORACLE["s15_latest_reports"] = FACTS + f"SELECT CASE WHEN scope LIKE 'category:%' THEN 1 ELSE 2 END AS report_id, CASE WHEN scope LIKE 'region:%' THEN substr(scope, 8) END AS region, CASE WHEN scope LIKE 'category:%' THEN substr(scope, 10) END AS category, CASE WHEN scope LIKE 'category:%' THEN '1' ELSE '2' END || ': For ' || scope || ', sales total ' || {num('total', 0)} || ' over ' || period || '.' AS report FROM facts"
+LABELS = {"croissance": "Growth", "decroissance": "Decline", "saisonnalite": "Seasonality", "concentration_produit": "Product concentration", "concentration_regionale": "Regional concentration", "volatilite": "Volatility", "fidelisation": "Loyalty", "panier_moyen": "Average basket", "diversification": "Diversification", "risque": "Risk", "opportunite": "Opportunity", "recommandation": "Recommendation"}
+ORACLE["t16_labels"] = "SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(string_split(themes, ', '), lambda x: x <> ''), lambda x: CASE split_part(x, ':', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + f" END || '=' || split_part(x, ':', 2)), ';'), '') AS labels FROM ({ORACLE['t9_themes']})"
+ASIA = SALES.rstrip().removesuffix(")") + " AND r_name = 'ASIA')"
+SIZES = [("summary", "1"), ("annual", "(SELECT count(DISTINCT year) FROM sales)"), ("quarterly", "(SELECT count(DISTINCT (year, quarter)) FROM sales)"), ("regions", "(SELECT count(DISTINCT region) FROM sales)"), ("categories", "(SELECT count(DISTINCT category) FROM sales)"), ("sub_categories", "(SELECT least(10, count(DISTINCT sub_category)) FROM sales)"), ("monthly", "(SELECT count(DISTINCT (year, month)) FROM sales)"), ("segments", "(SELECT count(DISTINCT segment) FROM sales)"), ("top_products", "(SELECT least(10, count(DISTINCT sub_category)) FROM sales)"), ("top_clients", "(SELECT least(5, count(DISTINCT customer_id)) FROM sales)"), ("anomalies", f"(SELECT count(*) FROM (SELECT *, {pct('sales', 'p', 1)} AS v FROM (SELECT *, lag(sales) OVER (PARTITION BY quarter ORDER BY year) AS p FROM ({grouped('year, quarter', 'sales')}))) WHERE abs(v) > 20)"), ("report", "1")]
+ORACLE["q17_dashboard"] = ASIA + " UNION ALL ".join(f"SELECT '{n}' AS part, CAST({e} AS BIGINT) AS n_rows" for n, e in SIZES)
+ORACLE["q19_extremes"] = SALES + f", y AS (SELECT *, {pct('sales', 'p', 1)} AS g FROM (SELECT *, lag(sales) OVER (ORDER BY year) AS p FROM ({grouped('year', 'sales')}))), rg AS ({grouped('region', 'sales')}) SELECT (SELECT year FROM y WHERE g IS NOT NULL ORDER BY g DESC, year LIMIT 1) AS best_growth_year, (SELECT max(g) FROM y) AS best_growth_pct, (SELECT region FROM rg ORDER BY sales DESC, region DESC LIMIT 1) AS first_region, (SELECT region FROM rg ORDER BY sales, region LIMIT 1) AS last_region, (SELECT round(max(sales) - min(sales), 2) FROM rg) AS region_gap"
+ORACLE["x9_written_index"] = f"SELECT chunk_type, filter_region, count(*) AS n, count(filter_year) AS with_year FROM ({PASSAGES}) GROUP BY chunk_type, filter_region"
+ORACLE["x7_report_passages"] = FACTS + f", rp AS ({NARRATIVE}) SELECT scope, CAST(0 AS INTEGER) AS chunk, 'report' AS chunk_type, report AS content FROM rp UNION ALL SELECT scope, -1, 'summary', '- Sales of ' || {num('total', 0)} || ' over ' || period || coalesce(', growth ' || {num('growth_pct')} || '%', '') || chr(10) || '- Best quarter ' || best_quarter || ', worst ' || worst_quarter || chr(10) || '- Leading product ' || top_product || ', segment ' || best_segment FROM facts"

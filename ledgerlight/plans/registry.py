@@ -133,6 +133,24 @@ def _latest(s: DataFrame) -> DataFrame:
     return t.latest_per_scope(s.sparkSession.read.parquet(path)).select("report_id", "region", "category", "report")
 
 
+def _dashboard(s: DataFrame) -> DataFrame:
+    report = r.narrative(fa.facts(s)).filter("scope = 'region:ASIA'")
+    return q.part_counts(q.dashboard(s, a.anomalies(s, **ASIA), report, **ASIA))
+
+
+def _written_index(s: DataFrame) -> DataFrame:
+    """The index of passages and of report texts, written and read back."""
+    path = t.shared_path(s.sparkSession, "index")
+    x.write_index(x.embedded(x.kpi_passages(s)), path)
+    stored = s.sparkSession.read.parquet(path)
+    return stored.groupBy("chunk_type", "filter_region").agg(F.count("*").alias("n"), F.count("filter_year").alias("with_year"))
+
+
+def _report_passages(s: DataFrame) -> DataFrame:
+    facts = fa.facts(s)
+    return x.report_passages(r.narrative(facts).join(r.bullets(facts), "scope"), "scope", ["bullet1", "bullet2", "bullet3"])
+
+
 SCORES = ["scope", "growth_points", "regularity_points", "quarter_points", "diversity_points", "score", "mention"]
 QUERIES |= {
     "f1_facts": on_sales(lambda s: fa.facts(s).select(*oracle_facts.SCALARS)),
@@ -149,6 +167,10 @@ QUERIES |= {
     "r12_record_narrative": on_sales(lambda s: r.narrative_of_record(r.structured(fa.facts(s)))),
     "r13_narrative": on_sales(lambda s: r.narrative(fa.facts(s))),
     "r13_narrative_french": on_sales(lambda s: r.narrative(fa.facts(s), "fr")),
+    "q17_dashboard": on_sales(_dashboard),
+    "q19_extremes": on_sales(q.period_extremes),
+    "x7_report_passages": on_sales(_report_passages),
+    "x9_written_index": on_sales(_written_index),
     "a4_scope_anomalies": on_sales(lambda s: t.settled(rp.found_in_facts(fa.facts(s)), "anomalies")),
     "q4_annual_stored": on_sales(_stored_annual),
     "q16_recap_stored": on_sales(lambda s: t.settled(k.global_recap(s), "recap").select("sales", "orders", "best_year", "best_region")),
@@ -217,6 +239,7 @@ QUERIES |= {
     "g5_corrected": on_sales(_corrected),
     "s15_latest_reports": on_sales(_latest),
     "u6_suggestions": lambda spark, d: u.routed(spark.read.parquet(f"{d}/conversations.parquet").filter("role = 'user'")).select("conv_id", "turn", F.array_join(u.suggestions(F.col("route"), "en"), "|").alias("suggestions")),
+    "t16_labels": on_docs(lambda d: tx.dominant_themes(tx.theme_counts(d, "doc_id"), "doc_id").select("doc_id", F.array_join(F.transform(tx.labelled_themes(F.col("themes")), lambda x: F.concat_ws("=", x["theme"], x["n"].cast("string"))), ";").alias("labels"))),
     "t15_total": on_docs(lambda d: tx.text_score(d, "doc_id").select("doc_id", "total", "label", "gaps")),
     "u6_routing": lambda spark, d: u.routed(spark.read.parquet(f"{d}/conversations.parquet").filter("role = 'user'")).select("conv_id", "turn", "route", "engine"),
     "x1_passages": on_sales(x.kpi_passages),

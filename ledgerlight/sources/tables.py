@@ -14,10 +14,15 @@ from pyspark.sql import types as T
 SCOPE = ["year", "region", "category"]
 
 
-def write_tables(tables: dict[str, DataFrame], root: str, partitions: dict[str, list[str]] | None = None) -> None:
-    """Each table as Parquet under ``root``, replaced whole; ``partitions`` names partition columns."""
+def write_tables(tables: dict[str, DataFrame], root: str, partitions: dict[str, list[str]] | None = None, types: dict[str, T.StructType] | None = None, dynamic: bool = False) -> None:
+    """Each table as Parquet under ``root``, replaced whole, or with ``dynamic`` only the partitions that it holds.
+
+    ``partitions`` names partition columns; ``types`` gives a table's columns and types, to which it is brought first.
+    """
     for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy(*(partitions or {}).get(name, [])).parquet(f"{root}/{name}")
+        df = evolve(df, types[name]) if types and name in types else df
+        mode = "dynamic" if dynamic else "static"
+        df.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*(partitions or {}).get(name, [])).parquet(f"{root}/{name}")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

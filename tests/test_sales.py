@@ -75,8 +75,9 @@ def test_single_year_and_empty_scope(spark):
 
 
 def test_dashboard_has_all_parts(spark):
-    parts = scopes.dashboard(quarters(spark, {(2019, 1): 100, (2020, 1): 150}))
-    assert all(df.count() for df in parts.values()) and len(parts) == 10
+    s = quarters(spark, {(2019, 1): 100, (2020, 1): 150})
+    parts = scopes.dashboard(s, anomalies.anomalies(s), rules.narrative(facts.facts(s)).filter("scope = 'all'"))
+    assert all(df.count() for df in parts.values()) and len(parts) == 12
 
 
 def test_report_tables(spark, tmp_path):
@@ -92,6 +93,10 @@ def test_report_tables(spark, tmp_path):
     assert grown.columns[-1] == "score" and grown.count() == 3
     tables.write_tables({"t": reports}, str(tmp_path), {"t": ["year"]})
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+    typed = T.StructType([T.StructField("report_id", T.LongType()), T.StructField("note", T.StringType()), T.StructField("year", T.IntegerType())])
+    tables.write_tables({"t": reports.filter("year = 2018").withColumn("report_id", F.lit(9))}, str(tmp_path), {"t": ["year"]}, {"t": typed}, dynamic=True)
+    stored = spark.read.schema(typed).parquet(str(tmp_path / "t"))
+    assert sorted(r.report_id for r in stored.collect()) == [1, 2, 9]  # the other partition stays
     texts = spark.createDataFrame([("+0,0 %",), ("An OLD phrase",), ("fine",), (None,)], "text string")
     assert tables.stale_audit(texts, ("old phrase", "zzz")).first().asDict() == {"zero_growth": 1, "stale_phrase": 1, "purge_rows": 2, "purge_candidates": 1}
     assert tables.purged(texts, ("old phrase", "zzz")).count() == 2
@@ -169,6 +174,8 @@ def test_plans(spark):
     s = sales.sales_fact(spark, "/root/testdata/sf0.001")
     plan = kpis.annual(s)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan and "l_comment" not in plan
+    for df in (facts.facts(s), rules.recommendations(facts.facts(s)), reports.all_reports(s)):
+        assert "lineitem" not in df._jdf.queryExecution().toString()  # they read what facts wrote
 
 
 def test_noisy_records(spark):
@@ -184,6 +191,13 @@ def test_noisy_records(spark):
     assert [r.x for r in t.select(reports.without_numbers(F.col("t"), F.col("r")).alias("x")).collect()] == ["up of now", "same"]
 
 
+def test_cosine_top_of_some_passages(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], "a", None), (2, [1.0, 0.1], "b", 2018), (3, [0.9, 0.1], "a", 2018)], "passage_id int, embedding array<double>, kind string, year int")
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "query_id int, embedding array<double>")
+    ids = lambda where: [r.passage_id for r in retrieval.cosine_top(asked, v, where=where).orderBy("rank").collect()]
+    assert ids(None) == [1, 2, 3] and ids({"kind": "a"}) == [1, 3] and ids({"kind": "a", "year": None}) == [1] and ids({"year": 2018, "kind": "b"}) == [2]
+
+
 def test_cosine_top_in_blocks(spark):
     rows = [(i, [float(i % 7 + 1), float(i % 5), float(i % 3)]) for i in range(40)]
     passages = spark.createDataFrame(rows, "passage_id long, embedding array<double>")
