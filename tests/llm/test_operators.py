@@ -224,6 +224,8 @@ def kept_lines(spark, lines_):
 def test_lines_have_shingles_at_every_position(spark):
     texts = ["2024-01-15T10:22:41", "2024-01-20T11:47:03", "https://example.org/a/b", "https://other.example/c", "a\tfirst\trow", "a\tfirst\tother row", "\U0001f642 smile", "\U0001f642\U0001f642 smile", "international", "internationalisation"]
     assert kept_lines(spark, texts) == {i for i, r in enumerate(linked(texts)) if i == r}
+    for x in ("", "ab", "exactly8"):
+        assert [len(h) for h in lines.shingle_hashes(pa.array([x]), 8)] == [1, 1]
     for k in (1, 2, 5, 8, 11):
         hashes, count = lines.shingle_hashes(pa.array([*texts, "", "x" * 40]), k)
         own = [{x[m : m + k] for m in range(max(len(x) - k + 1, 1))} for x in [*texts, "", "x" * 40]]
