@@ -3,7 +3,7 @@
 Every window of ``width`` words is represented by its anchor, the smallest hash of the
 short shingles inside it. Equal windows have equal anchors, and neighbouring windows
 mostly share one, so the index holds about one row for fifteen words. It is a list of
-immutable runs, each bucketed and sorted by fingerprint; a new batch is merge-joined with
+immutable runs, each sorted by fingerprint; a new batch is merge-joined with
 the runs, becomes a run itself, and runs are compacted into one when there are too many.
 What those joins find, over all batches, are the anchors that occur again.
 
@@ -137,26 +137,28 @@ def _stretches(keyed: DataFrame, width: int, shingle: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of ``fp, n`` (how many stretches have that anchor), as tables bucketed and sorted by ``fp``.
+    """Sorted immutable runs of ``fp, n`` (how many stretches have that anchor), each a Parquet table whose files are sorted by ``fp``.
 
-    ``runs`` names runs written before, by this index or an earlier one with as many
-    buckets. ``ingest`` merge-joins a batch with all of them, bucket by bucket without a
-    shuffle, and makes it the newest run; beyond ``most_runs`` all are compacted into one.
+    ``runs`` are the paths of runs written before, by this index or an earlier one.
+    ``ingest`` merge-joins a batch with all of them and makes it the newest run; beyond
+    ``most_runs`` all are compacted into one.
     """
 
-    def __init__(self, spark, runs: list[str] | None = None, most_runs: int = 4, buckets: int | None = None):
+    def __init__(self, spark, runs: list[str] | None = None, most_runs: int = 4):
         self.spark, self.runs, self.most_runs = spark, list(runs or []), most_runs
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(self, path: str) -> DataFrame:
+        return self.spark.read.schema("fp long, n long").parquet(path)
 
     def ingest(self, anchors: DataFrame) -> DataFrame:
         """Anchors of the batch (column ``fp``) that recur in it or stand in an older run."""
-        name = self._write(anchors.groupBy("fp").agg(F.count("*").alias("n")))
-        batch = self.spark.table(name)
+        path = self._write(anchors.groupBy("fp").agg(F.count("*").alias("n")))
+        batch = self.run(path)
         again = batch.filter("n > 1").select("fp")
         for r in self.runs:
-            again = again.unionByName(batch.join(self.spark.table(r).select("fp").hint("merge"), "fp", "left_semi").select("fp"))
+            again = again.unionByName(batch.select("fp").join(self.run(r).select("fp").hint("merge"), "fp", "left_semi"))
         found = written(again.distinct(), "substring-again")
-        self.runs.append(name)
+        self.runs.append(path)
         if len(self.runs) > self.most_runs:
             self.compact()
         return found
@@ -164,27 +166,24 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merge all runs into one; the old ones go."""
         if len(self.runs) > 1:
-            every = self.spark.table(self.runs[0])
+            every = self.run(self.runs[0])
             for r in self.runs[1:]:
-                every = every.unionByName(self.spark.table(r))
+                every = every.unionByName(self.run(r))
             old, self.runs = self.runs, [self._write(every.groupBy("fp").agg(F.sum("n").alias("n")))]
             self.drop(old)
 
     def drop(self, runs: list[str] | None = None) -> None:
         """Delete runs, all of this index if none are named."""
         for r in runs if runs is not None else self.runs:
-            where = self.spark.sql(f"DESCRIBE EXTENDED {r}").filter("col_name = 'Location'").first()["data_type"]
-            self.spark.sql(f"DROP TABLE {r}")
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(r)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         if runs is None:
             self.runs = []
 
     def _write(self, counts: DataFrame) -> str:
         path = shared_dir(self.spark, "substring-run")
-        name = "substring_run_" + path.rsplit("-", 1)[1]
-        counts.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).saveAsTable(name)
-        return name
+        counts.sortWithinPartitions("fp").write.parquet(path)
+        return path
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, batches: int = 2, index: FingerprintIndex | None = None, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
