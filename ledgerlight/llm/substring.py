@@ -197,7 +197,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE
     repeated = again[0]
     for more in again[1:]:  # an anchor of two batches comes up with the later one
         repeated = repeated.unionByName(more)
-    repeated = repeated.distinct()
+    repeated = written(repeated.distinct(), "substring-repeated")  # so that the join has two plain exchanges and Spark can split a crowded anchor
     keyed = keyed.withColumn("old", F.lit(False))
     if history is not None:
         keyed = keyed.unionByName(_with_key(history, id_col, text_col).withColumn("old", F.lit(True)))
