@@ -21,7 +21,7 @@ def filled(text: str | Column) -> Column:
 
 
 def sentences(text: Column, least: int = 5) -> Column:
-    return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
 
 def words(text: Column) -> Column:
@@ -141,8 +141,8 @@ def strip_markdown(text: Column) -> Column:
 
 def parsed_pairs(text: Column) -> Column:
     """``k:v, k`` lists as an array of word and number; no number: null."""
-    items = F.filter(F.transform(F.split(filled(text), ","), F.trim), lambda x: x != "")
-    return F.transform(items, lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("word"), F.nullif(F.trim(F.split_part(x, F.lit(":"), F.lit(2))), F.lit("")).try_cast("int").alias("freq")))
+    items = F.filter(F.transform(F.split(filled(text), ","), lambda s: F.trim(s)), lambda x: x != "")
+    return F.transform(items, lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("word"), F.trim(F.split_part(x, F.lit(":"), F.lit(2))).try_cast("int").alias("freq")))
 
 
 #: Names of themes for readers, by language.

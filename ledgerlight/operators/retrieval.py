@@ -46,7 +46,7 @@ def packed_paragraphs(df: DataFrame, id_col: str, text_col: str = "text", most:
         closed = F.array_append(a["done"], F.array_join(a["now"], "\n\n"))
         return F.struct(F.when(full, closed).otherwise(a["done"]).alias("done"), F.when(full, F.array(p)).otherwise(F.array_append(a["now"], p)).alias("now"), F.when(full, size(p)).otherwise(a["n"] + size(p)).alias("n")).cast(state)
 
-    parts = F.filter(F.transform(F.split(filled(text_col), r"\n\s*\n|\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(filled(text_col), r"\n\s*\n|\n"), lambda s: F.trim(s)), lambda p: p != "")
     finish = lambda a: F.when(a["n"] > 0, F.array_append(a["done"], F.array_join(a["now"], "\n\n"))).otherwise(a["done"])
     chunks = F.aggregate(parts, start, add, finish)
     return df.select(id_col, F.posexplode(chunks).alias("chunk", "content")).withColumn("n_words", F.size(F.split("content", r"\s+")))
