@@ -107,13 +107,6 @@ def resident(make: Callable, *key):
     return _resident[name]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Parts of record batches, so that few rows are Python objects at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def sized(batches: Iterator[pa.RecordBatch], *text_columns: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of record batches with about ``most`` bytes of text each, so that memory follows the longest text and not the number of rows."""
     for batch in batches:
@@ -124,10 +117,10 @@ def sized(batches: Iterator[pa.RecordBatch], *text_columns: int, most: int = 1 <
 
 
 def by_batch(fn: Callable[[pa.RecordBatch], dict[str, list]], schema: pa.Schema) -> Callable:
-    """A ``mapInArrow`` function from one that maps a record batch to columns."""
+    """A ``mapInArrow`` function from one that maps a record batch to columns; the texts stand in column 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sized(batches, 1):
             out = fn(batch)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 

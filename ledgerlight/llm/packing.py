@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import Memo, resident, ship, sliced, whole_texts
+from .common import Memo, resident, ship, sized, whole_texts
 from .token_count import byte_symbols
 
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")  # blanks for Python, not for the library
@@ -175,7 +175,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_i
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
-        for b in sliced(batches):
+        for b in sized(batches, 1):
             fields = [("doc_id", b.schema.field(0).type), *((n, pa.int64()) for n in names[1:])]
             schema = pa.schema([*fields, *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
             for doc, text in zip(b.column(0).to_pylist(), whole_texts(b)):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, ship, sliced, whole_texts
+from .common import bounded_rows, ship, sized, whole_texts
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["other", *KINDS]
@@ -239,7 +239,7 @@ def fit_skip_chain(docs: DataFrame, bound: int = 5_000, id_col: str = "doc_id",
     sample = bounded_rows(docs.select(id_col, text_col), text_col, bound)
 
     def counted(batches):
-        for b in sliced(batches):
+        for b in sized(batches, 1):
             c: Counter = Counter()
             for t in whole_texts(b):
                 c.update(map(repr, contexts(nodes_of(t, base_spans(t)))))
@@ -254,8 +254,8 @@ def find_pii(docs: DataFrame, model: SkipChain, id_col: str = "doc_id", text_col
 
     Spans are ordered by kind as in ``KINDS`` and start, in code points with the end
     exclusive; ``base`` tells a pattern's match from a span that the field added. Null and
-    empty texts have none; null ids stay null; repeated rows get a row each; an empty table
-    gives an empty one.
+    empty texts have none; null ids stay null; repeated rows get a row each; very long texts
+    are searched whole; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
     columns = keep or [id_col]
@@ -264,7 +264,7 @@ def find_pii(docs: DataFrame, model: SkipChain, id_col: str = "doc_id", text_col
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
     def run(batches):
-        for b in sliced(batches):
+        for b in sized(batches, 0):
             spans = []
             for t in whole_texts(b, 0):
                 base = base_spans(t)
@@ -283,6 +283,7 @@ def spelled(spans: Column) -> Column:
 def masked(docs: DataFrame, model: SkipChain, text_col: str = "text") -> DataFrame:
     """The table with each span's text replaced by its kind in brackets; overlapping spans become one, named by the first."""
     ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
 
     def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
         parts, end = [], 0
@@ -293,8 +294,7 @@ def masked(docs: DataFrame, model: SkipChain, text_col: str = "text") -> DataFra
         return "".join(parts) + text[end:]
 
     def run(batches):
-        for b in sliced(batches):
-            at = b.schema.get_field_index(text_col)
+        for b in sized(batches, at):
             out = b.column(at).to_pylist()
             for i, t in enumerate(out):
                 if t:

@@ -29,7 +29,7 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
     data = text.encode("utf-8", "surrogatepass")
     a = np.frombuffer(data, np.uint8)
     histogram = np.bincount(a, minlength=256)
-    words = word_hashes(data)
+    words = word_hashes(data)[0]
     n = len(words)
     word_chars = len(text) - int(histogram[BLANKS].sum())
     n_symbols = int(histogram[SYMBOLS].sum())
@@ -154,7 +154,8 @@ def score_quality(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_co
 
     Base rules: fewer than 50 words, or more than half of the words in repeated three-word
     windows. Null and empty texts have no words and fail; null ids stay null; repeated rows
-    get a row each; an empty table gives an empty one; other columns are not read.
+    get a row each; very long texts are counted whole, their words hashed segment by segment;
+    an empty table gives an empty one; other columns are not read.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

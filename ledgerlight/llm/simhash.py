@@ -99,13 +99,16 @@ def near_duplicate_classes(docs: DataFrame, size: int = 3, seed: int = 42, id_co
     Equal fingerprints are linked by grouping, so copies are never expanded into pairs;
     texts without words, null ones included, have fingerprint zero and are linked like any
     other. A null id takes part and stays null; a component of null ids alone has a null
-    id. Repeated rows each get a row; an empty table gives an empty one.
+    id. Repeated rows each get a row; very long texts are read whole; an empty table gives an
+    empty one; other columns are not read.
     """
     fps = written(fingerprints(docs, size, seed, id_col, text_col), "simhash-fps")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     labels = connected_components(close_pairs(distinct.select("fp")), "a", "b")
     owner = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("label", "fp"))
-    roots = owner.groupBy("root").agg(F.min("first").alias("component_id"))
+    owner = written(owner, "simhash-owner")
+    # Written, so that both sides of the join are plain exchanges and Spark can split a giant component.
+    roots = written(owner.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-roots")
     by_fp = owner.select("fp", "root").join(roots, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

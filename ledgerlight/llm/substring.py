@@ -10,7 +10,8 @@ What those joins find, over all batches, are the anchors that occur again.
 Anchors that occur again only name candidates. Those are verified on hashes of the whole
 windows: stretches of windows that recur as they are, by one hash each; the stretches at
 the edge of a shared passage, window by window. A window is named by its anchor and its
-own hash together, 128 bits.
+own hash together, 128 bits: words have two hashes of different seeds, of which one goes
+into anchors and the other into the hashes of windows.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship, sliced, whole_texts, written
+from .common import shared_dir, ship, sized, whole_texts, written
 
 WIDTH = 35
 SHINGLE = 6
@@ -48,11 +50,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE_CODE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(ODD))
+# Short words are hashed by tabulation, a random number for each place and byte; longer ones by xxhash.
+TABULATED = 32
+TABLES = [_mix(np.arange(1, 256 * TABULATED + 1, dtype=np.uint64) * np.uint64(ODD) + np.uint64(seed)) for seed in (0, 0xA0761D6478BD642F)]
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, made segment by segment."""
+    """Two 64-bit hashes of each word ``[^\\x20\\x09-\\x0D]+``, as two rows, made segment by segment."""
     found = []
     at, n = 0, len(data)
     while at < n:
@@ -63,16 +67,26 @@ def word_hashes(data: bytes) -> np.ndarray:
         blank = BLANKS[a]
         edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
         starts, ends = edge[::2], edge[1::2]
-        up, down = _powers(ODD, max(17, len(a).bit_length()))
+        size = ends - starts
+        begun = np.zeros(len(a), np.int32)
+        begun[starts] = starts
+        place = np.arange(len(a), dtype=np.int32) - np.maximum.accumulate(begun)
+        cell = (np.minimum(place, TABULATED - 1) << 8) | a
+        out = np.empty((2, len(starts)), np.uint64)
         total = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(BYTE_CODE[a] * up[: len(a)], out=total[1:])
-        found.append(_mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        for k, table in enumerate(TABLES):
+            np.cumsum(table[cell], out=total[1:])
+            out[k] = _mix(total[ends] - total[starts] + size.astype(np.uint64))
+        for i in np.flatnonzero(size > TABULATED):
+            word = data[at + starts[i] : at + ends[i]]
+            out[0, i], out[1, i] = xxhash.xxh3_64_intdigest(word, 1), xxhash.xxh3_64_intdigest(word, 2)
+        found.append(out)
         at = end
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return np.concatenate(found, 1) if found else np.zeros((2, 0), np.uint64)
 
 
 class Windows:
-    """Hashes of all runs of words of one document."""
+    """Hashes of all runs of words of one document, of one of the words' two hashes."""
 
     def __init__(self, words: np.ndarray):
         self.n = len(words)
@@ -83,29 +97,30 @@ class Windows:
     def hashes(self, starts: np.ndarray, length) -> np.ndarray:
         return _mix((self.total[starts + length] - self.total[starts]) * self.down[starts] + np.asarray(length).astype(np.uint64))
 
-    def stretches(self, width: int, shingle: int):
-        """Anchor, first window, number of windows and hash of each stretch of windows with one anchor."""
-        if width - shingle > 61:
-            raise ValueError("a stretch must fit into the bits of a long")
-        n = self.n - width + 1
-        if n <= 0:
-            return None
-        low = self.hashes(np.arange(self.n - shingle + 1), shingle)
-        place = np.arange(len(low))
-        span, have = width - shingle + 1, 1
-
-        def smaller(a, b):
-            return np.where(low[b] < low[a], b, a)
-
-        while 2 * have <= span:
-            place = smaller(place[:-have], place[have:])
-            have *= 2
-        place = smaller(place[:n], place[span - have :][:n])
-        # Equal windows have their anchor at the same place inside, so a stretch never holds two.
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        size = np.diff(np.r_[first, n])
-        anchor = low[place]
-        return anchor[first], first, size, self.hashes(first, size + width - 1)
+
+def stretches(words: np.ndarray, width: int, shingle: int):
+    """Anchor, first window, number of windows and hash of each stretch of windows with one anchor."""
+    if width - shingle > 61:
+        raise ValueError("a stretch must fit into the bits of a long")
+    n = words.shape[1] - width + 1
+    if n <= 0:
+        return None
+    low = Windows(words[0]).hashes(np.arange(words.shape[1] - shingle + 1), shingle)
+    place = np.arange(len(low))
+    span, have = width - shingle + 1, 1
+
+    def smaller(a, b):
+        return np.where(low[b] < low[a], b, a)
+
+    while 2 * have <= span:
+        place = smaller(place[:-have], place[have:])
+        have *= 2
+    place = smaller(place[:n], place[span - have :][:n])
+    # Equal windows have their anchor at the same place inside, so a stretch never holds two.
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    size = np.diff(np.r_[first, n])
+    anchor = low[place]
+    return anchor[first], first, size, Windows(words[1]).hashes(first, size + width - 1)
 
 
 def _with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -120,10 +135,10 @@ def _stretches(keyed: DataFrame, width: int, shingle: int) -> DataFrame:
     kind = keyed.schema["doc"].dataType.simpleString()
 
     def run(batches):
-        for b in sliced(batches):
+        for b in sized(batches, 2):
             rows, where = [], []
             for i, t in enumerate(whole_texts(b, 2)):
-                got = Windows(word_hashes(t.encode("utf-8", "surrogatepass"))).stretches(width, shingle)
+                got = stretches(word_hashes(t.encode("utf-8", "surrogatepass")), width, shingle)
                 if got:
                     rows.append(got)
                     where.append(np.full(len(got[0]), i))
@@ -210,11 +225,12 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE
     every = F.expr("shiftleft(1L, n) - 1")
     copied = found.join(counts.filter("times > 1").select(*stretch), stretch).select("doc", "key", "old", "first", every.alias("mask"))
 
-    contested = counts.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("fp")
+    # Aggregates are written before a table is joined with its own, so that Spark can split a crowded key.
+    contested = written(counts.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("fp"), "substring-contested")
     edges = counts.join(contested, "fp").select(F.col("at.doc").alias("doc"), F.col("at.key").alias("key"), F.col("at.old").alias("old"), F.struct("fp", F.col("at.first").alias("first"), "n", "times").alias("e"))
     lists = edges.groupBy("doc", "key", "old").agg(F.collect_list("e").alias("edges"))
     windows = written(_edge_windows(_joined(keyed, lists, "inner"), width), "substring-windows")
-    twice = windows.groupBy("fp", "hash").agg(F.sum("times").alias("times")).filter("times > 1").select("fp", "hash")
+    twice = written(windows.groupBy("fp", "hash").agg(F.sum("times").alias("times")).filter("times > 1").select("fp", "hash"), "substring-twice")
     single = windows.filter("times = 1").join(twice, ["fp", "hash"]).groupBy("doc", "key", "old", "first").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
     return copied.unionByName(single)
 
@@ -228,11 +244,11 @@ def _edge_windows(joined: DataFrame, width: int) -> DataFrame:
     kind = joined.schema["doc"].dataType.simpleString()
 
     def run(batches):
-        for b in sliced(batches):
+        for b in sized(batches, 2):
             docs, keys, olds = (b.column(i).to_pylist() for i in (0, 1, 3))
             out: dict[str, list] = {k: [] for k in ("fp", "hash", "doc", "key", "old", "first", "i", "times")}
             for doc, key, old, text, edges in zip(docs, keys, olds, whole_texts(b, 2), b.column(4).to_pylist()):
-                w = Windows(word_hashes(text.encode("utf-8", "surrogatepass")))
+                w = Windows(word_hashes(text.encode("utf-8", "surrogatepass"))[1])
                 for e in edges:
                     n = e["n"]
                     out["hash"].append(w.hashes(np.arange(e["first"], e["first"] + n), width).view(np.int64))
@@ -262,7 +278,7 @@ def remove_repeated(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE,
     number of batches in which the index takes the rows. With an ``index`` of earlier loads
     and their table as ``history``, copies there count too; the rows join the index, and the
     history is read for verification alone. Null and empty texts have no words; null ids stay null; repeated rows count as copies of each other and get a row
-    each; an empty table gives an empty one; other columns are not read.
+    each; very long texts are read whole, their words hashed segment by segment; an empty table gives an empty one; other columns are not read.
     """
     keyed = _with_key(docs, id_col, text_col).withColumn("old", F.lit(False))
     marks = repeated_windows(docs, width, shingle, batches, index, history, id_col, text_col).filter("not old")
@@ -270,7 +286,7 @@ def remove_repeated(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE,
     kind = keyed.schema["doc"].dataType.simpleString()
 
     def run(rows):
-        for b in sliced(rows):
+        for b in sized(rows, 2):
             n_words, n_removed, kept_text = [], [], []
             for text, marks in zip(whole_texts(b, 2), b.column(4).to_pylist()):
                 words = text.encode("utf-8", "surrogatepass").split()

@@ -124,7 +124,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
     ``vocabulary`` is the path of a byte-level BPE file that every executor can open;
     ``over_limit`` tells whether a document has more than ``limit`` tokens. A map without
     a shuffle; null and empty texts have 0 bytes and tokens, a null id stays null, repeated
-    rows each get a row, an empty table gives an empty one; other columns are not read.
+    rows each get a row, very long texts are counted whole, an empty table gives an empty one; other columns are not read.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

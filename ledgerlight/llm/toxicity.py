@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, bounded_rows, ship, sliced, whole_texts, written
+from .common import Memo, bounded_rows, ship, sized, whole_texts, written
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
@@ -141,7 +141,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_f
     sample = written(texts.join(F.broadcast(chosen), "id_").select("y", "text_"), "toxicity-sample")  # ids: as many as the bound
 
     def counted(batches):
-        for b in sliced(batches, 2_000):
+        for b in sized(batches, 1):
             every, toxic = Counter(), Counter()
             for y, t in zip(b.column(0).to_pylist(), whole_texts(b)):
                 f = features(t)
@@ -161,7 +161,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_f
     vocabulary = {f: i for i, f in enumerate(sorted({*kept, *(f for rows in terms.values() for own in rows for t in own for f in word_features(t))}))}
 
     def encoded(batches):
-        for b in sliced(batches):
+        for b in sized(batches, 1):
             out = {"y": [], "row": [], "a": [], "b": []}
             for y, t in zip(b.column(0).to_pylist(), whole_texts(b)):
                 found = [(sorted(vocabulary[f] for f in features(t) if f in vocabulary), None, None)]
@@ -185,8 +185,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """One row per document: ``doc_id, score, predicted``, with ``row`` (a struct of all columns) in place of ``doc_id`` if ``whole``.
 
     Null and empty texts get the score of a text without evidence; null ids stay null;
-    repeated rows get a row each; an empty table gives an empty one; other columns are not
-    read, or stand within ``row``, whatever their names.
+    repeated rows get a row each; very long texts are scored whole, alone in their batch; an
+    empty table gives an empty one; other columns are not read, or stand within ``row``, whatever their names.
     """
     ship(docs.sparkSession)
     own = F.struct("*").alias("row") if whole else F.col(id_col).alias("doc_id")
@@ -194,7 +194,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     name = given.columns[1]
 
     def run(batches):
-        for b in sliced(batches):
+        for b in sized(batches, 0):
             score = [model.score(t) for t in whole_texts(b, 0)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], names=[name, "score", "predicted"])
         model.forget()

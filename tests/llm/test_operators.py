@@ -125,6 +125,39 @@ def test_substring(docs, spark):
     assert substring.remove_repeated(docs.filter("doc_id = -1")).count() == 0
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of ``n`` letters on which sums of powers of any base agree modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_long_words_do_not_collide(spark):
+    x, y = thue_morse(1024)
+    same = " ".join(f"w{i}" for i in range(34))
+    df = spark.createDataFrame([(1, f"{x} {same}"), (2, f"{y} {same}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring.remove_repeated(df).collect()] == [0, 0]
+    assert quality.statistics(f"a {x} z b {y} z")[0][4] == 0
+    for n in (1, 8, 31, 32, 33, 64, 2048):
+        x, y = thue_morse(n)
+        a, b = substring.word_hashes(f"{x} {y} {x}".encode()).T[:2]
+        assert a[0] != b[0] and a[1] != b[1] and a[0] != a[1]
+
+
+def test_texts_beyond_a_segment(spark):
+    words = [f"t{i * i % 9973}" for i in range(120_000)]
+    text = " ".join(words)
+    assert len(text) > 2 * substring.SEGMENT
+    hashes = substring.word_hashes(text.encode())
+    assert hashes.shape == (2, len(words))
+    for i in (0, 1, 40_000, 80_001, 119_999):
+        assert (hashes[:, i] == substring.word_hashes(words[i].encode())[:, 0]).all()
+    own = " ".join(f"q{i}" for i in range(120_000))
+    df = spark.createDataFrame([(1, own + " " + " ".join(words[:50])), (2, own[::-1] + " x " + " ".join(words[:50]))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeated(df).collect()} == {1: 50, 2: 50}
+    counts = quality.statistics(own + "\n" + own[: own.index(" q60000")])[0]
+    assert counts[0] == 180_000 and counts[4] == 120_000
+
+
 def test_substring_index_of_earlier_loads(spark):
     rng = np.random.default_rng(12)
     text = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 5_000, n))
