@@ -74,12 +74,13 @@ def checked_reports(facts: DataFrame, candidates: DataFrame) -> DataFrame:
     return grounding.accepted(candidates, bad, rules.narrative(facts), rules.narrative_of_record(rules.structured(facts)))
 
 
-def all_reports(s: DataFrame) -> DataFrame:
+def all_reports(s: DataFrame, lattice: str = "standard") -> DataFrame:
     """Every scope's checked report with its record, summary lines, anomalies, score and text criteria.
 
-    Facts and checked reports, a dozen rows each, are written once; all else reads those.
+    Scopes are the whole, each year, region and category, or as ``lattice`` says. Facts and
+    checked reports, a row a scope, are written once; all else reads those.
     """
-    facts = fa.facts(s)
+    facts = fa.facts(s, lattice)
     kept = settled(checked_reports(facts, rules.narrative(facts)), "reports")
     scored = rules.performance_score(facts).select("scope", "score", "mention")
     texts = kept.select("scope", F.lit("en").alias("lang"), F.col("report").alias("text"))

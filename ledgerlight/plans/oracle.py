@@ -115,3 +115,11 @@ ORACLE = {
     "q21_level_counts": SALES + f"SELECT region, a AS alerts, i AS infos, CASE WHEN a > i THEN 'mostly drops' WHEN a < i THEN 'mostly rises' ELSE 'balanced' END AS mix FROM (SELECT region, count(*) FILTER (WHERE v < 0) AS a, count(*) FILTER (WHERE v > 0) AS i FROM (SELECT region, year, {pct('sales', 'p', 9)} AS v, year - py AS gap FROM (SELECT *, lag(sales) OVER (PARTITION BY region, quarter ORDER BY year) AS p, lag(year) OVER (PARTITION BY region, quarter ORDER BY year) AS py FROM ({grouped('region, year, quarter', 'sales')}))) WHERE abs(v) >= 20 AND gap = 1 GROUP BY region)",
 }
 ORACLE["q19_period_deltas"] = SALES + f", yy AS ({grouped('year', 'sales orders basket')}) " + ORACLE["q19_period_deltas"].removeprefix(SALES)
+FAULTY = SALES + ", f AS (SELECT *, (order_id * 7 + line_number) % 50 AS fault FROM sales), r AS (SELECT CASE fault WHEN 1 THEN 'date' WHEN 2 THEN 'sales' WHEN 3 THEN 'malformed' ELSE 'kept' END AS reason, * FROM f)"
+ORACLE |= {
+    "s9_one_pass_load": FAULTY + f" SELECT 'kept' AS what, CAST(year AS VARCHAR) AS item, count(*) AS n, round({T}, 2) AS sales FROM r WHERE reason = 'kept' GROUP BY year UNION ALL SELECT 'rejected', reason, count(*), NULL FROM r WHERE reason <> 'kept' GROUP BY reason UNION ALL SELECT 'counted', reason, count(*), NULL FROM r GROUP BY reason UNION ALL SELECT 'counted', 'rows', count(*), NULL FROM r",
+    "s14_incremental_annual": ORACLE["k5_annual"],
+    "s14_incremental_region_quarter": ORACLE["k1_region_quarter"],
+    "s14_incremental_products": ORACLE["k3_top_products"],
+    "s14_grain_year": SALES + grouped("year, region, category", "sales articles", Y),
+}

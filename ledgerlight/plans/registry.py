@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import grounding as g
 from ..functions import lexicons as lx
@@ -21,6 +23,7 @@ from ..operators import kpis as k
 from ..operators import scopes as q
 from ..operators.measures import by, measure, top
 from ..sources import sales as src
+from ..sources import store as st
 from ..sources import tables as t
 from . import oracle_facts, oracle_text
 from .oracle import ORACLE
@@ -154,6 +157,8 @@ def _report_passages(s: DataFrame) -> DataFrame:
 SCORES = ["scope", "growth_points", "regularity_points", "quarter_points", "diversity_points", "score", "mention"]
 QUERIES |= {
     "f1_facts": on_sales(lambda s: fa.facts(s).select(*oracle_facts.SCALARS)),
+    "f2_year_facts": on_sales(lambda s: fa.facts(s, "full").select(*oracle_facts.SCALARS)),
+    "r1_year_scores": on_sales(lambda s: r.performance_score(fa.facts(s, "full")).select(*SCORES)),
     "r1_scores": on_sales(lambda s: r.performance_score(fa.facts(s)).select(*SCORES)),
     "r2_recommendations": on_sales(lambda s: r.recommendations(fa.facts(s))),
     "r2_recommendations_french": on_sales(lambda s: r.recommendations(fa.facts(s), "fr")),
@@ -181,6 +186,55 @@ QUERIES |= {
 }
 
 
+#: Columns of the star rows as a sales file has them.
+_FILE = ["order_id", "line_number", "order_date", "ship_date", "ship_mode", "customer_id", "customer_name", "segment", "state", "region", "product_id", "category", "sub_category", "product_name", "sales"]
+
+
+def _broken_file(s: DataFrame, path: str) -> T.StructType:
+    """The fact as lines of a sales file, all of it, with faults put in by order and line: lost columns, amounts and dates that do not parse."""
+    fault = (F.col("order_id") * 7 + F.col("line_number")) % 50
+    date = lambda c: F.date_format(c, "dd/MM/yyyy")
+    values = {"order_date": F.when(fault == 1, "31/02/2017").otherwise(date("order_date")), "ship_date": date("ship_date"), "sales": F.when(fault == 2, "n/a").otherwise(F.col("sales").cast("string"))}
+    cells = [values.get(c, F.col(c).cast("string")) for c in _FILE]
+    s.select(F.when(fault == 3, F.concat_ws(",", *cells[:5])).otherwise(F.concat_ws(",", *cells)).alias("line")).write.text(path)
+    return T.StructType([T.StructField(c, T.StringType()) for c in _FILE])
+
+
+def _loaded(spark: SparkSession, d: str) -> DataFrame:
+    """A sales file with broken lines, loaded in one pass: rows kept by year, rejects by reason, and the counts that the load returned."""
+    path = t.shared_path(spark, "load")
+    schema = _broken_file(src.star_rows(spark, d), f"{path}/file")
+    store = st.SalesStore(spark, path)
+    counts = store.load(st.read_csv_lines(spark, f"{path}/file", schema, header=False), 1)
+    kept = store.grain().groupBy(F.lit("kept").alias("what"), F.col("year").cast("string").alias("item")).agg(F.count("*").alias("n"), F.round(F.sum("sales").cast("double"), 2).alias("sales"))
+    rejected = store.rejects().groupBy(F.lit("rejected").alias("what"), F.col("reason").alias("item")).agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("sales"))
+    told = spark.createDataFrame([("counted", k, v, None) for k, v in counts.items() if k != "years"], kept.schema)
+    return reduce(DataFrame.unionByName, [kept, rejected, told])
+
+
+def _increments(spark: SparkSession, d: str) -> st.SalesStore:
+    """The fact in three loads, of which the last holds a year again."""
+    rows = src.star_rows(spark, d)
+    store = st.SalesStore(spark, t.shared_path(spark, "store"))
+    for k, kept in enumerate(("year(order_date) <= 1998", "year(order_date) >= 1999", "year(order_date) = 1998")):
+        store.load(rows.filter(kept), k)
+    return store
+
+
+def _grain_year(spark: SparkSession, d: str) -> DataFrame:
+    grain = _increments(spark, d).grain().filter("year = 1998")
+    return grain.groupBy("year", "region", "category").agg(measure("sales"), F.count("*").alias("articles"))
+
+
+QUERIES |= {
+    "s9_one_pass_load": _loaded,
+    "s14_incremental_annual": lambda spark, d: _increments(spark, d).annual(),
+    "s14_incremental_region_quarter": lambda spark, d: _increments(spark, d).region_quarter(),
+    "s14_incremental_products": lambda spark, d: _increments(spark, d).top_products(),
+    "s14_grain_year": _grain_year,
+}
+
+
 def on_docs(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: fn(spark.read.parquet(f"{d}/documents.parquet"))
 
