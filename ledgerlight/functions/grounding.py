@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,20 +25,21 @@ def parsed_number(text: Column) -> Column:
 
 
 def numbers(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """``kind, raw, value, bare`` of every amount and every percentage.
+    """``kind, raw, extract, value, bare`` of every amount and every percentage; ``extract`` is all of it, with sign, suffix or percent mark.
 
     An amount has a dollar sign, a suffix k or M (in either case), or USD, EUR or a dollar
     sign close by; ``bare`` tells one whose only mark is EUR.
     """
     t = df.select(id_col, filled(text_col).alias("t"))
     group = lambda i: F.regexp_extract_all("t", F.lit(AMOUNT), F.lit(i))
-    found = t.select(id_col, F.explode(F.arrays_zip(*[group(i).alias(n) for i, n in enumerate(("before", "sign", "raw", "suffix", "after"), 1)])).alias("x")).select(id_col, "x.*")
+    found = t.select(id_col, F.explode(F.arrays_zip(*[group(i).alias(n) for i, n in enumerate(("extract", "before", "sign", "raw", "suffix", "after"))])).alias("x")).select(id_col, "x.*")
     dollar = F.col("before").contains("$") | (F.col("sign") != "") | F.col("after").contains("$") | F.col("after").contains("USD")
     suffixed = F.col("suffix") != ""
     multiple = F.when(F.lower("suffix") == "k", MULTIPLES["k"]).when(F.lower("suffix") == "m", MULTIPLES["m"]).otherwise(1.0)
-    amounts = found.filter(dollar | suffixed | F.col("after").contains("EUR")).select(id_col, F.lit("amount").alias("kind"), "raw", (parsed_number(F.col("raw")) * multiple).alias("value"), (~dollar & ~suffixed).alias("bare"))
-    percents = t.select(id_col, F.lit("percent").alias("kind"), F.explode(F.regexp_extract_all("t", F.lit(PERCENT), F.lit(1))).alias("raw"))
-    percents = percents.select(id_col, "kind", "raw", F.replace("raw", F.lit(","), F.lit(".")).try_cast("double").alias("value"), F.lit(False).alias("bare"))
+    amounts = found.filter(dollar | suffixed | F.col("after").contains("EUR")).select(id_col, F.lit("amount").alias("kind"), "raw", F.trim("extract").alias("extract"), (parsed_number(F.col("raw")) * multiple).alias("value"), (~dollar & ~suffixed).alias("bare"))
+    marked = lambda i: F.regexp_extract_all("t", F.lit(PERCENT), F.lit(i))
+    percents = t.select(id_col, F.lit("percent").alias("kind"), F.inline(F.arrays_zip(marked(1).alias("raw"), marked(0).alias("extract"))))
+    percents = percents.select(id_col, "kind", "raw", F.trim("extract").alias("extract"), F.replace("raw", F.lit(","), F.lit(".")).try_cast("double").alias("value"), F.lit(False).alias("bare"))
     return amounts.unionByName(percents).filter("value is not null")
 
 
@@ -65,17 +68,34 @@ def allowed_values(facts: DataFrame) -> DataFrame:
     return facts.select("scope", F.explode(F.concat(*parts)).alias("x")).select("scope", "x.*").filter("value is not null")
 
 
+BIN = 1.02  # ratio of the ends of a bin; slack is four hundredths at most, so a number and what it is near are two bins apart or less
+
+
 def unsupported(found: DataFrame, allowed: DataFrame) -> DataFrame:
     """Numbers (``scope, kind, value, bare``) near no allowed value of their scope.
 
     Near is within 4 % for amounts, 1.5 % for percentages, 1.5 where the allowed value is
-    below 5. Bare years are no amounts.
+    below 5. Bare years are no amounts. Numbers and values meet by scope and bin of size
+    (each number looks into its own and the bins beside it), so a scope's values are not
+    compared with all of its numbers; then the distance decides.
     """
-    a = allowed.select(F.col("scope").alias("s"), F.col("value").alias("v"))
-    size = F.abs("v")
+    v, size = F.col("v"), F.abs("v")
     slack = F.when(size < 5, 1.5).otherwise(size * F.when(F.col("kind") == "amount", 0.04).otherwise(0.015))
+    # Below 8 a single bin holds all: there the slack is absolute, and 1.5 more than 5 at most.
+    place = lambda x: F.when(F.abs(x) < 8, 0).otherwise(F.floor(F.log(F.abs(x)) / float(math.log(BIN))) * F.signum(x)).cast("long")
+    reach = 3
+    low = place(F.lit(8.0))
+    a = allowed.select(F.col("scope").alias("s"), F.col("value").alias("v"), place(F.col("value")).alias("bin"))
     asked = found.filter(~(F.col("bare") & F.col("value").between(*YEARS)))
-    return asked.join(a, (F.col("scope") == F.col("s")) & (F.abs(F.col("value") - F.col("v")) <= slack), "left_anti")
+    keys = ["scope", "kind", "value"]
+    own = F.col("own")
+    near = F.sequence(own - reach, own + reach)
+    # A number in the single bin, or just above it, may be near what lies on the other side of its end.
+    edge = F.sequence(low, low + reach)
+    looks = F.when(own == 0, F.concat(near, edge, F.transform(edge, lambda b: -b))).when(F.abs(own) <= low + reach, F.concat(near, F.array(F.lit(0).cast("long")))).otherwise(near)
+    numbers = asked.select(*keys).distinct().withColumn("own", place(F.col("value"))).select(*keys, F.explode(looks).alias("look"))
+    backed = numbers.join(a, (F.col("scope") == F.col("s")) & (F.col("look") == F.col("bin"))).filter(F.abs(F.col("value") - v) <= slack).select(*keys).distinct()
+    return asked.join(backed, keys, "left_anti").select(found.columns)
 
 
 def accepted(reports: DataFrame, bad: DataFrame, plain: DataFrame, of_record: DataFrame, least: int = 400, most_bad: int = 2) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
+from . import terms
 
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-ZÀ-ÖØ-Þ])"
 LETTERS = "^[a-zA-Zà-öø-ÿÀ-ÖØ-Þ]+$"
@@ -41,11 +42,6 @@ def any_of(text: Column, terms: list[str]) -> Column:
     return reduce(Column.__or__, [text.contains(t) for t in terms])
 
 
-def occurrences(text: Column, terms: list[str]) -> Column:
-    """Sum of the terms' non-overlapping counts."""
-    return reduce(Column.__add__, [((F.length(text) - F.length(F.replace(text, F.lit(t), F.lit("")))) / len(t)).cast("int") for t in terms])
-
-
 def statistics(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     t = df.select(id_col, sentences(filled(text_col)).alias("s"), words(filled(text_col)).alias("w"))
     n, k = F.size("w"), F.size("s")
@@ -66,19 +62,13 @@ def entities(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     return df.select(id_col, F.size(found(MONEY)).alias("n_money"), F.size(found(PERCENT)).alias("n_percent"), F.array_join(found(PERCENT), "|").alias("percents"))
 
 
-def intent(sentence: Column, language: str) -> Column:
-    label = F.when(F.lit(False), "")
-    for name in lx.INTENT_PRIORITY:
-        label = label.when(any_of(sentence, lx.INTENTS[language][name]), name)
-    return label.otherwise("contexte")
-
-
-def intents(df: DataFrame, id_col: str, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """Sentences of at least ten characters by intent, a row a text; texts without such a sentence too."""
-    rows = df.select(id_col, lang_col, F.explode_outer(sentences(filled(text_col), 10)).alias("s")).withColumn("low", F.lower("s"))
-    rows = rows.withColumn("intent", F.when(F.col("s").isNotNull(), by_language(F.col(lang_col), lambda k: intent(F.col("low"), k))))
-    names = [*lx.INTENT_PRIORITY, "contexte"]
-    return rows.groupBy(id_col).agg(*[F.count_if(F.col("intent") == n).alias(f"n_{n}") for n in names], F.count("intent").alias("n_classified"))
+def intents(df: DataFrame, id_col: str, lang_col: str = "lang", text_col: str = "text", lists: terms.Lists = lx.INTENTS, priority: list[str] = lx.INTENT_PRIORITY) -> DataFrame:
+    """Sentences of at least ten characters by intent, a row a text; texts without such a sentence too. The first intent of ``priority`` with a term in the sentence counts."""
+    parts = df.select(id_col, lang_col, F.transform(sentences(filled(text_col), 10), F.lower).alias("texts"))
+    found = terms.first_groups(parts, id_col, lists, priority, lang_col, rest="contexte")
+    names = [*priority, "contexte"]
+    counts = found.groupBy(id_col).agg(*[F.sum(n).alias(f"n_{n}") for n in names])
+    return counts.withColumn("n_classified", reduce(Column.__add__, [F.col(f"n_{n}") for n in names]))
 
 
 def coverage(counts: DataFrame, id_col: str) -> DataFrame:
@@ -90,9 +80,9 @@ def coverage(counts: DataFrame, id_col: str) -> DataFrame:
     return counts.select(id_col, score.alias("coverage"), label.alias("label"), F.array_join(gaps, ",").alias("gaps"))
 
 
-def theme_counts(df: DataFrame, id_col: str, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    low = df.select(id_col, lang_col, F.lower(filled(text_col)).alias("low"))
-    return low.select(id_col, *[by_language(F.col(lang_col), lambda k, n=n: occurrences(F.col("low"), lx.THEMES[k][n])).alias(n) for n in lx.THEMES["en"]])
+def theme_counts(df: DataFrame, id_col: str, lang_col: str = "lang", text_col: str = "text", themes: terms.Lists = lx.THEMES) -> DataFrame:
+    """Each text's count of every theme's terms, all found in one pass; ``themes`` by language (``terms.table_lists`` reads them from a table)."""
+    return terms.group_counts(df, id_col, themes, lang_col, text_col)
 
 
 def dominant_themes(counts: DataFrame, id_col: str, n: int = 3) -> DataFrame:

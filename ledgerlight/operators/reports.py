@@ -14,7 +14,7 @@ from . import rules
 from .measures import by
 
 RECORD = "summary string, main_trend string, recommendations array<struct<action:string,priority:string,level:string,confidence:string>>"
-LEVELS = {"priority": ["high", "medium", "low"], "level": ["strategic", "operational"], "confidence": ["high", "medium", "low"]}
+LEVELS = {"priority": ["high", "medium", "low"], "level": ["strategic", "tactical", "operational"], "confidence": ["high", "medium", "low"]}
 
 
 def json_record(raw: Column, schema: str = RECORD) -> Column:
@@ -35,17 +35,21 @@ def repaired(df: DataFrame, default_action: str, most: int = 5) -> DataFrame:
     r = F.col("record")
     blank = lambda c, d: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(d))
     one_of = lambda c, name, d: F.when(F.lower(c).isin(LEVELS[name]), F.lower(c)).otherwise(d)
-    rec = lambda x: F.struct(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, LEVELS["priority"])), one_of(x["priority"], "priority", "medium")), F.lit(0)), F.lit(9)).alias("order"), F.trim(x["action"]).alias("action"), one_of(x["priority"], "priority", "medium").alias("priority"), one_of(x["level"], "level", "operational").alias("level"), one_of(x["confidence"], "confidence", "medium").alias("confidence"))
+    rec = lambda x: F.struct(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, LEVELS["priority"])), one_of(x["priority"], "priority", "medium")), F.lit(0)), F.lit(9)).alias("order"), F.trim(x["action"]).alias("action"), one_of(x["priority"], "priority", "medium").alias("priority"), one_of(x["level"], "level", "tactical").alias("level"), one_of(x["confidence"], "confidence", "medium").alias("confidence"))
     own = F.transform(F.filter(F.coalesce(r["recommendations"], F.from_json(F.lit("[]"), "array<struct<action:string,priority:string,level:string,confidence:string>>")), lambda x: F.coalesce(F.trim(x["action"]), F.lit("")) != ""), rec)
     spare = F.array(F.struct(F.lit(2).cast("long").alias("order"), F.lit(default_action).alias("action"), F.lit("medium").alias("priority"), F.lit("operational").alias("level"), F.lit("medium").alias("confidence")))
     full = F.slice(F.array_sort(F.when(F.size(own) < 2, F.concat(own, spare)).otherwise(own)), 1, most)
     return df.withColumns({"summary": blank(r["summary"], "No summary"), "main_trend": blank(r["main_trend"], "stable"), "recommendations": full})
 
 
-def without_numbers(text_col: Column, raws: Column) -> Column:
-    """The text with each of the given number strings (and a percent sign after it) taken out."""
-    gone = F.aggregate(F.coalesce(raws, F.array().cast("array<string>")), text_col, lambda t, x: F.replace(F.replace(t, F.concat(x, F.lit("%")), F.lit("")), x, F.lit("")))
-    return F.trim(F.regexp_replace(gone, " {2,}", " "))
+def without_numbers(text_col: Column, extracts: Column) -> Column:
+    """The text without the given extracts, each whole number with its sign, suffix or percent mark, and the brackets around it; longer ones go first, and no part of another number does."""
+    longest = F.array_sort(F.array_distinct(F.coalesce(extracts, F.array().cast("array<string>"))), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    quoted = lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
+    pattern = lambda x: F.concat(F.lit(r"\("), quoted(x), F.lit(r"(?: du total| of the total)?\)|(?<![\p{L}\d.,$+-])"), quoted(x), F.lit(r"(?![\p{L}\d%]|[.,]\d|\s*%)"))
+    gone = F.aggregate(longest, text_col, lambda t, x: F.regexp_replace(t, pattern(x), F.lit("")))
+    tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace(gone, r"\s+", " "), r"\s+,", ","), r",\s*\.", ".")
+    return F.trim(F.when(F.size(longest) > 0, tidy).otherwise(text_col))
 
 
 def scope_advice(s: DataFrame, found: DataFrame) -> DataFrame:
@@ -133,8 +137,8 @@ def corrected_actions(records: DataFrame, facts: DataFrame) -> DataFrame:
     allowed = grounding.allowed_values(facts)
 
     def bad(column: str) -> DataFrame:
-        found = grounding.numbers(keyed.select(F.struct("scope", "_row").alias("id"), F.col(column).alias("text")), "id").select("id.*", "kind", "raw", "value", "bare")
-        return grounding.unsupported(found, allowed).groupBy("_row").agg(F.array_sort(F.collect_set("raw")).alias(f"bad_{column}"))
+        found = grounding.numbers(keyed.select(F.struct("scope", "_row").alias("id"), F.col(column).alias("text")), "id").select("id.*", "kind", "extract", "value", "bare")
+        return grounding.unsupported(found, allowed).groupBy("_row").agg(F.collect_set("extract").alias(f"bad_{column}"))
 
     safe = facts.select("scope", F.concat(F.lit("Volatility "), rules.number(F.col("volatility")), F.lit("%; first product "), "top_product", F.lit(".")).alias("_safe"))
     out = keyed.join(bad("action"), "_row", "left").join(bad("justification"), "_row", "left").join(F.broadcast(safe), "scope", "left")  # a row a scope

@@ -61,7 +61,7 @@ def embedded(df: DataFrame, text_col: str = "content", size: int = 384) -> DataF
 def unit(df: DataFrame, col: str) -> DataFrame:
     v = F.transform(F.col(col), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return df.withColumn(col, F.transform(v, lambda x: x / norm)).filter(norm > 0)
+    return df.withColumn(col, F.transform(v, lambda x: x / F.nullif(norm, F.lit(0.0)))).filter(norm > 0)
 
 
 def cosine_top(queries: DataFrame, passages: DataFrame, k: int = 5, least: float = 0.3, query_id: str = "query_id", passage_id: str = "passage_id", most_queries: int = 10_000, where: dict | None = None) -> DataFrame:
@@ -91,6 +91,14 @@ def cosine_top(queries: DataFrame, passages: DataFrame, k: int = 5, least: float
     return reduce(DataFrame.unionByName, [best(mine.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)) for b in range(blocks)])
 
 
+def pair_cosines(pairs: DataFrame, vectors: DataFrame, id_col: str = "passage_id") -> DataFrame:
+    """``a, b, similarity`` of each stated pair of ids (columns ``a, b``), four digits; pairs without both vectors, or with a zero one, go."""
+    units = unit(vectors.filter("embedding is not null").select(id_col, "embedding"), "embedding")
+    side = lambda n: units.select(F.col(id_col).alias(n), F.col("embedding").alias(f"_{n}"))
+    dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round(dot, 4).alias("similarity"))
+
+
 def report_passages(reports: DataFrame, id_col: str, bullets: list[str], text_col: str = "report", most: int = 250) -> DataFrame:
     """``id, chunk, chunk_type, content``: a report's packed paragraphs, and one passage of its summary lines (columns ``bullets``)."""
     packed = packed_paragraphs(reports, id_col, text_col, most).select(id_col, "chunk", F.lit("report").alias("chunk_type"), "content")

@@ -64,12 +64,11 @@ def sub_categories(s: DataFrame, n: int = 10, **scope) -> DataFrame:
 
 def all_scopes(s: DataFrame) -> DataFrame:
     """Every standard scope at once: whole, each year, each region, each category; ``grouping`` bits name the kind."""
-    s.createOrReplaceTempView("_ledgerlight_sales")
-    return s.sparkSession.sql("""
-        SELECT CASE grouping_id(year, region, category) WHEN 7 THEN 'all' WHEN 3 THEN 'year' WHEN 5 THEN 'region' ELSE 'category' END AS scope_type,
-               year, region, category, round(CAST(sum(sales) AS DOUBLE), 2) AS sales, count(DISTINCT order_id) AS orders, count(*) AS articles,
-               round(CAST(sum(sales) AS DOUBLE) / count(DISTINCT order_id), 2) AS basket, count(DISTINCT customer_id) AS clients
-        FROM _ledgerlight_sales GROUP BY GROUPING SETS ((), (year), (region), (category))""")
+    kind = F.grouping_id()
+    sets = s.groupingSets([[], ["year"], ["region"], ["category"]], "year", "region", "category")
+    found = sets.agg(kind.alias("kind"), *[measure(n) for n in ("sales", "orders", "articles", "basket", "clients")])
+    name = F.when(F.col("kind") == 7, "all").when(F.col("kind") == 3, "year").when(F.col("kind") == 5, "region").otherwise("category")
+    return found.select(name.alias("scope_type"), "year", "region", "category", "sales", "orders", "articles", "basket", "clients")
 
 
 def dashboard(s: DataFrame, found: DataFrame, report: DataFrame, **scope) -> dict[str, DataFrame]:

@@ -16,6 +16,7 @@ from ..functions import text as tx
 from ..operators import anomalies as a
 from ..operators import checks as v
 from ..operators import facts as fa
+from ..operators import inverted as iv
 from ..operators import reports as rp
 from ..operators import retrieval as x
 from ..operators import rules as r
@@ -287,7 +288,7 @@ QUERIES |= {
     "t13_markdown": on_docs(lambda d: d.select("doc_id", tx.strip_markdown(F.col("text")).alias("plain"))),
     "t14_fact_coverage": on_sales(lambda s: tx.fact_coverage(r.narrative(fa.facts(s)), fa.facts(s))),
     "t15_quality": on_docs(lambda d: tx.quality(d, "doc_id")),
-    "g1_numbers": on_docs(lambda d: g.numbers(d, "doc_id").drop("bare")),
+    "g1_numbers": on_docs(lambda d: g.numbers(d, "doc_id").drop("bare", "extract")),
     "g4_unsupported": on_sales(_ungrounded),
     "r14_accepted": on_sales(_accepted),
     "g5_corrected": on_sales(_corrected),
@@ -305,10 +306,18 @@ QUERIES |= {
 
 
 def _pairwise(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine of each two of the stated vectors."""
-    v = spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("passage_id"), "embedding")
-    found = x.cosine_top(v.withColumnRenamed("passage_id", "query_id"), v, k=1 << 30, least=-1.5)
-    return found.drop("rank")
+    """Cosine of each vector and the one of the next id."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("passage_id"), "embedding")
+    pairs = v.select(F.col("passage_id").alias("a"), (F.col("passage_id") + 1).alias("b"))
+    return x.pair_cosines(pairs, v)
+
+
+def _in_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors stored as an inverted file, and searched for every twentieth of them."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("passage_id"), "label", "embedding")
+    stored = iv.InvertedFile(spark, t.shared_path(spark, "cells"))
+    stored.build(v, metadata=["label"])
+    return stored.search(v.filter("passage_id % 20 = 0").withColumnRenamed("passage_id", "query_id"))
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
@@ -333,6 +342,7 @@ QUERIES |= {
     "r15_all_reports": on_sales(lambda s: rp.all_reports(s).drop("structure")),
     "t12_analysis": on_docs(_analysis),
     "u7_question_context": _context,
+    "x10_cosine_cells": _in_cells,
     "x12_pairwise": _pairwise,
 }
 ORACLE_SQL = ORACLE | oracle_facts.ORACLE | oracle_text.ORACLE
