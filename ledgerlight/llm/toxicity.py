@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,17 +190,19 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     empty table gives an empty one; other columns are not read, or stand within ``row``, whatever their names.
     """
     ship(docs.sparkSession)
-    own = F.struct("*").alias("row") if whole else F.col(id_col).alias("doc_id")
-    given = docs.select(F.col(text_col).alias("text_"), own)
-    name = given.columns[1]
+    text = F.col(text_col).alias("text_")
+    given = docs.select(F.struct("*").alias("row")) if whole else docs.select(F.col(id_col).alias("doc_id"), text)
+    name, at = given.columns[0], docs.columns.index(text_col)
 
     def run(batches):
-        for b in sized(batches, 0):
-            score = [model.score(t) for t in whole_texts(b, 0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], names=[name, "score", "predicted"])
+        for batch in batches:
+            texts = pc.struct_field(batch.column(0), [at]) if whole else batch.column(1)  # a whole row holds its text once
+            for b in sized(iter([pa.RecordBatch.from_arrays([batch.column(0), texts], names=[name, "text_"])]), 1):
+                score = [model.score(t) for t in whole_texts(b)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], names=[name, "score", "predicted"])
         model.forget()
 
-    return given.mapInArrow(run, T.StructType([given.schema[1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return given.mapInArrow(run, T.StructType([given.schema[0], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def held_out(id_col) -> Column:
