@@ -48,15 +48,29 @@ def statistics(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     return t.select(id_col, k.alias("n_sentences"), n.alias("n_words"), F.size(F.array_distinct("w")).alias("n_unique"), F.coalesce(n / F.nullif(k, F.lit(0)), F.lit(0.0)).alias("words_per_sentence"))
 
 
-def keywords(df: DataFrame, id_col: str, lang_col: str = "lang", text_col: str = "text", n: int = 5, least: int = 4) -> DataFrame:
-    """The ``n`` most frequent words of each text without stop words; ties by first place."""
-    stop = by_language(F.col(lang_col), lambda k: F.array(*map(F.lit, lx.STOP_WORDS[k])))
-    placed = df.select(id_col, stop.alias("stop"), F.posexplode(words(filled(text_col))).alias("pos", "word")).filter((F.length("word") >= least) & ~F.array_contains("stop", F.col("word")))
-    counted = placed.groupBy(id_col, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+def keywords(df: DataFrame, id_col: str, lang_col: str = "lang", text_col: str = "text", n: int = 5, least: int = 4, stop_words: DataFrame | None = None) -> DataFrame:
+    """The ``n`` most frequent words of each text without stop words; ties by first place.
+
+    ``stop_words`` is a table ``lang, word`` of any size, left out by an anti-join; without
+    one, short lists of English and French words serve.
+    """
+    placed = df.select(id_col, lang_col, F.posexplode(words(filled(text_col))).alias("pos", "word")).filter(F.length("word") >= least)
+    if stop_words is None:
+        placed = placed.filter(~by_language(F.col(lang_col), lambda k: F.col("word").isin(lx.STOP_WORDS[k])))
+    counted = placed.groupBy(id_col, lang_col, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    if stop_words is not None:
+        counted = counted.join(stop_words.select(F.col("lang").alias(lang_col), "word"), [lang_col, "word"], "left_anti")
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "first"))
     return counted.withColumn("rank", rank).filter(F.col("rank") <= n).select(id_col, "rank", "word", "n")
 
 
+def frequent_words(df: DataFrame, id_col: str, share: float = 0.3, lang_col: str = "lang", text_col: str = "text", least: int = 4) -> DataFrame:
+    """``lang, word``: words that stand in more than ``share`` of a language's texts, as stop words of a domain."""
+    texts = df.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("texts"))
+    own = df.select(F.col(lang_col).alias("lang"), F.explode(F.array_distinct(words(filled(text_col)))).alias("word")).filter(F.length("word") >= least)
+    return own.groupBy("lang", "word").agg(F.count("*").alias("n")).join(texts, "lang").filter(F.col("n") > share * F.col("texts")).select("lang", "word")
+
+
 def entities(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     found = lambda p: F.array_distinct(F.regexp_extract_all(filled(text_col), F.lit(p), F.lit(0)))
     return df.select(id_col, F.size(found(MONEY)).alias("n_money"), F.size(found(PERCENT)).alias("n_percent"), F.array_join(found(PERCENT), "|").alias("percents"))

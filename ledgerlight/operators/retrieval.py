@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import filled, words
 from . import anomalies, kpis
@@ -58,6 +60,54 @@ def embedded(df: DataFrame, text_col: str = "content", size: int = 384) -> DataF
     return Normalizer(inputCol="_tf", outputCol="_v").transform(counted).withColumn("embedding", vector_to_array("_v", "float32")).drop("_w", "_tf", "_v")
 
 
+def encoded(df: DataFrame, make_encoder: Callable, size: int, text_col: str = "content", rows: int = 32) -> DataFrame:
+    """Columns ``embedding`` and ``encoded`` for each text, by any encoder.
+
+    ``make_encoder()`` gives a function from a list of texts to a list of vectors of ``size``
+    numbers; it is called once a task. Texts go to it in batches of ``rows``; a batch that
+    fails is tried text by text, and a text that fails again gets the zero vector, with
+    ``encoded`` false. A null text counts as the empty one; an empty table never makes an
+    encoder. The encoder has to be importable by, or sent along to, the executors.
+    """
+    at, names = df.columns.index(text_col), [*df.columns, "embedding", "encoded"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        encode = None
+        for b in batches:
+            for own in (b.slice(i, rows) for i in range(0, b.num_rows, rows)):
+                encode = encode or make_encoder()
+                texts = [t or "" for t in own.column(at).to_pylist()]
+
+                def tried(part):
+                    found = [[float(x) for x in v] for v in encode(part)]
+                    if len(found) != len(part) or any(len(v) != size for v in found):
+                        raise ValueError("the encoder gave vectors of another number or size")
+                    return found
+
+                try:
+                    vectors, fine = tried(texts), [True] * len(texts)
+                except Exception:  # whatever an encoder raises; each text is tried alone
+                    vectors, fine = [], []
+                    for t in texts:
+                        try:
+                            vectors += tried([t])
+                            fine.append(True)
+                        except Exception:
+                            vectors.append([0.0] * size)
+                            fine.append(False)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(fine)], names=names)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("encoded", T.BooleanType())]))
+
+
+def letter_encoder(size: int = 8) -> Callable:
+    """Makes an encoder without a model: how many letters of each of the first ``size`` of the alphabet stand in a text. Needs nothing of this package on the executors."""
+    letters = "abcdefghijklmnopqrstuvwxyz"[:size]
+    return lambda: lambda texts: [[t.count(c) for c in letters] for t in texts]
+
+
 def unit(df: DataFrame, col: str) -> DataFrame:
     v = F.transform(F.col(col), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))

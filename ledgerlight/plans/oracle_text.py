@@ -107,8 +107,9 @@ ORACLE["r14_accepted"] = (
 ORACLE["t12_analysis"] = "SELECT a.*, b.* EXCLUDE (doc_id), c.* EXCLUDE (doc_id), e.* EXCLUDE (doc_id), f.* EXCLUDE (doc_id), g.* EXCLUDE (doc_id), coalesce(keywords, '') AS keywords FROM (" + ") a JOIN (".join([ORACLE["t1_statistics"], ORACLE["t7_intents"]]) + ") b USING (doc_id) JOIN (" + ORACLE["t8_coverage"] + ") c USING (doc_id) JOIN (" + ORACLE["t9_themes"] + ") e USING (doc_id) JOIN (" + ORACLE["t10_tone"] + ") f USING (doc_id) JOIN (" + ORACLE["t11_polarity"] + ") g USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(word || ':' || n, ', ' ORDER BY rank) AS keywords FROM (" + ORACLE["t5_keywords"] + ") GROUP BY doc_id) h USING (doc_id)"
 MARKS = {"numbers": ("c2_numbers", 25), "recommendations": ("c3_recommendations", 15), "clarity": ("c4_clarity", 15), "repetition": ("c5_repetition", 10), "vocabulary": ("c6_vocabulary", 10)}
 ORACLE["t15_total"] = "SELECT doc_id, total, CASE WHEN total >= 85 THEN 'excellent' WHEN total >= 70 THEN 'very good' WHEN total >= 55 THEN 'good' WHEN total >= 40 THEN 'fair' ELSE 'weak' END AS label, gaps FROM (SELECT doc_id, " + " + ".join(c for c, _ in MARKS.values()) + " AS total, concat_ws(',', " + ", ".join(f"CASE WHEN {c} < 0.6 * {m} THEN '{n}' END" for n, (c, m) in MARKS.items()) + f") AS gaps FROM ({ORACLE['t15_quality']}))"
-SUGGESTED = {"salutation": "Which region drives growth?|What are the main risks?|Compare West and East", "recommandation": "Why did 2016 decline?|Which products concentrate revenue?|What is the riskiest quarter?", "risque": "What action do you recommend?|Which region is most volatile?|Why is Q1 2016 problematic?", "anomalie": "What action do you recommend?|Which region is most volatile?|Why is Q1 2016 problematic?"}
-ORACLE["u6_suggestions"] = "SELECT conv_id, turn, CASE route " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SUGGESTED.items()) + f" ELSE 'Which region drives growth?|What are the main risks?|What products concentrate revenue?' END AS suggestions FROM ({ORACLE['u6_routing']})"
+_WORRIES = "What should be done about it?|Where do sales swing most?|What lies behind the weakest quarter?"
+SUGGESTED = {"salutation": "Where do sales grow fastest?|What could go wrong next?|How do two regions differ?", "recommandation": "What lies behind the weakest year?|How much hangs on few products?|When in the year are sales at risk?", "risque": _WORRIES, "anomalie": _WORRIES}
+ORACLE["u6_suggestions"] = "SELECT conv_id, turn, CASE route " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SUGGESTED.items()) + f" ELSE 'Where do sales grow fastest?|What could go wrong next?|How much hangs on few products?' END AS suggestions FROM ({ORACLE['u6_routing']})"
 ORACLE["g5_corrected"] = FACTS + f"SELECT scope, 1 AS ord, 'Grow beyond ' || {num('total', 0)} || ' USD soon' AS action, 'Sales were ' || {num('total', 0)} || ' USD' AS justification FROM facts UNION ALL SELECT scope, 2, 'Grow beyond USD soon', 'Volatility ' || {num('volatility')} || '%; first product ' || top_product || '.' FROM facts"
 ORACLE["q4_annual_stored"] = SALES + f"SELECT year, sales, orders, {pct('sales', 'p')} AS yoy_pct FROM (SELECT *, lag(sales) OVER (ORDER BY year) AS p FROM ({grouped('year', 'sales orders')})) WHERE year BETWEEN 1996 AND 1999"
 ORACLE["q16_recap_stored"] = SALES + f", y AS ({grouped('year', 'sales orders')}), rg AS ({grouped('region', 'sales')}) SELECT {MEASURES['sales']} AS sales, (SELECT CAST(sum(orders) AS BIGINT) FROM y) AS orders, (SELECT year FROM y ORDER BY sales DESC, year LIMIT 1) AS best_year, (SELECT region FROM rg ORDER BY sales DESC, region LIMIT 1) AS best_region FROM sales"
@@ -121,3 +122,5 @@ ORACLE["q17_dashboard"] = ASIA + " UNION ALL ".join(f"SELECT '{n}' AS part, CAST
 ORACLE["q19_extremes"] = SALES + f", y AS (SELECT *, {pct('sales', 'p', 1)} AS g FROM (SELECT *, lag(sales) OVER (ORDER BY year) AS p FROM ({grouped('year', 'sales')}))), rg AS ({grouped('region', 'sales')}) SELECT (SELECT year FROM y WHERE g IS NOT NULL ORDER BY g DESC, year LIMIT 1) AS best_growth_year, (SELECT max(g) FROM y) AS best_growth_pct, (SELECT region FROM rg ORDER BY sales DESC, region DESC LIMIT 1) AS first_region, (SELECT region FROM rg ORDER BY sales, region LIMIT 1) AS last_region, (SELECT round(max(sales) - min(sales), 2) FROM rg) AS region_gap"
 ORACLE["x9_written_index"] = f"SELECT chunk_type, filter_region, count(*) AS n, count(filter_year) AS with_year FROM ({PASSAGES}) GROUP BY chunk_type, filter_region"
 ORACLE["x7_report_passages"] = FACTS + f", rp AS ({NARRATIVE}) SELECT scope, CAST(0 AS INTEGER) AS chunk, 'report' AS chunk_type, report AS content FROM rp UNION ALL SELECT scope, -1, 'summary', '- Sales of ' || {num('total', 0)} || ' over ' || period || coalesce(', growth ' || {num('growth_pct')} || '%', '') || chr(10) || '- Best quarter ' || best_quarter || ', worst ' || worst_quarter || chr(10) || '- Leading product ' || top_product || ', segment ' || best_segment FROM facts"
+ORACLE["t4_domain_stop_words"] = f"{D}, x AS (SELECT doc_id, lang, {WORDS} AS w FROM d), p AS (SELECT doc_id, lang, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM x), o AS (SELECT doc_id, lang, unnest(list_distinct(w)) AS word FROM x), fw AS (SELECT lang, word FROM (SELECT lang, word, count(*) AS n FROM o WHERE length(word) >= 4 GROUP BY lang, word) JOIN (SELECT lang, count(*) AS t FROM d GROUP BY lang) USING (lang) WHERE n > 0.3 * t), c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS f FROM p ANTI JOIN fw USING (lang, word) WHERE length(word) >= 4 GROUP BY doc_id, word) SELECT doc_id, CAST(rank AS INTEGER) AS rank, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS rank FROM c) WHERE rank <= 5"
+ORACLE["x8_encoded"] = "SELECT doc_id, true AS encoded, concat_ws(',', " + ", ".join(f"length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{c}', ''))" for c in "abcdefgh") + ") AS counts FROM documents"

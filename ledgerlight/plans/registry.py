@@ -343,6 +343,8 @@ QUERIES |= {
     "t12_analysis": on_docs(_analysis),
     "u7_question_context": _context,
     "x10_cosine_cells": _in_cells,
+    "x8_encoded": lambda spark, d: x.encoded(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), x.letter_encoder(8), 8, "text").select("doc_id", "encoded", F.array_join(F.transform("embedding", lambda v: v.cast("int").cast("string")), ",").alias("counts")),
+    "t4_domain_stop_words": on_docs(lambda d: tx.keywords(d, "doc_id", stop_words=tx.frequent_words(d, "doc_id"))),
     "x12_pairwise": _pairwise,
 }
 ORACLE_SQL = ORACLE | oracle_facts.ORACLE | oracle_text.ORACLE
