@@ -38,20 +38,26 @@ def kpi_passages(s: DataFrame) -> DataFrame:
 
 
 def packed_paragraphs(df: DataFrame, id_col: str, text_col: str = "text", most: int = 250) -> DataFrame:
-    """Paragraphs in order, packed greedily into chunks of at most ``most`` words; a longer paragraph stands alone."""
-    state = "struct<done:array<string>,now:array<string>,n:int>"
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n")).cast(state)
-    size = lambda p: F.size(F.split(F.trim(p), r"\s+"))
-
-    def add(a, p):
-        full = (a["n"] > 0) & (a["n"] + size(p) > most)
-        closed = F.array_append(a["done"], F.array_join(a["now"], "\n\n"))
-        return F.struct(F.when(full, closed).otherwise(a["done"]).alias("done"), F.when(full, F.array(p)).otherwise(F.array_append(a["now"], p)).alias("now"), F.when(full, size(p)).otherwise(a["n"] + size(p)).alias("n")).cast(state)
+    """Paragraphs in order, packed greedily into chunks of at most ``most`` words; a longer paragraph stands alone.
 
+    A fold over the paragraphs' numbers of words finds where chunks begin; only then are the
+    texts joined, each once. Null texts and texts of blanks have no chunk.
+    """
+    size = lambda p: F.size(F.split(F.trim(p), r"\s+"))
     parts = F.filter(F.transform(F.split(filled(text_col), r"\n\s*\n|\n"), lambda s: F.trim(s)), lambda p: p != "")
-    finish = lambda a: F.when(a["n"] > 0, F.array_append(a["done"], F.array_join(a["now"], "\n\n"))).otherwise(a["done"])
-    chunks = F.aggregate(parts, start, add, finish)
-    return df.select(id_col, F.posexplode(chunks).alias("chunk", "content")).withColumn("n_words", F.size(F.split("content", r"\s+")))
+    rows = df.select(id_col, parts.alias("parts")).filter(F.size("parts") > 0).withColumn("sizes", F.transform("parts", size))
+    state = "struct<starts:array<int>,n:int,i:int>"
+    begin = F.struct(F.array(F.lit(1)).alias("starts"), F.lit(0).alias("n"), F.lit(1).alias("i")).cast(state)
+
+    def add(a, words):
+        full = (a["n"] > 0) & (a["n"] + words > most)
+        return F.struct(F.when(full, F.array_append(a["starts"], a["i"])).otherwise(a["starts"]).alias("starts"), F.when(full, words).otherwise(a["n"] + words).alias("n"), (a["i"] + 1).alias("i")).cast(state)
+
+    rows = rows.withColumn("starts", F.aggregate("sizes", begin, add, lambda a: a["starts"]))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("parts") + 1))
+    rows = rows.select(id_col, "parts", F.posexplode(F.zip_with("starts", ends, lambda a, z: F.struct(a.alias("a"), z.alias("z")))).alias("chunk", "cut"))
+    content = F.array_join(F.slice("parts", F.col("cut.a"), F.col("cut.z") - F.col("cut.a")), "\n\n")
+    return rows.select(id_col, "chunk", content.alias("content")).withColumn("n_words", F.size(F.split("content", r"\s+")))
 
 
 def embedded(df: DataFrame, text_col: str = "content", size: int = 384) -> DataFrame:

@@ -124,3 +124,8 @@ ORACLE["x9_written_index"] = f"SELECT chunk_type, filter_region, count(*) AS n,
 ORACLE["x7_report_passages"] = FACTS + f", rp AS ({NARRATIVE}) SELECT scope, CAST(0 AS INTEGER) AS chunk, 'report' AS chunk_type, report AS content FROM rp UNION ALL SELECT scope, -1, 'summary', '- Sales of ' || {num('total', 0)} || ' over ' || period || coalesce(', growth ' || {num('growth_pct')} || '%', '') || chr(10) || '- Best quarter ' || best_quarter || ', worst ' || worst_quarter || chr(10) || '- Leading product ' || top_product || ', segment ' || best_segment FROM facts"
 ORACLE["t4_domain_stop_words"] = f"{D}, x AS (SELECT doc_id, lang, {WORDS} AS w FROM d), p AS (SELECT doc_id, lang, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM x), o AS (SELECT doc_id, lang, unnest(list_distinct(w)) AS word FROM x), fw AS (SELECT lang, word FROM (SELECT lang, word, count(*) AS n FROM o WHERE length(word) >= 4 GROUP BY lang, word) JOIN (SELECT lang, count(*) AS t FROM d GROUP BY lang) USING (lang) WHERE n > 0.3 * t), c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS f FROM p ANTI JOIN fw USING (lang, word) WHERE length(word) >= 4 GROUP BY doc_id, word) SELECT doc_id, CAST(rank AS INTEGER) AS rank, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS rank FROM c) WHERE rank <= 5"
 ORACLE["x8_encoded"] = "SELECT doc_id, true AS encoded, concat_ws(',', " + ", ".join(f"length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{c}', ''))" for c in "abcdefgh") + ") AS counts FROM documents"
+ORACLE["x7_packed_paragraphs"] = r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\s*\n|\n'), lambda s: trim(s)), lambda s: s <> '') AS ps FROM documents),
+ z AS (SELECT doc_id, ps, list_transform(ps, lambda s: len(regexp_split_to_array(s, '\s+'))) AS ws FROM p WHERE len(ps) > 0),
+ w AS (SELECT doc_id, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS chunk, CAST(ws[1] AS BIGINT) AS n FROM z UNION ALL
+  SELECT w.doc_id, w.i + 1, CASE WHEN n + ws[w.i + 1] > 250 THEN chunk + 1 ELSE chunk END, CASE WHEN n + ws[w.i + 1] > 250 THEN ws[w.i + 1] ELSE n + ws[w.i + 1] END FROM w JOIN z ON w.doc_id = z.doc_id WHERE w.i < len(ps))
+ SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, content, CAST(len(regexp_split_to_array(content, '\s+')) AS INTEGER) AS n_words FROM (SELECT w.doc_id AS doc_id, chunk, string_agg(ps[w.i], chr(10) || chr(10) ORDER BY w.i) AS content FROM w JOIN z ON w.doc_id = z.doc_id GROUP BY w.doc_id, chunk)"""

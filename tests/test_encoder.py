@@ -29,3 +29,13 @@ def test_stop_words_from_a_table(spark):
     assert sorted(map(tuple, stop.collect())) == [("de", "alpha"), ("en", "alpha")]
     assert sorted((r.id, r.word) for r in text.keywords(docs, "id", stop_words=stop).collect()) == [(1, "beta"), (1, "gamma"), (2, "delta")]
     assert [(r.word, r.n) for r in text.keywords(docs.filter("id = 1"), "id").orderBy("rank").collect()] == [("alpha", 2), ("beta", 1), ("gamma", 1)]
+
+
+def test_many_paragraphs_are_packed_in_linear_time(spark):
+    text_ = "\n\n".join(f"p{i} with some words in it" for i in range(100_000))
+    rows = [(1, text_), (2, None), (3, " \n \n"), (4, "w " * 300 + "\nshort\n\nmore"), (5, "one")]
+    got: dict = {}
+    for r in retrieval.packed_paragraphs(spark.createDataFrame(rows, "id int, text string"), "id").collect():
+        got.setdefault(r.id, {})[r.chunk] = (r.content, r.n_words)
+    assert set(got) == {1, 4, 5} and got[5] == {0: ("one", 1)} and [n for _, n in got[4].values()] == [300, 2]
+    assert len(got[1]) == 2440 and "\n\n".join(got[1][i][0] for i in range(2440)) == text_ and max(n for _, n in got[1].values()) <= 250
