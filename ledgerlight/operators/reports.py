@@ -42,6 +42,63 @@ def repaired(df: DataFrame, default_action: str, most: int = 5) -> DataFrame:
     return df.withColumns({"summary": blank(r["summary"], "No summary"), "main_trend": blank(r["main_trend"], "stable"), "recommendations": full})
 
 
+UNJUSTIFIED = "Based on analysed data."
+_ADVICE = "array<struct<action:string,priority:string,level:string,confidence:string,justification:string>>"
+
+
+def record_object(raw: Column) -> Column:
+    """The JSON object in a noisy text as a variant: the text as it is, without fences, or from its first to its last brace; null if none parses."""
+    bare = F.regexp_replace(raw, r"(?m)^\s*```\w*\s*|```\s*$", "")
+    found = [F.try_parse_json(F.trim(c)) for c in (raw, bare, F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")))]
+    return F.coalesce(*[F.when(F.schema_of_variant(v).startswith("OBJECT"), v) for v in found])
+
+
+def repaired_records(records: DataFrame, facts: DataFrame, keys: list[str] = ("scope",), most: int = 5) -> DataFrame:
+    """The nine fields of each record (text column ``raw``), repaired from the facts of its scope.
+
+    A text field that is missing, blank or no text comes from the facts; so do fewer than
+    three products, and empty or missing lists of risks and opportunities. Recommendations
+    without an action go; unknown priorities and confidences become medium, unknown levels
+    tactical; a missing justification is filled in. With fewer than two, the scope's default
+    ones follow. They stand by priority, in their order, ``most`` at most. A text without any
+    record gives the defaults; a scope without facts keeps what the record has.
+    """
+    v = F.col("_v")
+    kept = records.select(*keys, record_object(F.col("raw")).alias("_v"))
+    own = kept.join(rules.structured(facts), "scope", "left")
+    default = F.col("structure")
+
+    def text_of(name: str, spare: Column) -> Column:
+        given = F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+        return F.coalesce(F.when(F.trim(given) != "", given), spare).alias(name)
+
+    def list_of(name: str, least: int) -> Column:
+        given = F.try_variant_get(v, f"$.{name}", "array<string>")
+        return F.coalesce(F.when(F.size(given) >= least, given), default[name]).alias(name)
+
+    def one_of(x: Column, name: str, other: str) -> Column:
+        given = F.lower(F.try_variant_get(x, f"$.{name}", "string"))
+        return F.when(given.isin(LEVELS[name]), given).otherwise(other).alias(name)
+
+    def advice(x: Column) -> Column:
+        why = F.try_variant_get(x, "$.justification", "string")
+        return F.struct(F.try_variant_get(x, "$.action", "string").alias("action"), one_of(x, "priority", "medium"), one_of(x, "level", "tactical"), one_of(x, "confidence", "medium"), F.coalesce(F.when(F.trim(why) != "", why), F.lit(UNJUSTIFIED)).alias("justification"))
+
+    none = F.from_json(F.lit("[]"), _ADVICE)
+    given = F.coalesce(F.transform(F.try_variant_get(v, "$.recommendations", "array<variant>"), advice), none)
+    given = F.filter(given, lambda x: F.coalesce(F.trim(x["action"]), F.lit("")) != "")
+    spare = F.coalesce(F.transform(default["recommendations"], lambda x: F.struct(x["action"], x["priority"], x["level"], x["confidence"], F.lit(UNJUSTIFIED).alias("justification"))), none)
+    place = lambda x: F.array_position(F.array(*map(F.lit, LEVELS["priority"])), x["priority"])
+    both = F.col("_all")
+    ordered = F.transform(F.array_sort(F.transform(both, lambda x, i: F.struct(place(x).alias("p"), i.alias("i"), x.alias("x")))), lambda y: y["x"])
+    fields = [
+        text_of("summary", default["summary"]), text_of("main_trend", default["main_trend"]), text_of("best_period", default["best_period"]["label"]), text_of("worst_period", default["worst_period"]["label"]),
+        list_of("top_products", 3), text_of("key_segment", default["key_segment"]), list_of("risks", 1), list_of("opportunities", 1),
+    ]
+    out = own.select(*keys, *fields, F.when(F.size(given) < 2, F.concat(given, spare)).otherwise(given).alias("_all"))
+    return out.withColumn("recommendations", F.slice(ordered, 1, most)).drop("_all")
+
+
 def without_numbers(text_col: Column, extracts: Column) -> Column:
     """The text without the given extracts, each whole number with its sign, suffix or percent mark, and the brackets around it; longer ones go first, and no part of another number does."""
     longest = F.array_sort(F.array_distinct(F.coalesce(extracts, F.array().cast("array<string>"))), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))

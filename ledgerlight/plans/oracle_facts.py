@@ -133,3 +133,9 @@ ORACLE = {
     "v8_roll_up": SALES + f"SELECT count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTER (WHERE status = 'warning') AS n_warning, count(*) FILTER (WHERE status = 'error') AS n_error, CASE WHEN count(*) FILTER (WHERE status = 'error') > 0 THEN 'error' WHEN count(*) FILTER (WHERE status = 'warning') > 0 THEN 'warning' ELSE 'ok' END AS overall FROM ({CHECKS})",
     "r3_merged": FACTS + f", ru AS ({RULES}), ex AS (SELECT scope, 'D' || ord AS rule, 'medium' AS priority, action FROM (SELECT scope, 1 AS ord, 'Strengthen ' || top_product AS action FROM facts UNION ALL SELECT scope, 2, 'Anticipate ' || coalesce(worst_quarter, 'weak quarters') FROM facts)), ev AS (SELECT scope, rule, priority, action, CASE WHEN priority = 'high' THEN 0 ELSE 2 END AS tier FROM ru UNION ALL SELECT scope, rule, priority, action, 1 FROM ex), kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY tier, rule) AS n FROM ev) WHERE n <= 4) SELECT scope, rule, priority, action, CAST(row_number() OVER (PARTITION BY scope ORDER BY CASE priority WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, n) AS INTEGER) AS rank FROM kp",
 }
+_STRUCTURE = ORACLE["r8_structure"].removeprefix(FACTS)
+_DEFAULTS = f"'Strengthen ' || top_product || '/medium/operational/' || trust || '/Based on analysed data.;Anticipate ' || coalesce(worst, 'weak quarters') || '/medium/operational/' || trust || '/Based on analysed data.'"
+ORACLE["r9_repaired_records"] = FACTS + f"""SELECT x.scope AS scope, CAST(way AS INTEGER) AS way, CASE way WHEN 6 THEN 'Own.' ELSE summary END AS summary, coalesce(main_trend, 'stable') AS main_trend, best_quarter AS best_period, worst_quarter AS worst_period,
+ CASE way WHEN 9 THEN 'x,y,z' ELSE top_products END AS top_products, key_segment, risks, opportunities,
+ CASE way WHEN 7 THEN 'b/high/tactical/medium/Based on analysed data.;a/low/tactical/medium/Based on analysed data.' WHEN 8 THEN 'c/medium/strategic/high/j;' || {_DEFAULTS} ELSE {_DEFAULTS} END AS recommendations
+ FROM ({_STRUCTURE}) x JOIN (SELECT scope, top_product, worst_quarter AS worst, {TRUST} AS trust FROM facts) y ON x.scope = y.scope CROSS JOIN range(10) t(way)"""

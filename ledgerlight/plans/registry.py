@@ -271,6 +271,27 @@ def _corrected(s: DataFrame) -> DataFrame:
     return rp.corrected_actions(made(1, F.col("total")).unionByName(made(2, F.col("total") * 1000 + 7)), facts)
 
 
+def _broken_records(facts: DataFrame) -> DataFrame:
+    """``scope, way, raw``: the record of each scope as JSON, broken in ten ways."""
+    x = F.col("structure")
+    flat = r.structured(facts).select("scope", F.to_json(F.struct(x["summary"].alias("summary"), x["main_trend"].alias("main_trend"), x["best_period"]["label"].alias("best_period"), x["worst_period"]["label"].alias("worst_period"), x["top_products"].alias("top_products"), x["key_segment"].alias("key_segment"), x["risks"].alias("risks"), x["opportunities"].alias("opportunities"), x["recommendations"].alias("recommendations"))).alias("j"))
+    ways = [
+        F.col("j"), F.concat(F.lit("```json\n"), "j", F.lit("\n```")), F.concat(F.lit("Here it is: "), "j", F.lit(" - done.")), F.lit("no record here"), F.lit(None).cast("string"),
+        F.lit('{"summary": "  ", "main_trend": 5, "best_period": null, "risks": 7}'), F.lit('{"summary": "Own.", "top_products": ["x", "y"]}'),
+        F.lit('{"recommendations": [{"action": "a", "priority": "LOW", "level": "odd"}, {"action": " "}, "text", {"action": "b", "priority": "high", "level": "tactical"}]}'),
+        F.lit('```\n{"recommendations": [{"action": "c", "priority": "urgent", "level": "Strategic", "confidence": "HIGH", "justification": "j"}]}\n```'),
+        F.lit('{"risks": [], "opportunities": "none", "top_products": ["x", "y", "z"]}'),
+    ]
+    return flat.select("scope", F.posexplode(F.array(*ways)).alias("way", "raw"))
+
+
+def _repaired(s: DataFrame) -> DataFrame:
+    facts = fa.facts(s)
+    fixed = rp.repaired_records(_broken_records(facts), facts, ["scope", "way"])
+    said = F.transform("recommendations", lambda y: F.concat_ws("/", y["action"], y["priority"], y["level"], y["confidence"], y["justification"]))
+    return fixed.withColumns({"top_products": F.array_join("top_products", ","), "risks": F.array_join("risks", "; "), "opportunities": F.array_join("opportunities", "; "), "recommendations": F.array_join(said, ";")})
+
+
 def _cosine(spark: SparkSession, d: str) -> DataFrame:
     v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("passage_id"), "embedding")
     return x.cosine_top(v.filter("passage_id % 20 = 0").withColumnRenamed("passage_id", "query_id"), v)
@@ -292,6 +313,7 @@ QUERIES |= {
     "g4_unsupported": on_sales(_ungrounded),
     "r14_accepted": on_sales(_accepted),
     "g5_corrected": on_sales(_corrected),
+    "r9_repaired_records": on_sales(_repaired),
     "s15_latest_reports": on_sales(_latest),
     "u6_suggestions": lambda spark, d: u.routed(spark.read.parquet(f"{d}/conversations.parquet").filter("role = 'user'")).select("conv_id", "turn", F.array_join(u.suggestions(F.col("route"), "en"), "|").alias("suggestions")),
     "t16_labels": on_docs(lambda d: tx.dominant_themes(tx.theme_counts(d, "doc_id"), "doc_id").select("doc_id", F.array_join(F.transform(tx.labelled_themes(F.col("themes")), lambda x: F.concat_ws("=", x["theme"], x["n"].cast("string"))), ";").alias("labels"))),
