@@ -2,7 +2,6 @@
 
 import datetime
 import random
-import re
 
 import duckdb
 import pytest
