@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -60,9 +61,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
+    if _scratch:
+        _scratch[-1].append(table)
     return table
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that ``written`` makes inside go at the end, but for those taken out of the list: for jobs whose result is written inside as well."""
+    _scratch.append([])
+    try:
+        yield _scratch[-1]
+    finally:
+        discard(*_scratch.pop())
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more."""
     for t in tables:

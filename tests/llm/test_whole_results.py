@@ -75,3 +75,19 @@ def test_node_arrays_against_a_walk(depth):
             grid[:, k] = np.tile(np.linspace(-4, 4, 30), 20)
             steps = np.diff(trees.margin(grid).reshape(20, 30), axis=1) * direction
             assert (steps >= -1e-9).all()
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from ledgerlight.llm import common
+
+    df = spark.range(5)
+    with common.scratch() as made:
+        kept, gone = common.written(df, "scratch-kept"), common.written(df, "scratch-gone")
+        with common.scratch():
+            inner = common.written(gone, "scratch-inner")
+        made.remove(kept)
+        assert gone.count() == 5
+    assert kept.count() == 5 and [os.path.exists(t.written_to) for t in (kept, gone, inner)] == [True, False, False]
+    common.discard(kept)
