@@ -132,6 +132,13 @@ def sized(batches: Iterator[pa.RecordBatch], *text_columns: int, most: int = 1 <
             yield batch.slice(at, end - at)
 
 
+def release() -> None:
+    """Let go of what this worker keeps for another job, as stages of a pipeline follow each other in the same workers."""
+    if _resident:
+        _resident.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def by_batch(fn: Callable[[pa.RecordBatch], dict[str, list]], schema: pa.Schema) -> Callable:
     """A ``mapInArrow`` function from one that maps a record batch to columns; the texts stand in column 1."""
 

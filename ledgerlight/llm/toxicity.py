@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, bounded_rows, ship, sized, whole_texts, written
+from .common import Memo, bounded_rows, release, ship, sized, whole_texts, written
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
@@ -142,6 +142,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_f
     sample = written(texts.join(F.broadcast(chosen), "id_").select("y", "text_"), "toxicity-sample")  # ids: as many as the bound
 
     def counted(batches):
+        release()
         for b in sized(batches, 1):
             every, toxic = Counter(), Counter()
             for y, t in zip(b.column(0).to_pylist(), whole_texts(b)):
@@ -162,6 +163,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_f
     vocabulary = {f: i for i, f in enumerate(sorted({*kept, *(f for rows in terms.values() for own in rows for t in own for f in word_features(t))}))}
 
     def encoded(batches):
+        release()
         for b in sized(batches, 1):
             out = {"y": [], "row": [], "a": [], "b": []}
             for y, t in zip(b.column(0).to_pylist(), whole_texts(b)):
@@ -195,6 +197,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     name, at = given.columns[0], docs.columns.index(text_col)
 
     def run(batches):
+        release()
         for batch in batches:
             texts = pc.struct_field(batch.column(0), [at]) if whole else batch.column(1)  # a whole row holds its text once
             for b in sized(iter([pa.RecordBatch.from_arrays([batch.column(0), texts], names=[name, "text_"])]), 1):
