@@ -130,12 +130,16 @@ NUMBERS = {
     "a12 USD b3k": [],
     "5% 5 % +5% -5,25%": [("percent", -5.25), ("percent", 5.0), ("percent", 5.0), ("percent", 5.0)],
     "2018 USD, 2018 EUR": [("amount", 2018.0), ("amount", 2018.0)],
-    "7\n000 USD": [],
     "99 bottles of USD": [],
     "1,5 USD 12,34,56 EUR +3.25% -4 %": [("amount", 1.5), ("amount", 56.0), ("percent", -4.0), ("percent", 3.25)],
 }
 
 
+def test_a_line_break_parts_no_thousands(spark):
+    df = spark.createDataFrame([("x", "7\n000 USD")], "scope string, text string")
+    assert grounding.numbers(df, "scope").collect() == []
+
+
 def test_numbers(spark):
     texts = [*NUMBERS]
     df = spark.createDataFrame([*enumerate(texts), (-1, None)], "scope int, text string")
