@@ -67,3 +67,15 @@ def test_pairs(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None)], "passage_id int, embedding array<double>")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (1, 5), (1, 9), (2, 2)], "a int, b int")
     assert sorted(map(tuple, retrieval.pair_cosines(pairs, v).collect())) == [(1, 2, 1.0), (1, 3, 0.0), (2, 2, 1.0)]
+
+
+def test_pairwise_has_every_vector_of_both_sides(spark, tmp_path):
+    from ledgerlight.plans import registry
+
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (7, [3.0, 0.0]), (20, [0.0, 1.0]), (40, [0.0, 0.0]), (60, None)], "vec_id long, embedding array<float>")
+    v.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(map(tuple, registry.QUERIES["x12_pairwise"](spark, str(tmp_path)).select("query_id", "passage_id", "similarity").collect()))
+    assert got == [(0, 1, 0.0), (0, 7, 1.0), (0, 20, 0.0), (20, 0, 0.0), (20, 1, 1.0), (20, 7, 0.0)]
+    asked = v.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    passages = v.withColumnRenamed("vec_id", "passage_id")
+    assert sorted(map(tuple, retrieval.scored_pairs(asked, passages, most_queries=1).collect())) == got
