@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import components, lines, neighbours, packing, pii, piece_codec, quality, simhash, substring, token_count, toxicity
+from ledgerlight.llm import common, components, lines, neighbours, packing, pii, piece_codec, quality, simhash, substring, token_count, toxicity
 
 LONG = " ".join(f"w{i % 997}x" for i in range(30_000))
 TEXTS = [None, "", " ", "  a  b ", "x\n\ny", "Hello, world! don't <|endoftext|> stop", "Ünïcode 日本語 🙂 ▁ text", "a b c " * 40, "a b c " * 40, LONG, LONG + " end", "\x1c odd\tblank\r\n"]
@@ -278,6 +278,33 @@ def test_lines_in_crowded_buckets_are_all_compared(spark):
     assert len(want) < len(texts) - 60 and kept_lines(spark, texts) == want
 
 
+def test_what_is_apart_in_a_crowd_is_compared_exactly_in_slices(spark):
+    rng = np.random.default_rng(23)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    base = text(300)
+    texts = ["".join(text(1) if rng.random() < p else c for c in base) for p in (0.005, 0.01, 0.02) for _ in range(30)] + [text(9), "", "short"]
+    sets = [all_shingles(x) for x in texts]
+    alike = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    own = pa.array(texts)
+    for columns in (50, 4096):
+        found = lines.alike_between(own, own, 8, 0.8, columns)
+        assert found.diagonal().all() and (found == found.T).all() and {(a, b) for a, b in zip(*map(list, np.nonzero(found))) if a < b} == alike
+    label = [0 if i % 3 else i for i in range(len(texts))]  # two thirds hang together already
+    crowd = spark.createDataFrame([(band, i, label[i]) for band in (1, 2) for i in range(len(texts))], "band long, node long, label long")
+    want = {(a, b) for a, b in alike if label[a] != label[b]}
+    for most in (7, 256):
+        got = lines._strays(crowd, spark.createDataFrame(list(enumerate(texts)), "node long, line string"), 8, 0.8, most, 4000)
+        assert len(want) > 100 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_line_labels_after_more_links(spark):
+    links = lambda *rows: common.written(spark.createDataFrame(rows, "a long, b long"), "links")
+    labels = components.connected_components(links((1, 2), (2, 3), (5, 6), (8, 9)))
+    first = lines._relabelled(labels, links((3, 6), (6, 7), (10, 11), (0, 9), (2, 1)))
+    assert {r.node: r.label for r in first.collect()} == {2: 1, 3: 1, 5: 1, 6: 1, 7: 1, 8: 0, 9: 0, 11: 10}
+    assert lines._relabelled(first, common.written(first.limit(0).toDF("a", "b"), "links")) is first
+
+
 def test_line_recall(spark):
     rng = np.random.default_rng(22)
     text = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
