@@ -28,13 +28,13 @@ LATIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàáâã
 class WordTokenizer:
     """Ids of a tokenizer that drops white space, word by word with a cache, as little-endian uint32 bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.mapped = byte_symbols()
-        self.words = Memo(self.word, 500_000)
+        self.words = Memo(self.word, cached)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -136,13 +136,13 @@ class SumOfSquares:
         return self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1) if left else 0
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, quantum: int = 8, most_held: int = 1 << 20, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, quantum: int = 8, most_held: int = 1 << 20, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", cached: int = 500_000) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, and ``ids`` if asked for.
 
     A document is its ids by the tokenizer file ``vocabulary`` (without added tokens) and
     ``end_id``. ``capacity`` must be a multiple of ``quantum``, the step of the fill levels;
     a window counts as full when less than a step per piece is left; open windows of a task
-    hold at most ``most_held`` tokens and one document's. ``sequence_id`` holds
+    hold at most ``most_held`` tokens and one document's; a worker keeps the ids of ``cached`` words. ``sequence_id`` holds
     the partition in its upper bits. Null and empty texts are documents of ``end_id`` alone;
     null ids stay null; repeated rows are packed each; an empty table gives an empty one;
     other columns are not read. Documents above the capacity fill whole windows first.
@@ -157,7 +157,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_i
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        tok, packer = resident(WordTokenizer, vocabulary), SumOfSquares(capacity, quantum, most_held)
+        tok, packer = resident(WordTokenizer, vocabulary, cached), SumOfSquares(capacity, quantum, most_held)
         sequence = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
         schema = None

@@ -89,6 +89,24 @@ def test_packing(docs):
     assert padded <= 0.02 * used
 
 
+def test_stages_hand_texts_to_python_in_small_batches(spark):
+    import corpus_pipeline
+
+    texts = spark.createDataFrame([(i, "abcdefghi " * 10_000, "en", "web", 100_000) for i in range(150)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    before = spark.conf.get(common.BATCH, None)
+    try:
+        spark.conf.unset(common.BATCH)
+        packed = corpus_pipeline.pack(spark, texts, "")
+        assert max(r.n for r in texts.mapInArrow(sizes, "n long").collect()) < 6 << 20
+        assert {(r.doc_id, r.doc_tokens) for r in packed.select("doc_id", "doc_tokens").collect()} == {(i, n) for n in {packed.first().doc_tokens} for i in range(150)}
+        spark.conf.set(common.BATCH, "64m")  # the user's own setting stays
+        corpus_pipeline.pack(spark, texts, "")
+        assert spark.conf.get(common.BATCH) == "64m"
+    finally:
+        spark.conf.unset(common.BATCH) if before is None else spark.conf.set(common.BATCH, before)
+
+
 def test_packing_holds_a_bounded_number_of_tokens():
     packer, rng, full, most = packing.SumOfSquares(4096, 8, 40_000), np.random.default_rng(6), [], 0
     sizes = [2_100] * 300 + rng.integers(1, 4096, 300).tolist() + [1] * 300
