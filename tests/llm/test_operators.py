@@ -225,6 +225,21 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_need_no_round(spark):
+    rng = np.random.default_rng(8)
+    stars = [(i, 1000 * (i % 7)) for i in range(1, 400) if i % 7 and i < 1000 * (i % 7)]
+    with common.scratch() as made:
+        got = {r.node: r.label for r in components.connected_components(spark.createDataFrame([(i + 10_000, i % 5) for i in range(400)], "a long, b long")).collect()}
+        assert len(made) == 1 and got == {i + 10_000: i % 5 for i in range(400)}
+    loose = [tuple(map(int, rng.integers(0, 500, 2))) for _ in range(330)] + stars
+    least = list(range(6001))
+    for _ in range(500):
+        for a, b in loose:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(loose, "a long, b long")).collect()}
+    assert got == {x: least[x] for e in loose for x in e if least[x] != x}
+
+
 def test_lines(spark):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
@@ -315,6 +330,22 @@ def test_what_is_apart_in_a_crowd_is_compared_exactly_in_slices(spark):
         assert len(want) > 100 and sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_lines_of_a_crowd_meet_several_leaders_at_once(spark):
+    rows = spark.createDataFrame([(band, i, 0 if i < 3 else i, True, 0, 0) for band in (1, 2) for i in range(40)], "band long, node long, label long, whole boolean, odd0 long, odd1 long")
+    got = {(r.a, r.b) for r in lines._led(rows, 3, 20).collect()}
+    met = Counter(x for e in got for x in e)
+    leaders = {x for x, n in met.items() if n > 3}
+    assert len(leaders) == 3 and all(a < b and not (b < 3) for a, b in got)
+    assert all((min(i, j), max(i, j)) in got for i in range(40) for j in leaders if i != j and not (i < 3 and j < 3))
+
+
+def test_known_texts_serve_verification(spark):
+    texts = ["a line that is long enough", "a line that is long enough.", "nothing like the others"]
+    known, pairs = (spark.createDataFrame(x, c) for x, c in ((list(enumerate(texts)), "node long, line string"), ([(0, 1), (0, 2)], "a long, b long")))
+    reader = object.__new__(lines._Texts)  # has no corpus to read
+    assert [tuple(r) for r in reader.verified(pairs, 8, 0.8, known).collect()] == [(0, 1)]
+
+
 def test_line_labels_after_more_links(spark):
     links = lambda *rows: common.written(spark.createDataFrame(rows, "a long, b long"), "links")
     labels = components.connected_components(links((1, 2), (2, 3), (5, 6), (8, 9)))
