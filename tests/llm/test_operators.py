@@ -373,6 +373,36 @@ def test_line_recall(spark):
     assert {len(texts) - 1, len(texts) - 3}.isdisjoint(got)
 
 
+def test_lines_run_no_python_on_executors(spark):
+    rng = np.random.default_rng(31)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), n)) for n in rng.integers(3, 9, 400)]
+    texts = [" ".join(rng.choice(vocabulary, 30)) for _ in range(12)]
+    texts += [x[:-4] + "else" for x in texts[:6]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").filter("doc_id >= 0")
+    plans, plain = [], lines.written
+    lines.written = components.written = lambda t, name: plans.append(t._jdf.queryExecution().toString()) or plain(t, name)
+    try:
+        kept = lines.dedup_lines(df)
+        assert {r.doc_id for r in kept.collect() if not r.n_removed} == {i for i, r in enumerate(linked(texts)) if i == r}
+    finally:
+        lines.written = components.written = plain
+    plans.append(kept._jdf.queryExecution().toString())
+    assert len(plans) > 5 and not any(x in p for p in plans for x in ("MapInArrow", "FlatMapGroups", "PythonUDF", "MapInPandas"))
+
+
+def test_native_shingles_and_parities(spark):
+    texts = ["", "ab", "exactly8", "2024-01-15T10:22:41", "\U0001f642\U0001f642 smile \U0001f642 again", "na\u00efve caf\u00e9 cr\u00e8me", "\u4f60" * 20, "x" * 40, "a\tb c\r d" * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, line string")
+    want = spark.createDataFrame([(i, s) for i, x in enumerate(texts) for s in all_shingles(x)], "node long, s string").groupBy("node").agg(F.sort_array(F.collect_list(F.xxhash64("s"))).alias("h"))
+    got = {r.node: r.h for r in df.select("node", F.sort_array(lines.shingles(F.col("line"), 8)).alias("h")).collect()}
+    assert got == {r.node: r.h for r in want.collect()}
+    for r in lines._parities(df, 8, 4).collect():
+        bits = [0] * 4
+        for h in got[r.node]:
+            bits[(h >> 6) & 3] ^= 1 << (h & 63)
+        assert r.n == len(got[r.node]) and [x & (2**64 - 1) for x in (r.bits0, r.bits1, r.bits2, r.bits3)] == bits
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 16)).astype("f4")
