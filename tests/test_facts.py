@@ -1,11 +1,13 @@
 """Facts of all scopes against questions asked scope by scope, and on awkward rows."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import facts as fa
+from ledgerlight.operators import rules
 from ledgerlight.operators import scopes as q
 from ledgerlight.sources import sales as src
 
@@ -59,3 +61,23 @@ def test_orders_count_once_in_every_scope(spark):
     assert [m.orders for m in found["all"].months] == [1, 1, 0, 1]
     empty = fa.facts(s.filter("year = 1900"), "full")
     assert empty.collect() == []
+
+
+def test_printed_numbers_round_as_printf_does(spark):
+    rng = random.Random(5)
+    values = [0.0, -0.0, 0.5, 1.5, 2.5, -2.5, 51887928266.5, 48514860580.5, 0.35, 0.05, 0.15, 0.25, 20.25, 20.35, 0.95, 0.96, 9.95, 9.96, 999.5, 1000.5, -0.04, -0.4, 1e-300, 4503599627370497.5, 9007199254740993.0, 1e18, 0.49999999999999994, 0.04999999999999999]
+    values += [rng.randrange(-(10**k), 10**k) / 100 for k in range(2, 14) for _ in range(200)] + [rng.uniform(-1, 1) * 10**k for k in range(-3, 12) for _ in range(50)]
+    c = F.col("x")
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*values, None])], "i long, x double")
+    got = [tuple(r)[1:] for r in df.select("i", rules.number(c, 0), rules.number(c), rules.signed(c, 0), rules.signed(c)).orderBy("i").collect()]
+    assert got[-1] == (None, None, None, None)
+    for x, texts in zip(values, got):
+        assert texts == tuple(f % x for f in ("%.0f", "%.1f", "%+.0f", "%+.1f")), x
+
+
+def test_reports_print_halves_as_their_sql(spark):
+    totals = spark.createDataFrame([("category:STANDARD", 51887928266.5, "1995-2001"), ("region:ASIA", 31282277663.5, "1995-2001")], "scope string, total double, period string")
+    assert {r.scope: r.answer for r in rules.answer(totals).collect()} == {
+        "category:STANDARD": "For category:STANDARD, sales total 51887928266 over 1995-2001.",
+        "region:ASIA": "For region:ASIA, sales total 31282277664 over 1995-2001.",
+    }
