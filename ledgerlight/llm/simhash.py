@@ -86,7 +86,8 @@ def close_pairs(fps: DataFrame, crowd: int = 256) -> DataFrame:
     rows = _refined(keyed[0].unionByName(keyed[1]), crowd)
     left, right = rows.filter("bit is null or not bit"), rows.filter("bit is null or bit")
     on = ["key", "part"]
-    joined = left.select(*on, F.col("fp").alias("x"), F.col("bit").alias("xb")).join(right.select(*on, F.col("fp").alias("y"), F.col("bit").alias("yb")), on)
+    # Spark takes the exploded keys for as small as the fingerprints that they come from; a broadcast of them would fill the driver.
+    joined = left.select(*on, F.col("fp").alias("x"), F.col("bit").alias("xb")).hint("merge").join(right.select(*on, F.col("fp").alias("y"), F.col("bit").alias("yb")), on)
     near = (F.col("xb").isNull() & F.col("yb").isNull() & (F.col("x") < F.col("y"))) | (F.col("xb").isNotNull() & F.col("yb").isNotNull())
     near &= F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 2
     return joined.filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
